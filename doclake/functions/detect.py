@@ -56,12 +56,17 @@ def has_signature(content: Column, signatures) -> Column:
 
 
 def is_image(content: Column) -> Column:
-    """Plain image signatures plus the two with free bytes: RIFF????WEBP and ??__ftypavif."""
+    """Plain image signatures plus the two with free bytes: RIFF????WEBP and 00 00 ?? ?? ftypavif."""
     webp = bytes_at(content, 0, b"RIFF") & bytes_at(content, 8, b"WEBP")
-    avif = bytes_at(content, 2, b"\0\0ftypavif")
+    avif = bytes_at(content, 0, b"\0\0") & bytes_at(content, 4, b"ftypavif")
     return has_signature(content, IMAGE) | F.coalesce(webp | avif, F.lit(False))
 
 
+def is_other_image(content: Column) -> Column:
+    """Image containers that are linked but never decoded."""
+    return bytes_at(content, 4, b"ftyp") & F.substring(content, 9, 4).isin([F.lit(b) for b in (b"avif", b"avis", b"heic", b"heix", b"mif1")])
+
+
 def is_video(content: Column) -> Column:
     avi = bytes_at(content, 0, b"RIFF") & bytes_at(content, 8, b"AVI ")
     return has_signature(content, VIDEO) | F.coalesce(avi, F.lit(False))
@@ -136,7 +141,7 @@ def detect_format(content: Column, ext: Column) -> Column:
             rule = e.isin(exts)
             out = out.when(checks[name] | rule if name in checks else rule, name)
         return (out.when(is_image(content), "image").when(is_audio(content), "audio").when(is_video(content), "video")
-                .when(has_signature(content, APP), "app").when(utf8_valid(content), "text").otherwise("binary"))
+                .when(has_signature(content, APP), "app").when(is_other_image(content), "image").when(utf8_valid(content), "text").otherwise("binary"))
 
     return let(ext, chain)
 
@@ -194,7 +199,7 @@ def fallback_link(content: Column, format: Column, path: Column, ext: Column, in
 def embed_data_uri(content: Column, mime: Column, inline: Column | bool = True) -> Column:
     """``![Image](data:…)``, or an empty reference when bytes are not to be inlined."""
     inline = F.lit(inline) if isinstance(inline, bool) else inline
-    return F.when(inline, F.concat(F.lit("![Image](data:"), mime, F.lit(";base64,"), F.base64(content), F.lit(")"))).otherwise("![Image]()")
+    return F.when(inline, F.concat(F.lit("![Image](data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""), F.lit(")"))).otherwise("![Image]()")
 
 
 def decode_data_uri(url: Column) -> Column:

@@ -276,13 +276,14 @@ def html_to_markdown(df: DataFrame, id: str, html: str) -> DataFrame:
 
 
 def html_lists(df: DataFrame, id: str, html: str) -> DataFrame:
-    """``doc_id, list_id, item_no, depth, marker, text`` of every list item."""
+    """``doc_id, item_no, depth, marker, text`` of every list item in page order."""
     blocks = html_blocks(df, id, html)
     at = F.expr("try_element_at(filter(path, p -> p.what = 'item'), -1)")
     items = blocks.withColumn("item", at).filter(F.col("item").isNotNull())
     by_item = W.partitionBy("doc_id", "item.opened").orderBy("block_id")
+    by_doc = W.partitionBy("doc_id").orderBy("block_id")
     return items.withColumn("n", F.row_number().over(by_item)).filter("n = 1").select(
-        "doc_id", F.col("item.opened").alias("item_id"),
+        "doc_id", (F.row_number().over(by_doc) - 1).alias("item_no"),
         F.size(F.filter("path", lambda p: p["what"] == "item")).alias("depth"),
         F.col("item.marker").alias("marker"), "text")
 

@@ -104,10 +104,10 @@ LISTS = """SELECT c_custkey AS id, concat('<p>', c_name, '</p><ul><li>', c_mktse
  '</li><li>b', c_nationkey, '<p>more</p></li></ol></li><li>z</li></ul>') AS html FROM {customer}"""
 
 
-@query("html_lists", """SELECT c_custkey AS doc_id, 2 AS item_id, 1 AS depth, '- ' AS marker, c_mktsegment AS text FROM customer
-UNION ALL SELECT c_custkey, 4, 2, '3. ', 'a' || c_custkey FROM customer
-UNION ALL SELECT c_custkey, 6, 2, '4. ', 'b' || c_nationkey FROM customer
-UNION ALL SELECT c_custkey, 11, 1, '- ', 'z' FROM customer""")
+@query("html_lists", """SELECT c_custkey AS doc_id, 0 AS item_no, 1 AS depth, '- ' AS marker, c_mktsegment AS text FROM customer
+UNION ALL SELECT c_custkey, 1, 2, '3. ', 'a' || c_custkey FROM customer
+UNION ALL SELECT c_custkey, 2, 2, '4. ', 'b' || c_nationkey FROM customer
+UNION ALL SELECT c_custkey, 3, 1, '- ', 'z' FROM customer""")
 def html_lists(spark, sf):
     return H.html_lists(synth(spark, sf, LISTS), "id", "html")
 
