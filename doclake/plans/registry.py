@@ -25,12 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations")
+MARK = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
+
+
 def synth(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a derivation written in SQL that Spark and DuckDB both understand; ``{name}`` marks a table."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    names = sorted(set(MARK.findall(sql)))
+    escaped = MARK.sub("\0\\1\1", sql).replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+    return spark.sql(escaped, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def duck(sql: str) -> str:
     """The same derivation for DuckDB, where the tables are views of the same name."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return MARK.sub(r"\1", sql)
