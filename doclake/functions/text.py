@@ -21,6 +21,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def record(**fields: Column) -> Column:
+    """Struct whose field names survive inside generators and lambdas."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def join_lines(parts: Column, sep: str = "\n") -> Column:
     return F.array_join(parts, sep)
 
@@ -33,9 +38,8 @@ def _numeric_references(text: Column) -> Column:
     dec = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
     hexa = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9a-fA-F]{1,6});"), F.lit(1)))
     refs = F.concat(
-        F.transform(dec, lambda c: F.struct(F.concat(F.lit("&#"), c, F.lit(";")).alias("ref"),
-                                            F.hex(c.cast("long")).alias("code"))),
-        F.transform(hexa, lambda c: F.struct(F.concat(F.lit("&#x"), c, F.lit(";")).alias("ref"), c.alias("code"))))
+        F.transform(dec, lambda c: record(ref=F.concat(F.lit("&#"), c, F.lit(";")), code=F.hex(c.cast("long")))),
+        F.transform(hexa, lambda c: record(ref=F.concat(F.lit("&#x"), c, F.lit(";")), code=c)))
     return F.aggregate(refs, F.regexp_replace(text, "&#X", "&#x"),
                        lambda acc, r: F.replace(acc, r["ref"], _code_point(r["code"])))
 

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclake.functions.detect import GZ, TAR, XZ, ZIP, file_ext, has_signature
 
 MEMBERS = "path string, member_no int, member string, content binary, error string"
+INFLATED = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 BATCH_BYTES = 32 << 20
 
 
@@ -30,7 +32,7 @@ def _inflate(data: bytes) -> bytes:
     return data
 
 
-@F.pandas_udf("content binary, error string")
+@F.pandas_udf(INFLATED)
 def _inflate_udf(content: pd.Series) -> pd.DataFrame:
     out = []
     for data in content:

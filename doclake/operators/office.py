@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclake.functions.text import XML_ENTITIES, decode_entities, let, trim_ws
+from doclake.functions.text import XML_ENTITIES, decode_entities, let, record, trim_ws
 from doclake.operators.containers import package_parts
 from doclake.operators.tokens import attr, explode_tokens, tag_of, token_array
 
@@ -48,7 +48,7 @@ def _elements(xml: Column, tag: str) -> Column:
 
 def rels_entries(xml: Column) -> Column:
     """``array<struct(rel_id, target)>`` of a relationships part."""
-    return F.transform(_elements(xml, "Relationship"), lambda e: F.struct(_x(e, "Id").alias("rel_id"), _x(e, "Target").alias("target")))
+    return F.transform(_elements(xml, "Relationship"), lambda e: record(rel_id=_x(e, "Id"), target=_x(e, "Target")))
 
 
 def lookup(entries: Column, field: str, value: str, key: Column) -> Column:
@@ -90,10 +90,13 @@ def run_styles(text: Column, bold: Column, italic: Column, strike: Column, under
         t = let(raw, lambda r: F.when(bold & italic, wrap(r, F.lit(True), "***", "***", tail)).when(bold, wrap(r, F.lit(True), "**", "**", tail))
                 .when(italic, wrap(r, F.lit(True), "*", "*", tail)).otherwise(r if docx else trim_ws(r)))
         outer = [("<u>", "</u>", underline), ("~~", "~~", strike)]
-        for before, after, on in outer if docx else reversed(outer):
-            t = let(t, lambda r, b=before, a=after, o=on: wrap(r, o, b, a, tail))
+        for rule in outer if docx else reversed(outer):
+            t = let(t, outside(*rule, tail))
         return t
 
+    def outside(before: str, after: str, on: Column, tail: str):
+        return lambda r: wrap(r, on, before, after, tail)
+
     if docx:
         return styled(text, " ")
     return F.when(trim_ws(text) == "", text).otherwise(F.concat(
@@ -292,7 +295,6 @@ def docx_headings(parts: DataFrame) -> DataFrame:
 
 def office_links(parts: DataFrame) -> DataFrame:
     """``doc_id, text, url`` of hyperlinks in text documents; ``url`` is null where the target is missing."""
-    runs = docx_runs(parts)
     tokens = _docx_tokens(docx_documents(parts))
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     links = tokens.withColumn("link_no", _count((F.col("tag") == "w:hyperlink") & (F.col("kind") == "open"), by_doc)).filter(

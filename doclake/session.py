@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the configured checkpoint folder; a private one only where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/doclake-{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"doclake-{name}-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder (a private one only where none is configured)."""
     spark = df.sparkSession
