@@ -47,10 +47,10 @@ def _numeric_references(text: Column) -> Column:
 def decode_entities(text: Column, named=NAMED_ENTITIES) -> Column:
     """Numeric and named character references to characters; untouched when there is no ``&``."""
 
+    pairs = ", ".join("struct('&%s;' AS ref, '%s' AS char)" % (name, char.replace("'", "\\'")) for name, char in named)
+
     def all_named(t: Column) -> Column:
-        for name, char in named:
-            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-        return t
+        return F.aggregate(F.expr(f"array({pairs})"), t, lambda acc, e: F.replace(acc, e["ref"], e["char"]))
 
     def numeric(t: Column) -> Column:
         return F.when(F.contains(t, F.lit("&#")), _numeric_references(t)).otherwise(t)

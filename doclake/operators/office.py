@@ -34,12 +34,9 @@ def _text(part: str) -> Column:
     return F.max(F.when(F.col("part") == part, F.col("content").cast("string")))
 
 
-def _x(raw: Column, name: str) -> Column:
-    return attr(raw, name, xml=True)
-
-
-def _raw_x(raw: Column, name: str) -> Column:
-    return attr(raw, name, xml=True, decode=False)
+def _x(raw: Column, name: str, decode: bool = False) -> Column:
+    """Attribute of an XML token; identifiers and flags need no decoding."""
+    return attr(raw, name, xml=True, decode=decode)
 
 
 def _elements(xml: Column, tag: str) -> Column:
@@ -48,7 +45,7 @@ def _elements(xml: Column, tag: str) -> Column:
 
 def rels_entries(xml: Column) -> Column:
     """``array<struct(rel_id, target)>`` of a relationships part."""
-    return F.transform(_elements(xml, "Relationship"), lambda e: record(rel_id=_x(e, "Id"), target=_x(e, "Target")))
+    return F.transform(_elements(xml, "Relationship"), lambda e: record(rel_id=_x(e, "Id"), target=_x(e, "Target", True)))
 
 
 def lookup(entries: Column, field: str, value: str, key: Column) -> Column:
@@ -199,7 +196,7 @@ def docx_runs(parts: DataFrame, inline: bool = False) -> DataFrame:
     tabs, breaks, images, link starts and ends, and the row and cell starts of tables.
     """
     raw, tag, kind = F.col("raw"), F.col("tag"), F.col("kind")
-    val = _raw_x(raw, "w:val")
+    val = _x(raw, "w:val")
     tokens = _docx_tokens(docx_documents(parts, inline)).withColumn("val", F.when(kind != "text", val))
     void = kind == "void"
 
@@ -366,7 +363,7 @@ def odf_to_markdown(parts: DataFrame, inline: bool = False) -> DataFrame:
         ordered = let(_x(t, "text:style-name"), lambda n: F.coalesce(lookup(F.col("list_styles"), "name", "ordered", n), F.lit(False)).cast("string"))
         return (F.when(F.startswith(t, F.lit("<text:span")), flags).when(F.startswith(t, F.lit("<text:list ")) | (t == "<text:list>"), ordered)
                 .when(F.startswith(t, F.lit("<draw:image")), let(_x(t, "xlink:href"), lambda h: lookup(F.col("media"), "part", "image", h)))
-                .when(F.startswith(t, F.lit("<text:a ")), _x(t, "xlink:href")).when(F.startswith(t, F.lit("<text:h")), _x(t, "text:outline-level")))
+                .when(F.startswith(t, F.lit("<text:a ")), _x(t, "xlink:href", True)).when(F.startswith(t, F.lit("<text:h")), _x(t, "text:outline-level")))
 
     tokens = _with_extra(docs, "xml", resolve, "doc_id")
     tag, kind, extra = F.col("tag"), F.col("kind"), F.col("extra")
