@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclake.functions.detect import GZ, TAR, XZ, ZIP, file_ext, has_signature
+from doclake.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 MEMBERS = "path string, member_no int, member string, content binary, error string"
 INFLATED = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from doclake.functions.text import XML_ENTITIES, decode_entities, let, record, trim_ws
 from doclake.operators.containers import package_parts
-from doclake.operators.tokens import attr, explode_tokens, tag_of, token_array
+from doclake.operators.tokens import attr, tag_of, token_array
+from doclake.session import cluster_by
 
 ROW, CELL, LINK_OPEN, LINK_HREF, LINK_CLOSE = (chr(0xFDD0 + i) for i in range(5))
 
@@ -158,15 +159,25 @@ def _with_extra(df: DataFrame, xml: str, resolve, *keep: str) -> DataFrame:
                              .when(F.endswith("raw", F.lit("/>")), "void").otherwise("open"))
 
 
+def _from_part(part: str, value) -> Column:
+    """``value`` of the text of one part, worked out before the aggregation: a lookup that came after it would be
+    inlined into the lambda that runs for every token."""
+    return F.max(F.when(F.col("part") == part, value(F.col("content").cast("string"))))
+
+
+def _gathered(parts: DataFrame, used: Column) -> DataFrame:
+    """The parts a converter reads, distributed by document once: everything after it stays on that distribution."""
+    return cluster_by(parts.filter(used | media_type(F.col("part")).isNotNull()), "doc_id")
+
+
 def docx_documents(parts: DataFrame, inline: bool = False) -> DataFrame:
     """One row per text document: main XML and lookups; this aggregation is the only exchange of the job."""
-    docs = parts.groupBy("doc_id").agg(
-        _text("word/document.xml").alias("xml"), F.coalesce(_text("word/_rels/document.xml.rels"), _text("_rels/.rels")).alias("rels_xml"),
-        _text("word/numbering.xml").alias("numbering_xml"), _media_entries(inline).alias("media"))
-    none = F.lit("")
-    return docs.filter("xml IS NOT NULL").select(
-        "doc_id", "xml", rels_entries(F.coalesce("rels_xml", none)).alias("rels"),
-        numbering_entries(F.coalesce("numbering_xml", none)).alias("numbering"), "media")
+    used = F.col("part").isin("word/document.xml", "word/_rels/document.xml.rels", "_rels/.rels", "word/numbering.xml")
+    docs = _gathered(parts, used).groupBy("doc_id").agg(
+        _text("word/document.xml").alias("xml"), _from_part("word/_rels/document.xml.rels", rels_entries).alias("own"),
+        _from_part("_rels/.rels", rels_entries).alias("root"), _from_part("word/numbering.xml", numbering_entries).alias("numbering"),
+        _media_entries(inline).alias("media"))
+    return docs.filter("xml IS NOT NULL").select("doc_id", "xml", F.coalesce("own", "root").alias("rels"), "numbering", "media")
 
 
 def _docx_tokens(docs: DataFrame) -> DataFrame:
@@ -354,8 +365,9 @@ def odf_styles(parts: DataFrame) -> DataFrame:
 
 def odf_to_markdown(parts: DataFrame, inline: bool = False) -> DataFrame:
     """``doc_id, markdown`` of open documents: headings, nested lists with counters per list, tables, links, images."""
-    docs = parts.groupBy("doc_id").agg(_text("content.xml").alias("xml"), _media_entries(inline).alias("media")).filter("xml IS NOT NULL")
-    docs = docs.select("doc_id", "xml", "media", style_entries(F.col("xml")).alias("styles"), list_style_entries(F.col("xml")).alias("list_styles"))
+    docs = _gathered(parts, F.col("part") == "content.xml").groupBy("doc_id").agg(
+        _text("content.xml").alias("xml"), _from_part("content.xml", style_entries).alias("styles"),
+        _from_part("content.xml", list_style_entries).alias("list_styles"), _media_entries(inline).alias("media")).filter("xml IS NOT NULL")
 
     def resolve(t: Column) -> Column:
         style = let(_x(t, "text:style-name"), lambda n: F.get(F.filter("styles", lambda s: s["name"] == n), F.lit(0)))
@@ -415,16 +427,15 @@ def pptx_slides(parts: DataFrame, inline: bool = False) -> DataFrame:
     key = (F.when(F.rlike("part", F.lit(r"^ppt/slides/slide.*\.xml$")), F.struct(F.lit("s").alias("k"), number.alias("n")))
            .when(F.rlike("part", F.lit(r"^ppt/slides/_rels/slide.*\.rels$")), F.struct(F.lit("r").alias("k"), number.alias("n")))
            .when(F.rlike("part", F.lit(r"^ppt/notesSlides/notesSlide[0-9]+\.xml$")), F.struct(F.lit("n").alias("k"), F.regexp_extract("part", r"([0-9]+)\.xml", 1).cast("int").alias("n"))))
-    one = parts.withColumn("key", key).groupBy("doc_id").agg(
+    one = _gathered(parts.withColumn("key", key), F.col("key").isNotNull()).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("key.k") == "s", F.struct(F.col("key.n").alias("n"), F.col("content").cast("string").alias("xml"))))).alias("slides"),
-        F.collect_list(F.when(F.col("key.k") == "r", F.struct(F.col("key.n").alias("n"), F.col("content").cast("string").alias("xml")))).alias("rels"),
-        F.collect_list(F.when(F.col("key.k") == "n", F.struct(F.col("key.n").alias("n"), F.col("content").cast("string").alias("xml")))).alias("notes"),
+        F.collect_list(F.when(F.col("key.k") == "r", F.struct(F.col("key.n").alias("n"), rels_entries(F.col("content").cast("string")).alias("rels")))).alias("rels"),
+        F.collect_list(F.when(F.col("key.k") == "n", F.struct(F.col("key.n").alias("n"), notes_text(F.col("content").cast("string")).alias("notes")))).alias("notes"),
         _media_entries(inline).alias("media"))
     slides = one.select("doc_id", "rels", "notes", "media", F.posexplode("slides").alias("at", "s"))
     return slides.select(
         "doc_id", (F.col("at") + 1).alias("slide_no"), F.col("s.xml").alias("xml"), "media",
-        rels_entries(F.coalesce(lookup(F.col("rels"), "n", "xml", F.col("s.n")), F.lit(""))).alias("rels"),
-        notes_text(lookup(F.col("notes"), "n", "xml", F.col("at") + 1)).alias("notes"))
+        lookup(F.col("rels"), "n", "rels", F.col("s.n")).alias("rels"), lookup(F.col("notes"), "n", "notes", F.col("at") + 1).alias("notes"))
 
 
 def notes_text(xml: Column) -> Column:

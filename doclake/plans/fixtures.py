@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.session import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 
 def xml_escape(value: Column) -> Column:
     for char, name in [("&", "amp"), ("<", "lt"), (">", "gt")]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def get_session(app: str = "doclake", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship_with_tasks(module_name: str) -> None:
+    """Send a module's functions inside the task closures, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Hash-distribute rows once, before they are exploded into tokens or lines.
 

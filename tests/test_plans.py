@@ -1,0 +1,17 @@
+"""Plan shape of every query: no pairing of everything with everything, no window over a whole table."""
+
+import re
+
+import pytest
+
+from doclake.plans import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"convert_all"}))
+def test_plan(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # an unpartitioned window prints its order list right after the window expressions
+    assert not re.search(r"Window \[.*\], \[[^\]]*(ASC|DESC)[^\]]*\]\s*$", re.sub(r"\], \[[^\]]*\], \[", "], P, [", plan), re.M)
