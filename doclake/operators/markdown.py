@@ -241,7 +241,8 @@ def _split_row(line: Column) -> Column:
 
 
 def _table_arrays(blocks: DataFrame) -> DataFrame:
-    tables = blocks.filter("type = 'table'").withColumn("ls", F.split(F.regexp_replace("raw", r"\n\z", ""), "\n"))
+    """Header, alignment and body arrays of tables, null for other blocks."""
+    tables = blocks.withColumn("ls", F.when(F.col("type") == "table", F.split(F.regexp_replace("raw", r"\n\z", ""), "\n")))
     head, delim = _split_row(F.get("ls", F.lit(0))), _split_row(F.get("ls", F.lit(1)))
     body = F.transform(F.filter("ls", lambda _l, i: i > 1), _split_row)
     align = F.transform(delim, lambda d: F.when(F.rlike(d, F.lit("^:-+:$")), "center").when(F.endswith(d, F.lit(":")), "right")
@@ -251,7 +252,7 @@ def _table_arrays(blocks: DataFrame) -> DataFrame:
 
 def md_tables(df: DataFrame, id: str, text: str) -> DataFrame:
     """``doc_id, block_no, row_no, col_no, value, align, width``; row 0 is the header, width the widest cell of a column."""
-    tables = _table_arrays(md_blocks(df, id, text)).withColumn("rows", F.concat(F.array("head"), "body")).withColumn(
+    tables = _table_arrays(md_blocks(df, id, text).filter("type = 'table'")).withColumn("rows", F.concat(F.array("head"), "body")).withColumn(
         "widths", F.transform(F.sequence(F.lit(0), F.size("head") - 1), lambda c: F.array_max(F.transform(
             F.col("rows"), lambda r: F.coalesce(F.length(F.get(r, c)), F.lit(0))))))
     cells = tables.select("doc_id", "block_no", "align", "widths", F.posexplode("rows").alias("row_no", "cells")).select(
@@ -280,34 +281,38 @@ def md_list_items(df: DataFrame, id: str, text: str) -> DataFrame:
     Depth follows indentation: an enclosing indentation is active when the last item indented at most that far sits
     exactly there. Every item asks each narrower indentation of its list once, so there is no pairing of items.
     """
-    return _list_items(md_blocks(df, id, text))
+    items = _with_list_position(md_blocks(df, id, text)).filter("type = 'item'")
+    return items.select("doc_id", F.col("block_no").alias("pos"), "list_id", "depth", "ordered", "number", "path", trim_ws(F.col("text")).alias("text"))
 
 
-def _list_items(blocks: DataFrame) -> DataFrame:
+def _with_list_position(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``list_id, depth, ordered, number, path`` of items; other blocks pass through on the same plan."""
     by_doc = W.partitionBy("doc_id").orderBy("block_no")
     is_item = F.col("type") == "item"
     starts = is_item & F.coalesce(F.lag("type").over(by_doc) != "item", F.lit(True))
-    blocks = blocks.withColumn("starts", starts).withColumn("list_id", F.sum(F.col("starts").cast("int")).over(by_doc)).filter(is_item)
     marker = F.col("info")
-    items = blocks.select(
-        "doc_id", F.col("block_no").alias("pos"), "list_id",
-        F.length(F.replace(F.regexp_extract("raw", LIST_MARKER, 1), F.lit("\t"), F.lit("    "))).alias("indent"),
-        (~marker.isin("-", "*", "+")).alias("ordered"), F.regexp_extract(marker, r"^\d+", 0).try_cast("bigint").alias("given"),
-        trim_ws(F.col("text")).alias("text"))
+    carried = blocks.columns
+    rows = blocks.withColumns({
+        "starts": starts, "ordered": is_item & ~marker.isin("-", "*", "+"), "given": F.when(is_item, F.regexp_extract(marker, r"^\d+", 0).try_cast("bigint")),
+        "indent": F.when(is_item, F.length(F.replace(F.regexp_extract("raw", LIST_MARKER, 1), F.lit("\t"), F.lit("    "))))})
+    rows = rows.withColumn("list_id", F.sum(F.col("starts").cast("int")).over(by_doc))
     in_list = W.partitionBy("doc_id", "list_id")
-    asked = items.withColumn("widths", F.collect_set("indent").over(in_list)).select("*", F.explode(F.filter("widths", lambda w: w >= 0)).alias("w"))
-    below = F.last(F.when(F.col("indent") <= F.col("w"), F.struct("indent", "pos", "ordered")), ignorenulls=True).over(
-        W.partitionBy("doc_id", "list_id", "w").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    # an item answers for its own indentation and every wider one of its list, and asks each narrower one
+    asked = rows.drop("starts").withColumn("widths", F.when(is_item, F.collect_set("indent").over(in_list)))
+    asked = asked.select("*", F.explode_outer("widths").alias("w")).drop("widths")
+    below = F.last(F.when(F.col("indent") <= F.col("w"), F.struct("indent", "block_no", "ordered")), ignorenulls=True).over(
+        W.partitionBy("doc_id", "list_id", "w").orderBy("block_no").rowsBetween(W.unboundedPreceding, -1))
     active = F.when((F.col("w") < F.col("indent")) & (F.col("above.indent") == F.col("w")),
-                    F.struct(F.col("w"), F.col("above.pos").alias("pos"), F.col("above.ordered").alias("ordered")))
-    placed = asked.withColumn("above", below).groupBy("doc_id", "list_id", "pos").agg(
-        *[F.first(c).alias(c) for c in ("indent", "ordered", "given", "text")], F.sort_array(F.collect_list(active)).alias("up"))
-    parent = F.coalesce(F.element_at(F.expr("if(size(up) > 0, up, null)"), -1)["pos"], F.lit(-1))
-    placed = placed.withColumn("parent", parent)
-    siblings = W.partitionBy("doc_id", "list_id", "parent").orderBy("pos")
+                    F.struct(F.col("w"), F.col("above.block_no").alias("block_no"), F.col("above.ordered").alias("ordered")))
+    placed = asked.withColumn("above", below).groupBy("doc_id", "list_id", "block_no").agg(
+        *[F.first(c).alias(c) for c in carried if c not in ("doc_id", "block_no")], *[F.first(c).alias(c) for c in ("ordered", "given")],
+        F.sort_array(F.collect_list(active)).alias("up"))
+    parent = F.coalesce(F.get("up", F.size("up") - 1)["block_no"], F.lit(-1))
+    placed = placed.withColumn("parent", F.when(is_item, parent))
+    siblings = W.partitionBy("doc_id", "list_id", "parent").orderBy("block_no")
     number = F.when(F.col("ordered"), F.first("given").over(siblings) + F.row_number().over(siblings) - 1)
-    return placed.select("doc_id", "pos", "list_id", F.size("up").alias("depth"), "ordered", number.alias("number"),
-                         F.concat(F.transform("up", lambda u: u["ordered"]), F.array("ordered")).alias("path"), "text")
+    return placed.withColumns({"depth": F.when(is_item, F.size("up")), "number": number,
+                               "path": F.concat(F.transform("up", lambda u: u["ordered"]), F.array("ordered"))}).drop("parent", "given", "up")
 
 
 def md_tasks(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -399,11 +404,8 @@ PAGE_HEAD = '<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <style
 PAGE_TAIL = "</body>\n</html>\n"
 
 
-def _lists_html(items: DataFrame) -> DataFrame:
-    """Items with the list tags that open before and close after them."""
-    by_list = W.partitionBy("doc_id", "list_id").orderBy("pos")
-    items = items.withColumn("was", F.coalesce(F.lag("depth").over(by_list), F.lit(-1))).withColumn(
-        "next", F.coalesce(F.lead("depth").over(by_list), F.lit(-1)))
+def _item_html() -> Column:
+    """An item with the list tags that open before and close after it; ``was`` and ``next`` are neighbouring depths."""
     opened = F.when(F.col("depth") > F.col("was"), F.concat(
         F.when(F.col("was") >= 0, "\n").otherwise(""),
         F.when(F.col("ordered"), F.concat(F.lit("<ol"), F.when(F.col("number") != 1, F.concat(F.lit(' start="'), F.col("number"), F.lit('"'))).otherwise(""), F.lit(">\n"))).otherwise("<ul>\n"))).otherwise("")
@@ -412,22 +414,20 @@ def _lists_html(items: DataFrame) -> DataFrame:
         F.lit("</li>\n"), F.when(o, "</ol>\n").otherwise("</ul>\n"))), "")
     closed = F.when(F.col("next") > F.col("depth"), "").when(F.col("next") == F.col("depth"), "</li>\n").otherwise(
         F.concat(closing, F.when(F.col("next") >= 0, "</li>\n").otherwise("")))
-    return items.select("doc_id", "pos", F.concat(opened, F.lit("<li>"), inline_html(F.col("text")), closed).alias("html"))
+    return F.concat(opened, F.lit("<li>"), F.col("inline"), closed)
 
 
 def md_to_html(df: DataFrame, id: str, text: str, wrap: bool = False, css: str = "") -> DataFrame:
     """``doc_id, html``: the fragment, or a whole page around it."""
-    everything = md_blocks(df, id, text)
-    blocks = everything.filter("type NOT IN ('front_matter', 'item')")
+    by_list = W.partitionBy("doc_id", "list_id").orderBy("block_no")
+    blocks = _table_arrays(_with_list_position(md_blocks(df, id, text)).filter("type <> 'front_matter'"))
+    blocks = blocks.withColumns({
+        "was": F.coalesce(F.lag("depth").over(by_list), F.lit(-1)), "next": F.coalesce(F.lead("depth").over(by_list), F.lit(-1)),
+        "inline": F.when(~F.col("type").isin("code", "rule", "html", "table"), inline_html(trim_ws(F.col("text"))))})
     tag = F.concat(F.lit("h"), F.col("level"))
     lang = fence_language(F.coalesce("info", F.lit("")))
     code_class = F.when(F.coalesce("info", F.lit("")) == "", "").otherwise(F.concat(F.lit(' class="language-'), lang, F.lit('"')))
-    paragraph = F.concat(F.lit("<p>"), inline_html(F.col("text")), F.lit("</p>\n"))
-    html = (F.when(F.col("type") == "heading", F.concat(F.lit("<"), tag, F.lit(">"), inline_html(F.col("text")), F.lit("</"), tag, F.lit(">\n")))
-            .when(F.col("type") == "code", F.concat(F.lit("<pre><code"), code_class, F.lit(">"), _escape_html(F.col("text")), F.lit("\n</code></pre>\n")))
-            .when(F.col("type") == "rule", "<hr />\n").when(F.col("type") == "html", F.concat("text", F.lit("\n")))
-            .when(F.col("type") == "quote", F.concat(F.lit("<blockquote>\n"), paragraph, F.lit("</blockquote>\n"))).otherwise(paragraph))
-    tables = _table_arrays(blocks)
+    paragraph = F.concat(F.lit("<p>"), F.col("inline"), F.lit("</p>\n"))
 
     def cells(row: Column, name: str) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size("head") - 1), lambda i: F.concat(
@@ -437,12 +437,13 @@ def md_to_html(df: DataFrame, id: str, text: str, wrap: bool = False, css: str =
     table = F.concat(F.lit("<table>\n<thead>\n<tr>\n"), cells(F.col("head"), "th"), F.lit("</tr>\n</thead>\n"), F.when(
         F.size("body") > 0, F.concat(F.lit("<tbody>\n"), F.array_join(F.transform("body", lambda r: F.concat(
             F.lit("<tr>\n"), cells(r, "td"), F.lit("</tr>\n"))), ""), F.lit("</tbody>\n"))).otherwise(""), F.lit("</table>\n"))
-    at = F.col("block_no").alias("pos")
-    items = _lists_html(_list_items(everything))
-    pieces = blocks.filter("type <> 'table'").select("doc_id", at, html.alias("html")).unionByName(
-        tables.select("doc_id", at, table.alias("html"))).unionByName(items)
-    docs = pieces.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "html"))), lambda s: s["html"]), "").alias("html"))
+    html = (F.when(F.col("type") == "heading", F.concat(F.lit("<"), tag, F.lit(">"), F.col("inline"), F.lit("</"), tag, F.lit(">\n")))
+            .when(F.col("type") == "code", F.concat(F.lit("<pre><code"), code_class, F.lit(">"), _escape_html(F.col("text")), F.lit("\n</code></pre>\n")))
+            .when(F.col("type") == "rule", "<hr />\n").when(F.col("type") == "html", F.concat("text", F.lit("\n"))).when(F.col("type") == "table", table)
+            .when(F.col("type") == "item", _item_html())
+            .when(F.col("type") == "quote", F.concat(F.lit("<blockquote>\n"), paragraph, F.lit("</blockquote>\n"))).otherwise(paragraph))
+    docs = blocks.select("doc_id", "block_no", html.alias("html")).groupBy("doc_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("block_no", "html"))), lambda s: s["html"]), "").alias("html"))
     if not wrap:
         return docs
     return docs.select("doc_id", F.concat(F.lit(PAGE_HEAD.format(css=css)), "html", F.lit(PAGE_TAIL)).alias("html"))

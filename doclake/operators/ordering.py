@@ -12,12 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclake.rules import rule_table
-from doclake.session import cut_lineage
+from doclake.session import cut_lineage, partition_count
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(partition_count(df), *order).sortWithinPartitions(*order)
     placed = cut_lineage(placed.withColumn("_id", F.monotonically_increasing_id()))
     return placed.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn(
         "_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")

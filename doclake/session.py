@@ -31,6 +31,25 @@ def ship_with_tasks(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+# Bytes of input one task should start from; markup grows several times when it is cut into tokens.
+TASK_BYTES = 64 << 20
+MOST_PARTITIONS = 100_000
+
+
+def partition_count(df: DataFrame) -> int:
+    """At least the session's shuffle partitions, more where the files behind ``df`` are large.
+
+    Only what the planner knows about its leaves is used; relations of unknown size do not count.
+    """
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes").rstrip("b"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < unknown)
+    return min(max(least, -(-known // TASK_BYTES)), max(MOST_PARTITIONS, least))
+
+
 def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Hash-distribute rows once, before they are exploded into tokens or lines.
 
@@ -38,8 +57,7 @@ def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
     cross the network are the source texts, never their tokens. The partition count is explicit: the rows grow by
     orders of magnitude after the exchange, which the adaptive coalescer cannot foresee.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+    return df.repartition(partition_count(df), *keys)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
