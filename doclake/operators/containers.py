@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclake.functions.detect import GZ, TAR, XZ, ZIP, file_ext, has_signature
-from doclake.session import ship_with_tasks
+from doclake.session import ship_with_tasks, spread_small
 
 ship_with_tasks(__name__)
 
@@ -112,7 +112,7 @@ def _explode(depth: int):
 
 def archive_members(files: DataFrame) -> DataFrame:
     """Zip and tar files → ``path, member_no, member, ext, content, error``; folders and desktop litter are dropped."""
-    archives = files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR))
+    archives = spread_small(files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR)))
     return archives.mapInPandas(_explode(0), MEMBERS).withColumn("ext", file_ext(F.col("member")))
 
 
@@ -121,7 +121,7 @@ def expand_nested(files: DataFrame, max_depth: int = 8) -> DataFrame:
 
     An archive deeper than ``max_depth`` stays a member row with its bytes, so nothing is lost.
     """
-    archives = files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR))
+    archives = spread_small(files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR)))
     return archives.mapInPandas(_explode(max_depth), MEMBERS).withColumn("ext", file_ext(F.col("member")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from doclake.functions.inline import image_markdown, inline_markdown, inline_token, resolve_inline
 from doclake.functions.text import collapse_blanks, decode_entities, let, trim_ws
 from doclake.operators.tokens import attr, explode_tokens, strip_opaque, token_array
-from doclake.session import cluster_by
+from doclake.session import cluster_by, spread_small
 
 # Tags that start and end a block.
 BLOCK_TAGS = [
@@ -35,7 +35,7 @@ def _pages(df: DataFrame, id: str, html: str) -> DataFrame:
 def html_text(df: DataFrame, id: str, html: str) -> DataFrame:
     """Plain text, every tag transparent; one projection per page."""
     texts = F.filter(token_array(strip_opaque(F.col(html))), lambda t: ~F.startswith(t, F.lit("<")) | (t == "<"))
-    return df.select(F.col(id).alias("doc_id"), decode_entities(F.array_join(texts, "")).alias("text"))
+    return spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), decode_entities(F.array_join(texts, "")).alias("text"))
 
 
 def html_links(df: DataFrame, id: str, html: str) -> DataFrame:
@@ -44,7 +44,7 @@ def html_links(df: DataFrame, id: str, html: str) -> DataFrame:
     source = strip_opaque(F.col(html))
     pairs = F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1)).alias("attrs"),
                          F.regexp_extract_all(source, pattern, F.lit(2)).alias("body"))
-    links = df.select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("link_no", "link"))
+    links = spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("link_no", "link"))
     links = links.select("doc_id", "link_no", F.trim(attr(F.concat(F.lit("<a"), F.col("link.attrs"), F.lit(">")), "href")).alias("href"),
                          inline_markdown(F.col("link.body")).alias("text"))
     keep_link = F.col("href").isNotNull() & ~F.contains("text", F.lit("\n"))
@@ -58,14 +58,14 @@ def html_headings(df: DataFrame, id: str, html: str) -> DataFrame:
     source = strip_opaque(F.col(html))
     pairs = F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1)).alias("level"),
                          F.regexp_extract_all(source, pattern, F.lit(2)).alias("body"))
-    heads = df.select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("heading_no", "h"))
+    heads = spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("heading_no", "h"))
     return heads.select("doc_id", "heading_no", F.col("h.level").cast("int").alias("level"),
                         inline_markdown(F.col("h.body")).alias("text"))
 
 
 def html_images(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, pos, src, alt, markdown`` of every ``<img>``."""
-    tokens = explode_tokens(_pages(df, id, html), "_markup", "doc_id").filter(
+    tokens = explode_tokens(spread_small(_pages(df, id, html)), "_markup", "doc_id").filter(
         (F.col("tag") == "img") & (F.col("kind") != "close"))
     raw = F.col("raw")
     return tokens.select("doc_id", "pos", F.coalesce(attr(raw, "src"), F.lit("")).alias("src"),
@@ -74,7 +74,7 @@ def html_images(df: DataFrame, id: str, html: str) -> DataFrame:
 
 def html_inline(df: DataFrame, id: str, html: str) -> DataFrame:
     """Inline rules applied to a fragment without block structure."""
-    return df.select(F.col(id).alias("doc_id"), inline_markdown(strip_opaque(F.col(html))).alias("markdown"))
+    return spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), inline_markdown(strip_opaque(F.col(html))).alias("markdown"))
 
 
 def nested_tokens(df: DataFrame, id: str, html: str) -> DataFrame:

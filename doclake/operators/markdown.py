@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from doclake.functions.text import let, trim_ws
 from doclake.functions.urls import parse_image_ref
 from doclake.rules import rule_table
-from doclake.session import cluster_by
+from doclake.session import cluster_by, spread_small
 
 # The unit grammar.
 FRONT_MATTER = r"\A---[ \t]*\n(?:[\s\S]*?\n)??---[ \t]*(?:\n|\z)"
@@ -57,7 +57,7 @@ def _kind(u: Column, pos: Column) -> Column:
 def md_units(df: DataFrame, id: str, text: str, clustered: bool = False) -> DataFrame:
     """``doc_id, pos, unit, kind, line``; ``line`` is only there when the documents are clustered."""
     docs = df.select(F.col(id).alias("doc_id"), F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")).alias("_md"))
-    docs = cluster_by(docs, "doc_id") if clustered else docs
+    docs = cluster_by(docs, "doc_id") if clustered else spread_small(docs)
     units = docs.select("doc_id", F.posexplode(F.regexp_extract_all("_md", F.lit(UNIT), F.lit(0))).alias("pos", "unit"))
     return units.withColumn("kind", _kind(F.col("unit"), F.col("pos")))
 

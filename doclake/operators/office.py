@@ -466,10 +466,8 @@ def _slide_tokens(parts: DataFrame, inline: bool = False) -> DataFrame:
 
     tokens = _with_extra(pptx_slides(parts, inline), "xml", resolve, "doc_id", "slide_no", "notes")
     by_slide = W.partitionBy("doc_id", "slide_no").orderBy("pos")
-    opened = F.col("kind") == "open"
-    shape = _count((F.col("tag") == "p:sp") & opened, by_slide)
-    # a picture or frame starts a new shape too: properties name the shape everything after them belongs to
-    return tokens.withColumn("shape_no", shape).withColumn("shape_id", F.last(F.when(
+    # pictures and frames are shapes too: properties name the shape that everything after them belongs to
+    return tokens.withColumn("shape_id", F.last(F.when(
         F.col("tag") == "p:cNvPr", _x(F.col("raw"), "id")), ignorenulls=True).over(by_slide)).withColumn(
         "bodies", _depth("p:txBody", by_slide)).withColumn("cells", _depth("a:tc", by_slide)).withColumn("tables", _depth("a:tbl", by_slide))
 
@@ -479,8 +477,8 @@ def _title_shapes(tokens: DataFrame) -> DataFrame:
     tag, raw = F.col("tag"), F.col("raw")
     by_slide = W.partitionBy("doc_id", "slide_no")
     type_ = F.when(tag == "p:ph", _x(raw, "type"))
-    in_ph = F.max(F.when(tag == "p:ph", F.col("pos"))).over(W.partitionBy("doc_id", "slide_no", "shape_no").orderBy("pos"))
-    size = F.when((tag == "a:rPr") & F.col("in_ph").isNull() & F.col("kind").isin("open", "void"), _x(raw, "sz").try_cast("int"))
+    in_ph = F.last(F.when(tag == "p:ph", True).when((tag == "p:sp") & (F.col("kind") == "open"), False), ignorenulls=True).over(by_slide.orderBy("pos"))
+    size = F.when((tag == "a:rPr") & ~F.coalesce("in_ph", F.lit(False)) & F.col("kind").isin("open", "void"), _x(raw, "sz").try_cast("int"))
     tokens = tokens.withColumn("in_ph", in_ph).withColumn("ph", type_).withColumn("sz", size)
     is_title = F.col("ph").isin("title", "ctrTitle")
     placeholder = F.min_by("shape_id", F.when(is_title, F.col("pos"))).over(by_slide)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.text import NAMED_ENTITIES, XML_ENTITIES, decode_entities
+from doclake.session import spread_small
 
 # One token is a tag (quote-aware), a text run, or a stray "<". Possessive, so it cannot backtrack.
 TOKEN = r"""<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
@@ -78,7 +79,8 @@ def explode_tokens(df: DataFrame, markup: str, *keep: str, xml: bool = False) ->
 def html_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, pos, kind, tag, attrs, text`` with entities decoded after tokenising."""
     raw = F.col("raw")
-    return explode_tokens(df.select(F.col(id).alias("doc_id"), F.col(html).alias("_markup")), "_markup", "doc_id").select(
+    pages = spread_small(df.select(F.col(id).alias("doc_id"), F.col(html).alias("_markup")))
+    return explode_tokens(pages, "_markup", "doc_id").select(
         "doc_id", "pos", "kind", "tag", "raw",
         F.when(F.col("kind").isin("open", "void"), attr_map(raw)).alias("attrs"),
         F.when(F.col("kind") == "text", decode_entities(raw)).alias("text"))

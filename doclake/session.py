@@ -36,18 +36,37 @@ TASK_BYTES = 64 << 20
 MOST_PARTITIONS = 100_000
 
 
+# Inputs up to this size are dealt out again when they come in fewer pieces than there are cores.
+SMALL_BYTES = 256 << 20
+
+
+def _known_bytes(df: DataFrame) -> int | None:
+    """Bytes of the relations behind ``df`` as far as the planner knows them; null when it knows none."""
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes").rstrip("b"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [n for n in sizes if n < unknown]
+    return sum(known) if known else None
+
+
 def partition_count(df: DataFrame) -> int:
     """At least the session's shuffle partitions, more where the files behind ``df`` are large.
 
-    Only what the planner knows about its leaves is used; relations of unknown size do not count.
+    Relations of unknown size do not count.
     """
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes").rstrip("b"))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(n for n in sizes if n < unknown)
-    return min(max(least, -(-known // TASK_BYTES)), max(MOST_PARTITIONS, least))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-(_known_bytes(df) or 0) // TASK_BYTES)), max(MOST_PARTITIONS, least))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small batch input out to all cores before per-row work: one small file is otherwise one task.
+
+    Inputs that are large, streaming or of unknown size keep their splits and are never shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    known = _known_bytes(df)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if known is not None and known < SMALL_BYTES else df
 
 
 def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from doclake import session
 from doclake.operators import html as H
 
 CASES = [
@@ -58,6 +59,7 @@ def test_one_exchange(spark, op):
 
 
 @pytest.mark.parametrize("op", [H.html_text, H.html_links, H.html_headings, H.html_images])
-def test_extractors_do_not_shuffle(spark, op):
+def test_extractors_do_not_shuffle(spark, op, monkeypatch):
+    monkeypatch.setattr(session, "SMALL_BYTES", 0)
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert "Exchange" not in op(df, "page_id", "html")._jdf.queryExecution().executedPlan().toString()
