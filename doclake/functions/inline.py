@@ -100,4 +100,5 @@ def inline_markdown(fragment: Column) -> Column:
     """Markdown of an HTML fragment that has no block structure, trimmed."""
     joined = F.array_join(F.transform(token_array(fragment), lambda t: let(
         F.struct(t.alias("raw"), tag_of(t).alias("tag")), lambda s: inline_token(s["raw"], s["tag"]))), "")
-    return trim_ws(let(joined, resolve_inline))
+    plain = ~F.contains(fragment, F.lit("<"))
+    return trim_ws(F.when(plain, decode_entities(fragment)).otherwise(let(joined, resolve_inline)))

@@ -149,10 +149,23 @@ def _depth(tag: str, window) -> Column:
     return F.sum(step).over(window)
 
 
-def _with_extra(df: DataFrame, xml: str, resolve, *keep: str) -> DataFrame:
-    """Token rows with ``extra``, resolved against the document's lookups before the explosion."""
+# The elements each family of documents is read from.
+DOCX_TAGS = ["w:tbl", "w:tr", "w:tc", "w:p", "w:r", "w:hyperlink", "w:drawing", "w:b", "w:i", "w:strike", "w:u", "w:pStyle", "w:ilvl", "w:numId",
+             "w:tab", "w:br", "a:blip"]
+ODF_TAGS = ["text:h", "text:p", "text:span", "text:a", "text:list", "text:list-item", "text:line-break", "text:tab", "table:table", "table:table-row",
+            "table:table-cell", "draw:image"]
+PPTX_TAGS = ["p:sp", "p:cNvPr", "p:ph", "p:txBody", "a:p", "a:r", "a:rPr", "a:pPr", "a:hlinkClick", "a:buChar", "a:buAutoNum", "a:buNone", "a:tbl", "a:tr",
+             "a:tc", "a:blip"]
+
+
+def _with_extra(df: DataFrame, xml: str, tags: list[str], resolve, *keep: str) -> DataFrame:
+    """Token rows with ``extra``, resolved against the document's lookups before the explosion.
+
+    Elements nobody reads are dropped while the tokens are still an array, so they never become rows.
+    """
+    useful = r"^(?:[^<]|<$|</?(?:" + "|".join(tags) + r")[\s/>])"
     tokens = df.select(*keep, F.posexplode(F.transform(
-        F.filter(token_array(F.col(xml)), lambda t: ~F.startswith(t, F.lit("<?")) & ~F.startswith(t, F.lit("<!"))),
+        F.filter(token_array(F.col(xml)), lambda t: F.rlike(t, F.lit(useful))),
         lambda t: F.struct(t.alias("raw"), resolve(t).alias("extra")))).alias("pos", "t"))
     tokens = tokens.select(*keep, "pos", "t.raw", "t.extra", tag_of(F.col("t.raw"), xml=True).alias("tag"))
     return tokens.withColumn("kind", F.when(F.col("tag") == "", "text").when(F.startswith("raw", F.lit("</")), "close")
@@ -189,7 +202,7 @@ def _docx_tokens(docs: DataFrame) -> DataFrame:
         return (F.when(F.startswith(t, F.lit("<w:hyperlink")), let(_x(t, "r:id"), lambda r: lookup(F.col("rels"), "rel_id", "target", r)))
                 .when(F.startswith(t, F.lit("<a:blip")), image).when(F.startswith(t, F.lit("<w:numId")), levels))
 
-    tokens = _with_extra(docs, "xml", resolve, "doc_id")
+    tokens = _with_extra(docs, "xml", DOCX_TAGS, resolve, "doc_id")
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     closed = F.col("kind") == "close"
     tokens = tokens.withColumn("tables", _depth("w:tbl", by_doc)).withColumn("drawings", _depth("w:drawing", by_doc)).withColumn(
@@ -377,7 +390,7 @@ def odf_to_markdown(parts: DataFrame, inline: bool = False) -> DataFrame:
                 .when(F.startswith(t, F.lit("<draw:image")), let(_x(t, "xlink:href"), lambda h: lookup(F.col("media"), "part", "image", h)))
                 .when(F.startswith(t, F.lit("<text:a ")), _x(t, "xlink:href", True)).when(F.startswith(t, F.lit("<text:h")), _x(t, "text:outline-level")))
 
-    tokens = _with_extra(docs, "xml", resolve, "doc_id")
+    tokens = _with_extra(docs, "xml", ODF_TAGS, resolve, "doc_id")
     tag, kind, extra = F.col("tag"), F.col("kind"), F.col("extra")
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     opened, closed = kind == "open", kind == "close"
@@ -464,7 +477,7 @@ def _slide_tokens(parts: DataFrame, inline: bool = False) -> DataFrame:
         return (F.when(F.startswith(t, F.lit("<a:hlinkClick")), let(_x(t, "r:id"), lambda r: F.coalesce(lookup(F.col("rels"), "rel_id", "target", r), F.lit(""))))
                 .when(F.startswith(t, F.lit("<a:blip")), image))
 
-    tokens = _with_extra(pptx_slides(parts, inline), "xml", resolve, "doc_id", "slide_no", "notes")
+    tokens = _with_extra(pptx_slides(parts, inline), "xml", PPTX_TAGS, resolve, "doc_id", "slide_no", "notes")
     by_slide = W.partitionBy("doc_id", "slide_no").orderBy("pos")
     # pictures and frames are shapes too: properties name the shape that everything after them belongs to
     return tokens.withColumn("shape_id", F.last(F.when(
