@@ -44,7 +44,9 @@ def _known_bytes(df: DataFrame) -> int | None:
     """Bytes of the relations behind ``df`` as far as the planner knows them; null when it knows none."""
     unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes").rstrip("b"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # checkpointed data keeps the estimate of the plan it came from, which after joins means nothing
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in (leaves.apply(i) for i in range(leaves.size()))
+             if leaf.getClass().getSimpleName() != "LogicalRDD"]
     known = [n for n in sizes if n < unknown]
     return sum(known) if known else None
 
@@ -87,8 +89,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder (a private one only where none is configured)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="doclake-ckpt-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doclake-ckpt-"))
     return df.checkpoint()
