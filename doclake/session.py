@@ -81,15 +81,30 @@ def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartition(partition_count(df), *keys)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the configured checkpoint folder; a private one only where none is configured."""
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: ``spark.checkpoint.dir``, else below the warehouse; both are shared by a cluster.
+
+    A folder of one machine serves only a session that runs on one machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/doclake-{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"doclake-{name}-")
+    if base:
+        return base.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return f"{tempfile.gettempdir()}/doclake-{spark.sparkContext.applicationId}"
+    if base.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base}/doclake-work"
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_folder(spark)}/doclake-{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder (a private one only where none is configured)."""
+    """Materialise ``df`` in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doclake-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
