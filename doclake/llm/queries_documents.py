@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm.secrets import ACCESS, ASSIGN, HEX, LONG, scan_secrets, span_text
 from doclake.llm.sharding import even_tree, grown_tree, shard_rows
+from doclake.llm.url_filters import filter_captures, url_host, validity_intervals
 from doclake.plans.registry import table
 
 SHARDS = 40
@@ -17,5 +19,102 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op5_hash_tree_shards": op5_hash_tree_shards}
-ORACLES: dict[str, str] = {}
+
+def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture of a day of its own, against lists whose dated entries name hosts and paths of the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.pmod(F.col("page_id") * 7919, F.lit(365)))
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    host = url_host(F.col("url"))
+    entries = pages.where("url is not null and page_id is not null").select(
+        F.when(F.pmod("page_id", F.lit(3)) == 0, "allow").otherwise("block").alias("list"),
+        F.when(F.pmod("page_id", F.lit(2)) == 0, "host").otherwise("url").alias("kind"),
+        F.when(F.pmod("page_id", F.lit(2)) == 0, host).otherwise(F.concat(host, path)).alias("pattern"),
+        F.when(F.pmod("page_id", F.lit(7)) < 3, "remove").otherwise("add").alias("action"),
+        F.pmod(F.col("page_id") * 104729, F.lit(365)).alias("day"))
+    return filter_captures(captures, "url", "fetched", validity_intervals(entries))
+
+
+OP1_SQL = r"""
+with p as (
+  select page_id, url, (((page_id * 7919) % 365) + 365) % 365 as fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) as path
+  from pages
+), days as (
+  select case when page_id % 3 = 0 then 'allow' else 'block' end as list, case when page_id % 2 = 0 then 'host' else 'url' end as kind,
+    case when page_id % 2 = 0 then host else host || path end as pattern, (page_id * 104729) % 365 as day,
+    max(case when page_id % 7 < 3 then 'remove' else 'add' end) as action
+  from p where url is not null group by all
+), changes as (
+  select * from (select *, coalesce(lag(action) over w, 'remove') as was from days window w as (partition by list, kind, pattern order by day)) where action <> was
+), valid as (
+  select * from (select *, lead(day) over (partition by list, kind, pattern order by day) as valid_to from changes) where action = 'add'
+), keys as (
+  select page_id, fetched, 'url' as kind, host || path as pattern from p where host <> ''
+  union all
+  select page_id, fetched, 'host', array_to_string(string_split(host, '.')[i:], '.')
+  from (select *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) as i from p where host <> '')
+), met as (
+  select k.page_id, v.list, v.pattern, v.day, count(*) over (partition by k.page_id) as n,
+    row_number() over (partition by k.page_id order by length(v.pattern) desc, v.kind = 'url' desc, v.list = 'allow' desc, v.day desc) as rn
+  from keys k join valid v on k.kind = v.kind and k.pattern = v.pattern and k.fetched >= v.day and (v.valid_to is null or k.fetched < v.valid_to)
+)
+select p.page_id, p.url, p.fetched, coalesce(m.list, 'pass') as verdict, m.list as matched_list, m.pattern as matched_pattern,
+  m.day as listed_from, coalesce(m.n, 0) as n_active
+from p left join met m on m.page_id = p.page_id and m.rn = 1
+"""
+
+
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners are sources, their repositories the languages in them."""
+    found = scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang"), F.col("source"))
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("base", F.filter("found", lambda x: x["kind"] < 3))
+
+    def n(kind: int):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    def standing(name: str):
+        return F.size(F.filter("found", lambda x: x["standing"] == name)).cast("long")
+
+    return rows.select(F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                       F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"),
+                       standing("live").alias("n_live"), standing("example").alias("n_example"))
+
+
+def _op9_sql() -> str:
+    def hits(kind: int, pattern: str, value: str, sound: str) -> str:
+        p = pattern.replace("'", "''")
+        return f"""
+  select doc_id, lang, source, {kind} as kind, start, stop, value from (
+    select *, sum(length(gap) + length(hit)) over (partition by doc_id order by pos) - length(hit) as start,
+      sum(length(gap) + length(hit)) over (partition by doc_id order by pos) as stop, {value.format(p=p)} as value
+    from (select doc_id, lang, source, unnest(regexp_extract_all(text, '{p}')) as hit, generate_subscripts(regexp_extract_all(text, '{p}'), 1) as pos,
+            unnest(string_split_regex(text, '{p}')[:len(regexp_extract_all(text, '{p}'))]) as gap from d)) where {sound}"""
+
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, lang, source from documents), c as materialized (
+  {hits(0, ASSIGN, "regexp_extract(hit, '{p}', 2)", "length(value) >= 6")} union all
+  {hits(1, ACCESS, "hit", "length(value) >= 20")} union all
+  {hits(2, HEX, "hit", "length(value) >= 24")} union all
+  {hits(3, LONG, "hit", "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')")}
+), k as materialized (
+  select * from c where kind < 3 or not exists (
+    select 1 from c b where b.kind < 3 and b.doc_id = c.doc_id and b.start < c.stop and b.stop > c.start)
+), o as (select value, count(distinct source) as owners from k group by value
+), j as (select k.*, o.owners from k join o using (value) where kind < 3 or owners = 1
+), g as (
+  select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind) as spans,
+    string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind) filter (kind < 3) as base,
+    count(*) filter (owners = 1) as n_live, count(*) filter (owners >= 3) as n_example
+  from j group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+from d left join g using (doc_id)
+"""
+
+
+QUERIES = {"op1_temporal_url_filter": op1_temporal_url_filter, "op5_hash_tree_shards": op5_hash_tree_shards, "op9_secret_ownership": op9_secret_ownership}
+ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op9_secret_ownership": _op9_sql()}
