@@ -38,6 +38,7 @@ def crc_of_id(column: str) -> Column:
 _RANDOM = np.random.default_rng(20240607)
 BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -61,6 +62,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``values``, which depend on their content alone.
+
+    A span's polynomial is a difference of running sums, brought back to power zero by the inverse base.
+    """
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * powers(BASE, len(values)), out=total[1:])
+        key = (total[ends] - total[starts]) * powers(BASE_INVERSE, len(values) + 1)[starts]
+        return mix(key ^ mix((ends - starts).astype(np.uint64)))
+
+
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, row offsets into them) of whole texts, about ``most`` bytes at a time.
 
@@ -101,13 +114,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
     with np.errstate(over="ignore"):
-        # a word is the sum of its bytes' values times powers that count down to its end: a difference of running sums
-        weight = powers(BASE, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[low] * weight[:n], out=total[1:])
-        # shifting every word to the same power keeps equal words equal
-        key = (total[ends] - total[starts]) * weight[n - starts]
-        key = mix(key ^ mix((ends - starts).astype(np.uint64)))
+        key = span_hashes(BYTE_VALUES[low], starts, ends)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     return key, rows, starts, ends
 
