@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm.jaccard import jaccard_components
 from doclake.llm.secrets import ACCESS, ASSIGN, HEX, LONG, scan_secrets, span_text
 from doclake.llm.sharding import even_tree, grown_tree, shard_rows
 from doclake.llm.url_filters import filter_captures, url_host, validity_intervals
@@ -116,5 +117,31 @@ from d left join g using (doc_id)
 """
 
 
-QUERIES = {"op1_temporal_url_filter": op1_temporal_url_filter, "op5_hash_tree_shards": op5_hash_tree_shards, "op9_secret_ownership": op9_secret_ownership}
-ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op9_secret_ownership": _op9_sql()}
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+OP7_SQL = r"""
+with recursive w as materialized (
+  select doc_id, list_filter(string_split_regex(regexp_replace(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents
+), sets as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+), texts as materialized (
+  select min(doc_id) as rep, list_sort(s) as s, len(s) as n from sets where len(s) > 0 group by all
+), items as materialized (select rep, n, unnest(s) as x from texts
+), pairs as materialized (
+  select a.rep as a, b.rep as b from items a join items b on a.x = b.x and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges as materialized (select a, b from pairs union select b, a from pairs
+), reach as (select rep as a, rep as b from texts union select r.a, e.b from reach r join edges e on r.b = e.a
+), root as (select a, min(b) as component_id from reach group by a)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(r.component_id, s.doc_id) as component_id
+from sets s left join texts t on list_sort(s.s) = t.s and len(s.s) > 0 left join root r on r.a = t.rep
+"""
+
+
+QUERIES = {"op1_temporal_url_filter": op1_temporal_url_filter, "op5_hash_tree_shards": op5_hash_tree_shards, "op7_jaccard_components": op7_jaccard_components,
+           "op9_secret_ownership": op9_secret_ownership}
+ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op7_jaccard_components": OP7_SQL, "op9_secret_ownership": _op9_sql()}
