@@ -104,7 +104,7 @@ class Codec:
                 break
             self.db.execute(f"create or replace temp table start as select piece, pos, tok from last where it = {ROUNDS}")
         self.db.execute("create or replace temp table tokens as select piece, row_number() over (partition by piece order by pos) - 1 as pos, tok from done")
-        return self.db.execute("select piece, pos::int as pos, tok from tokens order by piece, pos").to_arrow_table()
+        return self.db.sql("select piece, pos::int as pos, tok from tokens order by piece, pos").to_arrow_table()
 
     def decode(self) -> list[bytes]:
         """Bytes of the pieces encoded last, from their token ids alone."""

@@ -129,16 +129,15 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, s:
     return np.frombuffer(got["line"]), got["bias"]
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], line: np.ndarray, bias: float, s: Settings) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], line: np.ndarray, bias: float, s: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.empty(batch.num_rows)
-        for a, b, data, offsets in text_slices(batch.column("_text")):
+        for a, b, data, offsets in text_slices(batch.column(text)):
             f, rows = features(data, offsets, s.bits, s.grams)
             total = np.bincount(rows, line[f], b - a)
             number = np.bincount(rows, minlength=b - a)
             out[a:b] = 1 / (1 + np.exp(-(total / np.maximum(number, 1) + bias)))
-        names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], [*names, "score"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(out)], [*keep, "score"])
 
 
 def score_quality(docs: DataFrame, text: str, model: tuple[np.ndarray, float], s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
@@ -148,10 +147,11 @@ def score_quality(docs: DataFrame, text: str, model: tuple[np.ndarray, float], s
     replaced. The score reads the text only.
     """
     names = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
-    rows = docs.select(*names, F.col(text).alias("_text"))
+    # a text that is not kept travels to the workers, not back
+    rows = docs.select(*names, *([] if text in names else [text]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     line, bias = model
-    return rows.mapInArrow(lambda b: score_batches(b, line, bias, s), f"{schema + ', ' if schema else ''}score double")
+    return rows.mapInArrow(lambda b: score_batches(b, text, names, line, bias, s), f"{schema + ', ' if schema else ''}score double")
 
 
 def held_out(crc: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm.bpe import digests_of
 from doclake.llm.common import crc_of_id
+from doclake.llm.packing import pack
 from doclake.llm.quality import learn, score_quality
 from doclake.plans.registry import table
 
@@ -21,4 +24,22 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op6_subword_quality": op6_subword_quality}
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer's file; its content travels with the tasks, so executors need no copy."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_of(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_multi_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_subword_quality": op6_subword_quality, "op8_byte_bpe": op8_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing}
