@@ -27,7 +27,7 @@ RARE, END, START, WORDS = 0, 1, 2, 3
 END_KEY = np.uint64(0x454E44)
 SHIFT = 24
 #: Tokens and texts that a task counts together before it hands them on.
-TOKENS_TOGETHER, TEXTS_TOGETHER = 4_000_000, 30_000
+TOKENS_TOGETHER, TEXTS_TOGETHER = 1_500_000, 30_000
 #: Counts up to this are discounted.
 TRUSTED = 5
 
