@@ -25,17 +25,22 @@ TAR = [(257, "7573746172")]
 OLE = [(0, "D0CF11E0A1B11AE1")]
 GZ = [(0, "1F8B08")]
 XZ = [(0, "FD377A585A00")]
-AUDIO = [(0, "494433"), (0, "FFFB"), (0, "664C6143"), (0, "4F676753"), (0, "4D546864"), (4, "667479704D3441")]
+AUDIO = [(0, "494433"), (0, "FFFB"), (0, "664C6143"), (0, "4F676753"), (0, "4D546864"), (4, "667479704D3441"),
+         (0, "2321414D52"), (0, "FFF1"), (0, "FFF9")]
 VIDEO = [(0, "1A45DFA3"), (0, "3026B2758E66CF11"), (0, "464C5601"), (0, "000001B3"), (0, "000001BA"),
          (4, "6674797069736F6D"), (4, "667479706D703431"), (4, "667479706D703432"), (4, "667479704D3456"),
-         (4, "6674797071742020"), (4, "6674797061766331"), (4, "6674797033677035")]
-APP = [(0, "4D5A"), (0, "7F454C46"), (0, "CAFEBABE"), (0, "0061736D"), (0, "CFFAEDFE"), (0, "FEEDFACF")]
+         (4, "6674797071742020"), (4, "6674797061766331"), (4, "6674797033677035"),
+         (4, "6674797069736F32"), (4, "6674797069736F35"), (4, "6674797069736F36"), (4, "6674797064617368"), (4, "667479704D534E56")]
+APP = [(0, "4D5A"), (0, "7F454C46"), (0, "CAFEBABE"), (0, "0061736D"), (0, "CFFAEDFE"), (0, "FEEDFACF"),
+       (0, "6465780A"), (0, "6465790A"), (0, "4243C0DE")]
 IMAGE = [
     (0, "89504E470D0A1A0A"), (0, "FFD8FF"), (0, "474946383961"), (0, "474946383761"), (0, "4D4D002A"),
     (0, "49492A00"), (0, "44445320"), (0, "424D"), (0, "00000100"), (0, "233F52414449414E4345"), (0, "762F3101"),
     (0, "716F6966"), (0, "5031"), (0, "5032"), (0, "5033"), (0, "5034"), (0, "5035"), (0, "5036"), (0, "5037"),
     (0, "6661726266656C64"),
 ]
+# Images that are linked but never decoded: Photoshop, JPEG 2000, JPEG XR.
+OTHER_IMAGE = [(0, "38425053"), (0, "0000000C6A5020200D0A870A"), (0, "FF4FFF51"), (0, "4949BC")]
 ODF_MIME = {name: "mimetypeapplication/vnd.oasis.opendocument." + kind
             for name, kind in [("odt", "text"), ("odp", "presentation"), ("ods", "spreadsheet")]}
 
@@ -64,7 +69,8 @@ def is_image(content: Column) -> Column:
 
 def is_other_image(content: Column) -> Column:
     """Image containers that are linked but never decoded."""
-    return bytes_at(content, 4, b"ftyp") & F.substring(content, 9, 4).isin([F.lit(b) for b in (b"avif", b"avis", b"heic", b"heix", b"mif1")])
+    brand = bytes_at(content, 4, b"ftyp") & F.substring(content, 9, 4).isin([F.lit(b) for b in (b"avif", b"avis", b"heic", b"heix", b"mif1")])
+    return has_signature(content, OTHER_IMAGE) | F.coalesce(brand, F.lit(False))
 
 
 def is_video(content: Column) -> Column:
@@ -74,7 +80,8 @@ def is_video(content: Column) -> Column:
 
 def is_audio(content: Column) -> Column:
     wav = bytes_at(content, 0, b"RIFF") & bytes_at(content, 8, b"WAVE")
-    return has_signature(content, AUDIO) | F.coalesce(wav, F.lit(False))
+    aiff = bytes_at(content, 0, b"FORM") & F.substring(content, 9, 4).isin([F.lit(b) for b in (b"AIFF", b"AIFC")])
+    return has_signature(content, AUDIO) | F.coalesce(wav | aiff, F.lit(False))
 
 
 def head_text(content: Column) -> Column:
@@ -115,8 +122,28 @@ def is_zip(content: Column) -> Column:
     return has_signature(content, ZIP)
 
 
-def _ooxml(content: Column, folder: str) -> Column:
-    return is_zip(content) & F.contains(content, F.lit(b"[Content_Types].xml")) & F.contains(content, F.lit(folder.encode()))
+def zip_directory(content: Column) -> Column:
+    """The archive's own table of members, which its last record points to; empty where that is damaged.
+
+    Names inside members, of an archive stored in this one for example, are no part of it.
+    """
+    size = F.octet_length(content)
+
+    def number(record: Column, first: int) -> Column:
+        return F.conv(F.concat(*[F.hex(F.substring(record, first + i, 1)) for i in (4, 3, 2, 1)]), 16, 10).cast("long")
+
+    def of(tail: Column) -> Column:
+        # the last end record starts before a comment of up to 65,535 bytes, mostly empty
+        at = F.when(F.substring(tail, -22, 4) == F.lit(b"PK\5\6"), F.substring(tail, -22, 22)).otherwise(F.unhex(F.regexp_extract(
+            F.hex(tail), "^(?:[0-9A-F]{2})*(504B0506[0-9A-F]{36})", 1)))
+        return let(at, lambda r: F.when((F.octet_length(r) == 22) & (number(r, 16) + number(r, 12) <= size),
+                                        F.substring(content, (number(r, 16) + 1).cast("int"), number(r, 12).cast("int"))))
+
+    return F.coalesce(let(F.substring(content, -65557, 65557), of), F.lit(b""))
+
+
+def _ooxml(directory: Column, folder: str) -> Column:
+    return F.contains(directory, F.lit(b"[Content_Types].xml")) & F.contains(directory, F.lit(folder.encode()))
 
 
 def _odf(content: Column, name: str) -> Column:
@@ -126,24 +153,23 @@ def _odf(content: Column, name: str) -> Column:
 
 
 def detect_format(content: Column, ext: Column) -> Column:
-    """One pass over the ordered rules, content or extension; then signatures; then text or binary."""
+    """The ordered rules, content or extension; then signatures; then text or binary."""
     ext = F.coalesce(ext, F.lit(""))
     ext = F.when((ext == "mmd") & is_mermaid(content), "mermaid").otherwise(ext)
-    checks = {
-        "docx": _ooxml(content, "word/"), "pptx": _ooxml(content, "ppt/"), "xlsx": _ooxml(content, "xl/"),
-        "odt": _odf(content, "odt"), "odp": _odf(content, "odp"), "ods": _odf(content, "ods"),
-        "xls": has_signature(content, OLE), "zip": is_zip(content), "tar": has_signature(content, TAR),
-    }
+    whole = {"odt": _odf(content, "odt"), "odp": _odf(content, "odp"), "ods": _odf(content, "ods"),
+             "xls": has_signature(content, OLE), "zip": is_zip(content), "tar": has_signature(content, TAR)}
 
-    def chain(e: Column) -> Column:
+    def chain(e: Column, directory: Column) -> Column:
+        checks = whole | {n: F.coalesce(_ooxml(directory, folder), F.lit(False)) for n, folder in (("docx", "word/"), ("pptx", "ppt/"), ("xlsx", "xl/"))}
         out = F.when(F.lit(False), F.lit(""))
         for name, exts in FORMAT_EXTENSIONS:
             rule = e.isin(exts)
             out = out.when(checks[name] | rule if name in checks else rule, name)
-        return (out.when(is_image(content), "image").when(is_audio(content), "audio").when(is_video(content), "video")
-                .when(has_signature(content, APP), "app").when(is_other_image(content), "image").when(utf8_valid(content), "text").otherwise("binary"))
+        return (out.when(is_image(content), "image").when(is_other_image(content), "image").when(is_audio(content), "audio").when(is_video(content), "video")
+                .when(has_signature(content, APP), "app").when(utf8_valid(content), "text").otherwise("binary"))
 
-    return let(ext, chain)
+    # only the member table of a zip is read, once
+    return let(F.when(is_zip(content), zip_directory(content)), lambda d: let(ext, lambda e: chain(e, d)))
 
 
 def file_ext(path: Column) -> Column:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# HTML named character references that are decoded; "amp" always last.
-NAMED_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"),
-    ("reg", "®"), ("trade", "™"), ("middot", "·"), ("bull", "•"), ("hellip", "…"),
-    ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"),
-    ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("times", "×"), ("euro", "€"),
-    ("pound", "£"), ("amp", "&"),
-]
+# The five references of XML.
 XML_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]
+# HTML names: those of the standard library that end in a semicolon; a hard space is shown as a plain one.
+NAMED_ENTITIES = [(name[:-1], " " if char == "\u00a0" else char) for name, char in sorted(html5.items()) if name.endswith(";")]
 
 
 def let(value: Column, body) -> Column:
@@ -26,36 +24,34 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
 
 
-def join_lines(parts: Column, sep: str = "\n") -> Column:
-    return F.array_join(parts, sep)
-
-
-def _code_point(hex_digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
-
-
-def _numeric_references(text: Column) -> Column:
-    dec = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-    hexa = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9a-fA-F]{1,6});"), F.lit(1)))
-    refs = F.concat(
-        F.transform(dec, lambda c: record(ref=F.concat(F.lit("&#"), c, F.lit(";")), code=F.hex(c.cast("long")))),
-        F.transform(hexa, lambda c: record(ref=F.concat(F.lit("&#x"), c, F.lit(";")), code=c)))
-    return F.aggregate(refs, F.regexp_replace(text, "&#X", "&#x"),
-                       lambda acc, r: F.replace(acc, r["ref"], _code_point(r["code"])))
+def _numeric(ref: Column) -> Column:
+    """Character of ``#65`` or ``#x41``; zero, surrogates and what lies beyond Unicode are the replacement character."""
+    hexa = F.rlike(ref, F.lit("^#[xX]"))
+    digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+    code = F.when((F.length(digits) > 7) | (digits == ""), F.lit(-1)).otherwise(F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).cast("int"))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(F.coalesce(valid, F.lit(False)), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def decode_entities(text: Column, named=NAMED_ENTITIES) -> Column:
-    """Numeric and named character references to characters; untouched when there is no ``&``."""
-
-    pairs = ", ".join("struct('&%s;' AS ref, '%s' AS char)" % (name, char.replace("'", "\\'")) for name, char in named)
-
-    def all_named(t: Column) -> Column:
-        return F.aggregate(F.expr(f"array({pairs})"), t, lambda acc, e: F.replace(acc, e["ref"], e["char"]))
-
-    def numeric(t: Column) -> Column:
-        return F.when(F.contains(t, F.lit("&#")), _numeric_references(t)).otherwise(t)
-
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), all_named(numeric(t))).otherwise(t))
+    """Numeric and named character references to characters, each once, in one pass; unknown names stay as they are."""
+    pattern = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+    common = {"amp", "lt", "gt", "quot", "apos", "nbsp"}
+    table = F.from_json(F.lit(json.dumps(dict(named))), "map<string,string>")
+
+    def char(hit: Column) -> Column:
+        name = F.substring(hit, F.lit(2), F.length(hit) - 2)
+        known = F.when(F.startswith(name, F.lit("#")), _numeric(name))
+        for n, c in named:
+            if n in common:
+                known = known.when(name == n, c)
+        return F.coalesce(known.otherwise(F.try_element_at(table, name)) if len(named) > len(XML_ENTITIES) else known, hit)
+
+    def decoded(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(F.split(t, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(char(F.get(hits, i)), F.lit("")))), "")
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def collapse_blanks(text: Column) -> Column:

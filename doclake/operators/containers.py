@@ -6,6 +6,7 @@ Only bytes are handled in Python, in Arrow batches inside the tasks; what the me
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import lzma
 import tarfile
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclake.functions.detect import GZ, TAR, XZ, ZIP, file_ext, has_signature
-from doclake.session import ship_with_tasks, spread_small
+from doclake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 MEMBERS = "path string, member_no int, member string, content binary, error string"
 INFLATED = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 BATCH_BYTES = 32 << 20
+# Spark holds a binary value in one array.
+MOST_CELL = (1 << 31) - 64
 
 
 def _inflate(data: bytes) -> bytes:
@@ -60,18 +63,37 @@ def skip_member(name: Column) -> Column:
             | F.startswith(F.substring_index(name, "/", -1), F.lit("._")))
 
 
-def _members(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _office_names(names: list[str]) -> bool:
+    """Office packages name their content types, or start with their media type."""
+    return "[Content_Types].xml" in names or names[:1] == ["mimetype"]
+
+
+def _too_large(size: int) -> None:
+    if size > MOST_CELL:
+        raise ValueError(f"{size} bytes do not fit in one cell")
+
+
+def _members(data: bytes) -> Iterator[tuple[str, bytes | Exception]]:
+    """Names and bytes; a member that cannot be read comes with its error, the others stay."""
     if data[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 name = info.filename
                 if not info.is_dir() and not (name.startswith("__MACOSX/") or "/._" in name or name.split("/")[-1].startswith("._")):
-                    yield name, z.read(info)
+                    try:
+                        _too_large(info.file_size)
+                        yield name, z.read(info)
+                    except Exception as e:
+                        yield name, e
     else:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
             for info in t:
                 if info.isfile():
-                    yield info.name, t.extractfile(info).read()
+                    try:
+                        _too_large(info.size)
+                        yield info.name, t.extractfile(info).read()
+                    except Exception as e:
+                        yield info.name, e
 
 
 def _is_archive(data: bytes) -> bool:
@@ -79,27 +101,60 @@ def _is_archive(data: bytes) -> bool:
 
 
 def _is_office(data: bytes) -> bool:
-    return data[30:38] == b"mimetype" or b"[Content_Types].xml" in data
+    if data[:2] != b"PK":
+        return False
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return _office_names(z.namelist())
 
 
-def _walk(data: bytes, prefix: str, depth: int) -> Iterator[tuple[str, bytes]]:
-    for name, body in _members(data):
-        inner = _inflate(body)
-        if depth > 0 and _is_archive(inner) and not _is_office(inner):
-            yield from _walk(inner, f"{prefix}{name}/", depth - 1)
-        else:
-            yield prefix + name, inner if depth > 0 else body
+def _walk(data: bytes, nested: bool) -> Iterator[tuple[str, bytes | Exception]]:
+    """Members in order; with ``nested`` archives among them are opened in place, however deep they lie.
 
-
-def _explode(depth: int):
+    The open archives are a stack. One that holds its own bytes again ends in an error instead of going on for ever.
+    """
+    stack = [("", _members(data), hashlib.sha256(data).digest())]
+    while stack:
+        prefix, members, _ = stack[-1]
+        found = next(members, None)
+        if found is None:
+            stack.pop()
+            continue
+        name, body = found
+        if not nested or isinstance(body, Exception):
+            yield prefix + name, body
+            continue
+        try:
+            inner = _inflate(body)
+            _too_large(len(inner))
+            if _is_archive(inner) and not _is_office(inner):
+                mark = hashlib.sha256(inner).digest()
+                if any(mark == above for _, _, above in stack):
+                    raise ValueError("archive holds itself")
+                stack.append((f"{prefix}{name}/", _guarded(_members(inner)), mark))
+            else:
+                yield prefix + name, inner
+        except Exception as e:
+            yield prefix + name, e
+
+
+def _guarded(members: Iterator[tuple[str, bytes | Exception]]) -> Iterator[tuple[str, bytes | Exception]]:
+    """A damaged inner archive is an error of its own, after the members it still gave."""
+    try:
+        yield from members
+    except Exception as e:
+        yield "", e
+
+
+def _explode(nested: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    for n, (name, body) in enumerate(_walk(bytes(content), "", depth)):
-                        rows.append((path, n, name, body, None))
-                        size += len(body)
+                    for n, (name, body) in enumerate(_walk(bytes(content), nested)):
+                        failed = isinstance(body, Exception)
+                        rows.append((path, n, name, None if failed else body, f"{type(body).__name__}: {body}" if failed else None))
+                        size += 0 if failed else len(body)
                         if size > BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=["path", "member_no", "member", "content", "error"])
                             rows, size = [], 0
@@ -112,17 +167,18 @@ def _explode(depth: int):
 
 def archive_members(files: DataFrame) -> DataFrame:
     """Zip and tar files → ``path, member_no, member, ext, content, error``; folders and desktop litter are dropped."""
-    archives = spread_small(files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR)))
-    return archives.mapInPandas(_explode(0), MEMBERS).withColumn("ext", file_ext(F.col("member")))
+    archives = files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR))
+    return archives.mapInPandas(_explode(False), MEMBERS).withColumn("ext", file_ext(F.col("member")))
 
 
-def expand_nested(files: DataFrame, max_depth: int = 8) -> DataFrame:
+def expand_nested(files: DataFrame) -> DataFrame:
     """Archives inside archives, and gz or xz members, opened in the same pass; paths of inner members are joined.
 
-    An archive deeper than ``max_depth`` stays a member row with its bytes, so nothing is lost.
+    Depth has no limit. A member that cannot be read, a damaged inner archive and an archive that holds itself are rows
+    with their error.
     """
-    archives = spread_small(files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR)))
-    return archives.mapInPandas(_explode(max_depth), MEMBERS).withColumn("ext", file_ext(F.col("member")))
+    archives = files.select("path", "content").filter(has_signature(F.col("content"), ZIP + TAR))
+    return archives.mapInPandas(_explode(True), MEMBERS).withColumn("ext", file_ext(F.col("member")))
 
 
 def package_parts(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ windows; those windows and aggregations all reuse the one distribution.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from doclake.functions.inline import image_markdown, inline_markdown, inline_token, resolve_inline
 from doclake.functions.text import collapse_blanks, decode_entities, let, trim_ws
 from doclake.operators.tokens import attr, explode_tokens, strip_opaque, token_array
-from doclake.session import cluster_by, spread_small
+from doclake.session import cluster_by
 
 # Tags that start and end a block.
 BLOCK_TAGS = [
@@ -35,16 +37,17 @@ def _pages(df: DataFrame, id: str, html: str) -> DataFrame:
 def html_text(df: DataFrame, id: str, html: str) -> DataFrame:
     """Plain text, every tag transparent; one projection per page."""
     texts = F.filter(token_array(strip_opaque(F.col(html))), lambda t: ~F.startswith(t, F.lit("<")) | (t == "<"))
-    return spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), decode_entities(F.array_join(texts, "")).alias("text"))
+    return df.select(id, html).select(F.col(id).alias("doc_id"), decode_entities(F.array_join(texts, "")).alias("text"))
 
 
 def html_links(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, link_no, href, text, markdown`` of every anchor in page order."""
-    pattern = F.lit(r"(?is)<a((?:\s[^>]*)?)>(.*?)</a\s*>")
+    # a link that is not closed ends where the next one starts, or with the page
+    pattern = F.lit(r"(?is)<a((?:\s[^>]*+)?)>((?:[^<]++|<(?!/?a[\s>]))*+)")
     source = strip_opaque(F.col(html))
     pairs = F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1)).alias("attrs"),
                          F.regexp_extract_all(source, pattern, F.lit(2)).alias("body"))
-    links = spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("link_no", "link"))
+    links = df.select(id, html).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("link_no", "link"))
     links = links.select("doc_id", "link_no", F.trim(attr(F.concat(F.lit("<a"), F.col("link.attrs"), F.lit(">")), "href")).alias("href"),
                          inline_markdown(F.col("link.body")).alias("text"))
     keep_link = F.col("href").isNotNull() & ~F.contains("text", F.lit("\n"))
@@ -54,18 +57,19 @@ def html_links(df: DataFrame, id: str, html: str) -> DataFrame:
 
 def html_headings(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, heading_no, level, text`` for h1-h6."""
-    pattern = F.lit(r"(?is)<h([1-6])(?:\s[^>]*)?>(.*?)</h\1\s*>")
+    # a heading that is not closed ends where another one starts or ends, or with the page
+    pattern = F.lit(r"(?is)<h([1-6])(?:\s[^>]*+)?>((?:[^<]++|<(?!/?h[1-6][\s>]))*+)")
     source = strip_opaque(F.col(html))
     pairs = F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1)).alias("level"),
                          F.regexp_extract_all(source, pattern, F.lit(2)).alias("body"))
-    heads = spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("heading_no", "h"))
+    heads = df.select(id, html).select(F.col(id).alias("doc_id"), F.posexplode(pairs).alias("heading_no", "h"))
     return heads.select("doc_id", "heading_no", F.col("h.level").cast("int").alias("level"),
                         inline_markdown(F.col("h.body")).alias("text"))
 
 
 def html_images(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, pos, src, alt, markdown`` of every ``<img>``."""
-    tokens = explode_tokens(spread_small(_pages(df, id, html)), "_markup", "doc_id").filter(
+    tokens = explode_tokens(_pages(df, id, html), "_markup", "doc_id").filter(
         (F.col("tag") == "img") & (F.col("kind") != "close"))
     raw = F.col("raw")
     return tokens.select("doc_id", "pos", F.coalesce(attr(raw, "src"), F.lit("")).alias("src"),
@@ -74,7 +78,7 @@ def html_images(df: DataFrame, id: str, html: str) -> DataFrame:
 
 def html_inline(df: DataFrame, id: str, html: str) -> DataFrame:
     """Inline rules applied to a fragment without block structure."""
-    return spread_small(df.select(id, html)).select(F.col(id).alias("doc_id"), inline_markdown(strip_opaque(F.col(html))).alias("markdown"))
+    return df.select(id, html).select(F.col(id).alias("doc_id"), inline_markdown(strip_opaque(F.col(html))).alias("markdown"))
 
 
 def nested_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
@@ -92,14 +96,11 @@ def nested_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
     last_container = F.last(F.when(container, F.concat("kind", F.lit(" "), "tag")), ignorenulls=True).over(
         by_doc.rowsBetween(W.unboundedPreceding, -1))
     implied = (F.col("before") == "open li") & ((opened & (F.col("tag") == "li")) | (closed & F.col("tag").isin(LIST_TAGS)))
-    tokens = (
-        tokens.withColumn("before", last_container)
-        .withColumn("step", F.when(container, step - F.when(implied, 1).otherwise(0)).otherwise(0))
-        .withColumn("level", F.sum("step").over(by_doc))
-        .withColumn("opaque_step", F.when(F.col("tag").isin(OPAQUE_TAGS), step).otherwise(0))
-        .withColumn("opaque", F.sum("opaque_step").over(by_doc))
-    )
-    outside = (F.col("opaque") == 0) | (F.col("opaque") - F.col("opaque_step") == 0)
+    tokens = tokens.withColumn("before", last_container).withColumn("implied", F.when(F.coalesce(implied, F.lit(False)), 1).otherwise(0))
+    tokens, levels = open_counts(tokens, {t: F.when(F.col("tag") == t, step).otherwise(0) - (F.col("implied") if t == "li" else 0) for t in CONTAINER_TAGS})
+    tokens, tables = open_counts(tokens, {t: F.when(F.col("tag") == t, step).otherwise(0) for t in OPAQUE_TAGS})
+    tokens = tokens.withColumn("level", levels).withColumn("opaque", tables).withColumn("tables", F.col("_open_table"))
+    outside = (F.col("opaque") == 0) | (F.coalesce(F.lag("opaque").over(by_doc), F.lit(0)) == 0)
     return (
         tokens.withColumn("boundary", (F.col("tag").isin(BLOCK_TAGS) & outside)
                           | F.coalesce(F.lag("tag").over(by_doc) == "hr", F.lit(False)))
@@ -107,27 +108,35 @@ def nested_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
     )
 
 
+def open_counts(tokens: DataFrame, steps: dict[str, Column]) -> tuple[DataFrame, Column]:
+    """Adds ``_open_<name>``: how many of each are open after every token; and the sum of all of them.
+
+    An end without a start counts for nothing: the running sum less its own minimum so far never goes below zero.
+    """
+    by_doc = W.partitionBy("doc_id").orderBy("pos")
+    tokens = tokens.withColumns({f"_sum_{n}": F.sum(s).over(by_doc) for n, s in steps.items()})
+    tokens = tokens.withColumns({f"_open_{n}": F.col(f"_sum_{n}") - F.least(F.lit(0), F.min(f"_sum_{n}").over(by_doc)) for n in steps})
+    return tokens.drop(*[f"_sum_{n}" for n in steps]), reduce(lambda a, b: a + b, [F.col(f"_open_{n}") for n in steps])
+
+
 def html_nesting(df: DataFrame, id: str, html: str) -> DataFrame:
     """How many containers of each class are open at every token."""
     tokens = explode_tokens(cluster_by(_pages(df, id, html), "doc_id"), "_markup", "doc_id")
-    by_doc = W.partitionBy("doc_id").orderBy("pos")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
 
-    def depth(*tags: str) -> Column:
-        return F.sum(F.when(F.col("tag").isin(*tags), step).otherwise(0)).over(by_doc)
-
-    return tokens.select(
-        "doc_id", "pos", "kind", "tag", depth(*LIST_TAGS).alias("in_list"), depth("table").alias("in_table"),
-        depth(*QUOTE_TAGS).alias("in_quote"), depth("pre").alias("in_pre"),
-        depth("h1", "h2", "h3", "h4", "h5", "h6").alias("in_heading"), depth("a").alias("in_link"))
+    classes = {"in_list": LIST_TAGS, "in_table": ["table"], "in_quote": QUOTE_TAGS, "in_pre": ["pre"], "in_heading": ["h1", "h2", "h3", "h4", "h5", "h6"], "in_link": ["a"]}
+    tokens, _ = open_counts(tokens, {n: F.when(F.col("tag").isin(*tags), step).otherwise(0) for n, tags in classes.items()})
+    return tokens.select("doc_id", "pos", "kind", "tag", *[F.col(f"_open_{n}").alias(n) for n in classes])
 
 
 def _token_text() -> Column:
     """Text one token adds to its block; inside a table the row and cell structure becomes marker characters."""
     raw, tag, opened = F.col("raw"), F.col("tag"), F.col("kind") != "close"
     in_table = F.col("opaque") > 0
+    inner = F.col("tables") > 1  # rows and cells of a table inside a cell are text of that cell
     return (
-        F.when(tag == "tr", F.when(opened, ROW).otherwise(""))
+        F.when(inner & tag.isin("tr", "td", "th"), F.when(opened, F.when(tag == "tr", "\n").otherwise(" ")).otherwise(""))
+        .when(tag == "tr", F.when(opened, ROW).otherwise(""))
         .when(tag.isin("td", "th"), F.when(opened, F.concat(
             F.lit(CELL), F.coalesce(F.trim(attr(raw, "align", decode=False)), F.lit("")), F.lit(ALIGN))).otherwise(""))
         .when(F.col("boundary") & tag.isin(BLOCK_TAGS), F.when(opened & (tag == "hr"), "---").otherwise(""))
@@ -270,9 +279,14 @@ def render_blocks(blocks: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("block_id", "piece"))), lambda s: s["piece"]), "").alias("markdown"))
 
 
+def keep_rows(texts: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """``texts`` with an empty one for every row of ``df`` that gave none. Ids name rows, so both sides are small and even."""
+    return df.select(F.col(id).alias("doc_id")).distinct().join(texts, "doc_id", "left").withColumn(text, F.coalesce(text, F.lit("")))
+
+
 def html_to_markdown(df: DataFrame, id: str, html: str) -> DataFrame:
     """Whole pages → Markdown. Pages without any content give an empty text."""
-    return render_blocks(html_blocks(df, id, html))
+    return keep_rows(render_blocks(html_blocks(df, id, html)), df, id, "markdown")
 
 
 def html_lists(df: DataFrame, id: str, html: str) -> DataFrame:

@@ -126,17 +126,21 @@ def bundle_documents(df: DataFrame, group: str, path: str, content: str, version
     return head.unionByName(tree).unionByName(foot).unionByName(sections)
 
 
-def concat_raw(df: DataFrame, group: str, order: Column, content: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Ordered concatenation, nothing added: ``group, chunk_no, content``.
+def concat_raw(df: DataFrame, group: str, order: Column, content: str) -> DataFrame:
+    """Ordered concatenation, nothing added, as rows ``group, start, content``: ``start`` is the byte each content begins at.
 
-    A group up to ``max_bytes`` is one chunk; a larger one continues in further chunks of about that size, so no group
-    is ever collected whole. Chunks start where the running byte count crosses a multiple of the limit.
+    Writing the rows of a group in order of ``start`` gives the text, whatever its size; a null content is empty.
     """
-    sized = with_running_sum(df.select(F.col(group), order.alias("_order"), F.col(content).alias("_content")),
-                             F.octet_length("_content").cast("bigint"), F.col(group), F.col("_order"), name="_before")
-    chunk = F.floor(F.col("_before") / max_bytes).cast("bigint")
-    return sized.groupBy(group, chunk.alias("chunk_no")).agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("_order", "_content"))), lambda s: s["_content"]), "").alias("content"))
+    rows = df.select(F.col(group), order.alias("_order"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    placed = with_running_sum(rows, F.octet_length("content").cast("bigint"), F.col(group), F.col("_order"), name="start")
+    return placed.select(group, "start", "content")
+
+
+def join_rows(rows: DataFrame, group: str) -> DataFrame:
+    """One text for each group of ``concat_raw``: ``group, content``. For groups that fit in one value."""
+    # rows without bytes share a start and add nothing
+    return rows.groupBy(group).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("start", "content"))), lambda s: s["content"]), "").alias("content"))
 
 
 def select_covered(paths: DataFrame, selection: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from doclake.functions.text import let, trim_ws
 from doclake.functions.urls import parse_image_ref
 from doclake.rules import rule_table
-from doclake.session import cluster_by, spread_small
+from doclake.session import cluster_by
 
 # The unit grammar.
 FRONT_MATTER = r"\A---[ \t]*\n(?:[\s\S]*?\n)??---[ \t]*(?:\n|\z)"
 FENCE = r"^[ \t]*(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)(?:\n[\s\S]*?)??(?:\n[ \t]*(?:\1`*|\2~*)[ \t]*(?:\n|\z)|\z)"
-DIRECTIVE = r"^:::+[ \t]*[^:\s][^\n]*\n(?:[\s\S]*?\n)??:::+[ \t]*(?:\n|\z)"
-SETEXT = r"^ {0,3}(?![ \t#>|*+-]|\d+[.)])[^\n]*\S[^\n]*\n {0,3}(?:=+|-{2,})[ \t]*(?:\n|\z)"
+# A directive that is not closed goes on to the end, like a fence.
+DIRECTIVE = r"^:::+[ \t]*[^:\s][^\n]*\n(?:[\s\S]*?\n)??(?::::+[ \t]*(?:\n|\z)|\z)"
+SETEXT = r"^ {0,3}(?![ \t#>|*+-]|\d+[.)])(?=[ \t]*+\S)[^\n]*+\n {0,3}(?:=++|-{2,}+)[ \t]*+(?:\n|\z)"
 UNIT = f"(?m){FRONT_MATTER}|{FENCE}|{DIRECTIVE}|{SETEXT}|[^\\n]+\\n?|\\n"
 LIST_MARKER = r"^([ \t]*)([-*+]|[0-9]{1,9}[.)])(?:[ \t]+|$)"
 DELIMITER_ROW_LINE = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\n?$"
@@ -57,7 +58,7 @@ def _kind(u: Column, pos: Column) -> Column:
 def md_units(df: DataFrame, id: str, text: str, clustered: bool = False) -> DataFrame:
     """``doc_id, pos, unit, kind, line``; ``line`` is only there when the documents are clustered."""
     docs = df.select(F.col(id).alias("doc_id"), F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")).alias("_md"))
-    docs = cluster_by(docs, "doc_id") if clustered else spread_small(docs)
+    docs = cluster_by(docs, "doc_id") if clustered else docs
     units = docs.select("doc_id", F.posexplode(F.regexp_extract_all("_md", F.lit(UNIT), F.lit(0))).alias("pos", "unit"))
     return units.withColumn("kind", _kind(F.col("unit"), F.col("pos")))
 
@@ -444,6 +445,8 @@ def md_to_html(df: DataFrame, id: str, text: str, wrap: bool = False, css: str =
             .when(F.col("type") == "quote", F.concat(F.lit("<blockquote>\n"), paragraph, F.lit("</blockquote>\n"))).otherwise(paragraph))
     docs = blocks.select("doc_id", "block_no", html.alias("html")).groupBy("doc_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("block_no", "html"))), lambda s: s["html"]), "").alias("html"))
+    # documents without any content give an empty fragment; ids name rows
+    docs = df.select(F.col(id).alias("doc_id")).distinct().join(docs, "doc_id", "left").withColumn("html", F.coalesce("html", F.lit("")))
     if not wrap:
         return docs
     return docs.select("doc_id", F.concat(F.lit(PAGE_HEAD.format(css=css)), "html", F.lit(PAGE_TAIL)).alias("html"))

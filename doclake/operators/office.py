@@ -329,7 +329,7 @@ def office_media(parts: DataFrame) -> DataFrame:
     media = parts.withColumn("mime", media_type(F.col("part"))).filter("mime IS NOT NULL")
     rels = office_rels(parts)
     folder = F.regexp_extract(F.col("part"), r"^([^/]*/)", 1)
-    target = F.when(F.startswith("target", F.lit("../")), F.concat(folder, F.substring("target", 4, 9999))).when(
+    target = F.when(F.startswith("target", F.lit("../")), F.concat(folder, F.expr("substring(target, 4)"))).when(
         F.startswith("target", F.lit("media/")), F.concat(folder, "target")).otherwise(F.col("target"))
     used = rels.select("doc_id", "rel_id", target.alias("part"))
     return media.join(used, ["doc_id", "part"], "left").select("doc_id", "part", "mime", F.octet_length("content").alias("size"), "rel_id")
@@ -473,7 +473,7 @@ def _slide_tokens(parts: DataFrame, inline: bool = False) -> DataFrame:
     def resolve(t: Column) -> Column:
         target = let(_x(t, "r:embed"), lambda r: lookup(F.col("rels"), "rel_id", "target", r))
         image = let(target, lambda p: lookup(F.col("media"), "part", "image", F.when(
-            F.startswith(p, F.lit("../")), F.concat(F.lit("ppt/"), F.substring(p, 4, 9999))).otherwise(p)))
+            F.startswith(p, F.lit("../")), F.concat(F.lit("ppt/"), F.substring(p, F.lit(4), F.length(p)))).otherwise(p)))
         return (F.when(F.startswith(t, F.lit("<a:hlinkClick")), let(_x(t, "r:id"), lambda r: F.coalesce(lookup(F.col("rels"), "rel_id", "target", r), F.lit(""))))
                 .when(F.startswith(t, F.lit("<a:blip")), image))
 

@@ -16,7 +16,7 @@ from doclake.session import cut_lineage, partition_count
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    placed = df.repartitionByRange(partition_count(df), *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(partition_count(df.sparkSession), *order).sortWithinPartitions(*order)
     placed = cut_lineage(placed.withColumn("_id", F.monotonically_increasing_id()))
     return placed.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn(
         "_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.text import NAMED_ENTITIES, XML_ENTITIES, decode_entities
-from doclake.session import spread_small
 
 # One token is a tag (quote-aware), a text run, or a stray "<". Possessive, so it cannot backtrack.
 TOKEN = r"""<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
@@ -15,8 +14,10 @@ ATTRIBUTE = r"""([^\s=/>"'<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
-OPAQUE = (r"(?s)<!--.*?-->|<(?i:script)\b[^>]*>.*?</(?i:script)\s*>|<(?i:style)\b[^>]*>.*?</(?i:style)\s*>"
-          r"|<(?i:title)\b[^>]*>.*?</(?i:title)\s*>|<[!?][^>]*>")
+# What is not closed goes on to the end of the page.
+OPAQUE = (r"(?s)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+          + "".join(rf"|<(?i:{t})\b[^>]*+(?:>(?:[^<]++|<(?!/(?i:{t})[\s>]))*+(?:</(?i:{t})\s*+>?|\z)|\z)" for t in ("script", "style", "title"))
+          + r"|<[!?][^>]*+(?:>|\z)")
 
 
 def strip_opaque(html: Column) -> Column:
@@ -80,7 +81,7 @@ def explode_tokens(df: DataFrame, markup: str, *keep: str, xml: bool = False) ->
 def html_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
     """``doc_id, pos, kind, tag, attrs, text`` with entities decoded after tokenising."""
     raw = F.col("raw")
-    pages = spread_small(df.select(F.col(id).alias("doc_id"), F.col(html).alias("_markup")))
+    pages = df.select(F.col(id).alias("doc_id"), F.col(html).alias("_markup"))
     return explode_tokens(pages, "_markup", "doc_id").select(
         "doc_id", "pos", "kind", "tag", "raw",
         F.when(F.col("kind").isin("open", "void"), attr_map(raw)).alias("attrs"),

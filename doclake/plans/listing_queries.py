@@ -74,7 +74,8 @@ def bundle_documents(spark, sf):
     return out.select("group_key", "section", F.array_join("parts", "/").alias("key"), "text")
 
 
-@query("concat_raw", "SELECT conv_id, CAST(0 AS BIGINT) AS chunk_no, string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
+@query("concat_raw", """SELECT conv_id, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+ text AS content FROM conversations""")
 def concat_raw(spark, sf):
     return L.concat_raw(table(spark, sf, "conversations"), "conv_id", F.col("turn"), "text")
 

@@ -74,7 +74,7 @@ def resolve_local_ref(spark, sf):
     pages = table(spark, sf, "pages")
     path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), "[?#].*$", "")
     anchors = _anchors(spark, sf).select(
-        "doc_id", "link_no", F.when(F.col("link_no") % 2 == 0, F.substring("ref", 2, 9999)).otherwise(F.col("ref")).alias("ref"),
+        "doc_id", "link_no", F.when(F.col("link_no") % 2 == 0, F.expr("substring(ref, 2)")).otherwise(F.col("ref")).alias("ref"),
         F.concat(F.lit("/"), F.substring("ref", 2, 1), F.lit("/x.md")).alias("doc_path"))
     own = pages.select(F.col("page_id").alias("doc_id"), F.lit(-1).alias("link_no"), path.alias("ref"), F.lit("/q/x.md").alias("doc_path"))
     near = pages.select(F.col("page_id").alias("doc_id"), F.lit(-2).alias("link_no"), F.regexp_extract(path, "[^/]*$", 0).alias("ref"),

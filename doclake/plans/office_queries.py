@@ -330,8 +330,9 @@ def read_delimited(spark, sf):
     return cells.unionByName(bad.select("path", F.lit(-1).alias("row_no"), F.lit(-1).alias("col_no"), F.col("error").alias("value")))
 
 
-@query("to_markdown_table", """SELECT c_nationkey, CAST(0 AS BIGINT) AS chunk_no, '| c_custkey | c_name |' || chr(10) || '|---|---|' || chr(10) ||
- string_agg('| ' || c_custkey || ' | ' || c_name || ' |' || chr(10), '' ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey""")
+@query("to_markdown_table", """WITH r AS (SELECT DISTINCT c_nationkey, -1 AS o, '| c_custkey | c_name |' || chr(10) || '|---|---|' || chr(10) AS content FROM customer
+ UNION ALL SELECT c_nationkey, c_custkey, '| ' || c_custkey || ' | ' || c_name || ' |' || chr(10) FROM customer)
+SELECT c_nationkey, CAST(coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY c_nationkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, content FROM r""")
 def to_markdown_table(spark, sf):
     return TB.to_markdown_table(table(spark, sf, "customer"), "c_nationkey", F.col("c_custkey"), ["c_custkey", "c_name"])
 

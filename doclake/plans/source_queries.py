@@ -113,13 +113,25 @@ def convert_all(spark, sf):
     return out.select("path", "format", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
-@query("stream_ingest", f"""SELECT regexp_extract(filename, '[^/]*$', 0) AS name, CAST(size AS BIGINT) AS length, 'PreMarkdown' AS kind,
- '[parquet file](' || regexp_extract(filename, '[^/]*$', 0) || ')' AS markdown FROM read_blob('{SF}/*.parquet')""")
+def _write_files(rows):
+    """Writes ``path, content`` rows as files, each below the folder that is the first column."""
+    import os
+
+    for r in rows:
+        os.makedirs(os.path.dirname(r["path"]), exist_ok=True)
+        with open(r["path"], "wb") as f:
+            f.write(bytes(r["content"]))
+
+
+@query("stream_ingest", f"SELECT path AS name, format, markdown, failed FROM ({ORACLES['convert_all']})")
 def stream_ingest(spark, sf):
-    out, ckpt = work_dir(spark, "ingest"), work_dir(spark, "ckpt")
-    ingest.stream_ingest(spark, sf, out, ckpt, "*.parquet")
-    ingest.stream_ingest(spark, sf, out, ckpt, "*.parquet")  # a second run finds nothing new
-    return spark.read.parquet(out).select(F.substring_index("path", "/", -1).alias("name"), "length", "kind", "markdown")
+    """All mixed files arrive as files and are converted in several micro-batches; a second run finds nothing new."""
+    folder, out, ckpt = work_dir(spark, "arriving"), work_dir(spark, "ingest"), work_dir(spark, "ckpt")
+    mixed_files(spark, sf).select(F.concat(F.lit(folder.removeprefix("file://") + "/"), "path").alias("path"), "content").foreachPartition(_write_files)
+    arriving = spark.read.format("binaryFile").load(folder).select("path").count()
+    for _ in range(2):
+        ingest.stream_ingest(spark, folder, out, ckpt, files_at_once=-(-arriving // 2))
+    return spark.read.option("basePath", out).parquet(out).select(F.substring_index("path", "/", -1).alias("name"), "format", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
 @query("stream_links", ORACLES["html_links"])

@@ -31,54 +31,19 @@ def ship_with_tasks(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
-# Bytes of input one task should start from; markup grows several times when it is cut into tokens.
-TASK_BYTES = 64 << 20
-MOST_PARTITIONS = 100_000
+def partition_count(spark: SparkSession) -> int:
+    """Shuffle partitions of the session: the caller sets them to fit the input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Inputs up to this size are dealt out again when they come in fewer pieces than there are cores.
-SMALL_BYTES = 256 << 20
-
-
-def _known_bytes(df: DataFrame) -> int | None:
-    """Bytes of the relations behind ``df`` as far as the planner knows them; null when it knows none."""
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes").rstrip("b"))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    # checkpointed data keeps the estimate of the plan it came from, which after joins means nothing
-    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in (leaves.apply(i) for i in range(leaves.size()))
-             if leaf.getClass().getSimpleName() != "LogicalRDD"]
-    known = [n for n in sizes if n < unknown]
-    return sum(known) if known else None
-
-
-def partition_count(df: DataFrame) -> int:
-    """At least the session's shuffle partitions, more where the files behind ``df`` are large.
-
-    Relations of unknown size do not count.
-    """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(least, -(-(_known_bytes(df) or 0) // TASK_BYTES)), max(MOST_PARTITIONS, least))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small batch input out to all cores before per-row work: one small file is otherwise one task.
-
-    Inputs that are large, streaming or of unknown size keep their splits and are never shuffled for this.
-    """
-    if df.isStreaming:
-        return df
-    known = _known_bytes(df)
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if known is not None and known < SMALL_BYTES else df
-
-
-def cluster_by(df: DataFrame, *keys: Column | str) -> DataFrame:
+def cluster_by(df: DataFrame, *keys: Column | str, partitions: int | None = None) -> DataFrame:
     """Hash-distribute rows once, before they are exploded into tokens or lines.
 
     Later windows and aggregations whose keys start with ``keys`` reuse this distribution, so the only bytes that
-    cross the network are the source texts, never their tokens. The partition count is explicit: the rows grow by
-    orders of magnitude after the exchange, which the adaptive coalescer cannot foresee.
+    cross the network are the source texts, never their tokens. The partition count is explicit (``partitions``, else the
+    session's): the rows grow by orders of magnitude after the exchange, which the adaptive coalescer cannot foresee.
     """
-    return df.repartition(partition_count(df), *keys)
+    return df.repartition(partitions or partition_count(df.sparkSession), *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from doclake.functions import detect as DT
 from doclake.functions import text as TX
 from doclake.functions import urls as U
 from doclake.operators import containers as C
@@ -34,16 +35,16 @@ def test_concat_raw_splits_a_hot_group(spark):
     random.seed(3)
     rows = [("hot" if i % 3 == 0 else f"g{i % 40}", i, "x" * random.randint(0, 50) + str(i)) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, n int, t string").repartition(5)
-    out = L.concat_raw(df, "g", F.col("n"), "t", max_bytes=500).collect()
-    got, sizes = {}, {}
-    for r in sorted(out, key=lambda r: (r["g"], r["chunk_no"])):
+    out = L.concat_raw(df, "g", F.col("n"), "t")
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["g"], r["start"])):
+        assert r["start"] == len(got.get(r["g"], ""))
         got[r["g"]] = got.get(r["g"], "") + r["content"]
-        sizes.setdefault(r["g"], []).append(len(r["content"]))
+    assert {r["g"]: r["content"] for r in L.join_rows(out, "g").collect()} == got
     want = {}
     for g, _, t in sorted(rows, key=lambda r: (r[0], r[1])):
         want[g] = want.get(g, "") + t
     assert got == want
-    assert len(sizes["hot"]) > 20 and max(sizes["hot"]) <= 500 + 60
 
 
 def draw(paths):
@@ -121,13 +122,36 @@ def test_damaged_archives_become_error_rows(spark):
     assert rows[("g", "a.txt")] is None and "BadZipFile" in rows[("b", None)] and len(rows) == 2
 
 
-def test_nested_archives_open_to_the_given_depth(spark):
+def test_nested_archives_open_at_any_depth(spark):
     inner = make_zip([("x.txt", b"deep")])
     outer = make_tar([("in.zip.gz", gzip.compress(make_zip([("in.zip", inner)]))), ("p.txt", b"flat")])
     df = spark.createDataFrame([("o.tar", bytearray(outer))], "path string, content binary")
     assert {r["member"]: bytes(r["content"]) for r in C.expand_nested(df).collect()} == {"in.zip.gz/in.zip/x.txt": b"deep", "p.txt": b"flat"}
-    shallow = {r["member"]: bytes(r["content"]) for r in C.expand_nested(df, max_depth=1).collect()}
-    assert shallow["in.zip.gz/in.zip"] == inner
+    deep, path = b"innermost", "x.txt"
+    for level in range(20):
+        deep, path = make_zip([(path.split("/")[0] if not level else f"l{level}.zip", deep)]), path if not level else f"l{level}.zip/{path}"
+    df = spark.createDataFrame([("o.zip", bytearray(deep))], "path string, content binary")
+    assert [(r["member"], bytes(r["content"]), r["error"]) for r in C.expand_nested(df).collect()] == [(path, b"innermost", None)]
+    whole = {r["path"]: r["markdown"] for r in convert_all(df).collect()}
+    assert "innermost" in whole["o.zip"]
+
+
+def test_damaged_inner_archives_are_rows_of_their_own(spark):
+    outer = make_zip([("bad.zip", inner_bytes := make_zip([("x.txt", b"deep" * 50)])[:60]), ("p.txt", b"flat")])
+    assert inner_bytes
+    df = spark.createDataFrame([("o.zip", bytearray(outer))], "path string, content binary")
+    got = {r["member"]: (r["content"] and bytes(r["content"]), bool(r["error"])) for r in C.expand_nested(df).collect()}
+    assert got["p.txt"] == (b"flat", False)
+    assert (None, True) in got.values()
+
+
+def test_office_files_in_a_zip_do_not_make_it_one(spark):
+    docx = make_zip([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", b"<w:document/>")])
+    rows = [("holds.zip", make_zip([("report.docx", docx), ("n.txt", b"note")])), ("r.bin", docx), ("odd.bin", make_zip([("word/document.xml", b"x"), ("[Content_Types].xml", b"y")]))]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    got = {r["path"]: r["f"] for r in df.select("path", DT.detect_format(F.col("content"), F.lit("")).alias("f")).collect()}
+    assert got == {"holds.zip": "zip", "r.bin": "docx", "odd.bin": "docx"}
+    assert "note" in {r["path"]: r["markdown"] for r in convert_all(df.filter("path = 'holds.zip'")).collect()}["holds.zip"]
 
 
 def test_decompress_reports_damage(spark):
@@ -248,3 +272,55 @@ def test_escape_and_blanks(spark):
 def test_ansi(spark):
     df = spark.createDataFrame([("\x1b[1;31mred\x1b[0m \x1b]8;;http://x\x07link\x1b]8;;\x07",)], "t string")
     assert tuple(df.select(TX.strip_ansi(F.col("t")), TX.visible_length(F.col("t"))).first()) == ("red link", 8)
+
+
+def test_latest_keeps_the_highest_version_over_batches(spark, tmp_path):
+    from doclake.streaming import ingest
+
+    folder, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rows = [[("a", 5, "new"), ("b", 1, "one")], [("a", 3, "late"), ("c", 1, "x")], [("b", 2, "two"), ("a", 4, "late too")]]
+    for part in rows:
+        spark.createDataFrame(part, "k string, v int, t string").coalesce(1).write.mode("append").parquet(folder)
+        ingest.stream_latest(spark, folder, out, ckpt, "k string, v int, t string", "k", ["v"], ["t"])
+    assert {r["k"]: r["t"] for r in ingest.read_latest(spark, out, "k").collect()} == {"a": "new", "b": "two", "c": "x"}
+    assert len(ingest.state_folders(spark, out)) == 2
+
+
+def test_relative_paths_where_the_root_repeats(spark, tmp_path):
+    root = tmp_path / "r"
+    deep = root / str(root).lstrip("/") / "x"
+    deep.mkdir(parents=True)
+    (deep / "f.txt").write_text("x")
+    assert [r["rel"] for r in files.scan_files(spark, str(root)).collect()] == [f"{str(root).lstrip('/')}/x/f.txt"]
+
+
+STRAY = [
+    ("<p>a</p></table><h1>T</h1><p>b</p><p>c</p>", "a\n\n# T\n\nb\n\nc"), ("<p>a</p></pre><p>b</p>", "a\n\nb"),
+    ("</blockquote><blockquote><p>q</p></blockquote>", "> q"), ("<div></div>", ""), ("", ""),
+    ("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>", "| a<br>in | b |\n| --- | --- |"),
+    ("<p>&#9999999; &#xD800; &#0; &#38;lt; &eacute; &rarr; &#x0000041; &nosuch;</p>", "� � � &lt; é → A &nosuch;")]
+
+
+def test_stray_tags_nested_tables_and_references(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(STRAY)], "id int, h string")
+    got = {r["doc_id"]: r["markdown"] for r in H.html_to_markdown(df, "id", "h").collect()}
+    assert [got[i] for i in range(len(STRAY))] == [m for _, m in STRAY]
+    least = H.html_nesting(df, "id", "h").agg(*[F.min(c) for c in ("in_list", "in_table", "in_quote", "in_pre", "in_heading", "in_link")]).first()
+    assert all(x >= 0 for x in least)
+
+
+def test_unclosed_links_and_headings_stay(spark):
+    df = spark.createDataFrame([(1, "<h2>one <a href=x>here<h3>two</h3><a href=y>there</a>")], "id int, h string")
+    assert [(r["href"], r["text"]) for r in H.html_links(df, "id", "h").orderBy("link_no").collect()] == [("x", "heretwo"), ("y", "there")]
+    assert [r["level"] for r in H.html_headings(df, "id", "h").orderBy("heading_no").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("unit", ["x", "<a href=x>", "<h1>", "<!-- ", "<script>", ":::x\n", "[", "x "])
+def test_a_megabyte_of_anything_takes_seconds(spark, unit):
+    import time
+
+    df = spark.createDataFrame([(1, unit * (1_000_000 // len(unit)))], "id int, t string")
+    start = time.time()
+    for job in (H.html_text(df, "id", "t"), H.html_links(df, "id", "t"), H.html_headings(df, "id", "t"), M.md_headings(df, "id", "t"), M.md_code_blocks(df, "id", "t")):
+        job.write.format("noop").mode("overwrite").save()
+    assert time.time() - start < 60
