@@ -33,7 +33,8 @@ def _encode(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"[^!#-;=?-~]")), enc).otherwise(text)
 
 
-def _drop_dots(path: Column) -> Column:
+def drop_dots(path: Column) -> Column:
+    """Path without `.` and `..` segments; it never leaves its root."""
     def step(acc: Column, seg: Column) -> Column:
         return F.when(seg == ".", acc).when(
             seg == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
@@ -64,7 +65,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
         host = F.lower(F.when(same, b["authority"]).otherwise(r["authority"]))
         port = F.regexp_replace(host, r":80$", "")
         port = F.when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(port)
-        full = F.concat(scheme, F.lit("://"), port, let(F.when(path == "", "/").otherwise(path), lambda p: _encode(_drop_dots(p))),
+        full = F.concat(scheme, F.lit("://"), port, let(F.when(path == "", "/").otherwise(path), lambda p: _encode(drop_dots(p))),
                         _encode(query), _encode(r["fragment"]))
         usable = scheme.isin("http", "https") & (host != "")
         return F.when(whole, s["raw"]).when(usable, full)

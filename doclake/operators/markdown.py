@@ -36,7 +36,15 @@ SYNTAX_TOKENS = [
     ("javascript", "JavaScript"), ("js", "JavaScript"), ("json", "JSON"), ("lua", "Lua"), ("md", "Markdown"),
     ("php", "PHP"), ("py", "Python"), ("python", "Python"), ("r", "R"), ("rb", "Ruby"), ("rs", "Rust"),
     ("ruby", "Ruby"), ("rust", "Rust"), ("scala", "Scala"), ("sh", "Shell"), ("sql", "SQL"), ("tex", "LaTeX"),
-    ("xml", "XML"), ("yaml", "YAML"), ("yml", "YAML"),
+    ("xml", "XML"), ("yaml", "YAML"), ("yml", "YAML"), ("ts", "TypeScript"), ("typescript", "TypeScript"), ("tsx", "TypeScriptReact"),
+    ("jsx", "JavaScript (JSX)"), ("toml", "TOML"), ("kt", "Kotlin"), ("kotlin", "Kotlin"), ("swift", "Swift"), ("cs", "C#"), ("csharp", "C#"),
+    ("c++", "C++"), ("cc", "C++"), ("h", "C"), ("hpp", "C++"), ("diff", "Diff"), ("patch", "Diff"), ("dockerfile", "Dockerfile"),
+    ("docker", "Dockerfile"), ("makefile", "Makefile"), ("make", "Makefile"), ("mk", "Makefile"), ("pl", "Perl"), ("perl", "Perl"),
+    ("hs", "Haskell"), ("haskell", "Haskell"), ("clj", "Clojure"), ("clojure", "Clojure"), ("erl", "Erlang"), ("erlang", "Erlang"),
+    ("ex", "Elixir"), ("exs", "Elixir"), ("elixir", "Elixir"), ("dart", "Dart"), ("groovy", "Groovy"), ("ini", "INI"), ("scss", "SCSS"),
+    ("sass", "Sass"), ("less", "Less"), ("markdown", "Markdown"), ("latex", "LaTeX"), ("matlab", "MATLAB"), ("ml", "OCaml"), ("ocaml", "OCaml"),
+    ("ps1", "PowerShell"), ("powershell", "PowerShell"), ("zsh", "Shell"), ("shell", "Shell"), ("fish", "Fish"), ("vim", "VimL"), ("zig", "Zig"),
+    ("nix", "Nix"), ("tf", "Terraform"), ("proto", "Protocol Buffer"), ("graphql", "GraphQL"), ("vue", "Vue"), ("svelte", "Svelte"), ("asm", "Assembly"),
 ]
 FIRST_LINES = [(r"^#!.*\bpython", "Python"), (r"^#!.*\b(?:ba|z|k)?sh\b", "Shell"), (r"^#!.*\bruby", "Ruby"),
                (r"^#!.*\bnode", "JavaScript"), (r"^<\?xml", "XML"), (r"(?i)^<!doctype html", "HTML"), (r"^<\?php", "PHP")]

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclake.functions.text import let
-from doclake.functions.urls import resolve_url
+from doclake.functions.urls import drop_dots, resolve_url
 from doclake.operators.tokens import attr, explode_tokens
 from doclake.session import cluster_by
 
@@ -141,17 +141,19 @@ def biggest_media(candidates: DataFrame) -> DataFrame:
 
 
 def resolve_local_ref(refs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """``refs(doc_id, doc_path, ref)`` against ``inventory(path)``: as given, else next to the document, else null.
+    """``refs(doc_id, doc_path, ref)`` against ``inventory(path)``: as given, else next to the document with dot segments resolved, else null.
 
     ``found`` is the path that exists. The inventory is made distinct first, so the joins never multiply references,
     and a reference that a third of all documents share is split by the adaptive skew join.
     """
     files = inventory.select("path").distinct()
     folder = F.regexp_replace("doc_path", r"[^/]*$", "")
-    near = F.when(F.startswith("ref", F.lit("/")), F.col("ref")).otherwise(F.concat(folder, F.col("ref")))
+    # a folder without a root gets one for the time that dots are resolved
+    joined = drop_dots(F.concat(F.lit("/"), folder, F.col("ref")))
+    near = F.when(F.startswith("ref", F.lit("/")), drop_dots(F.col("ref"))).otherwise(F.expr("substring(_joined, 2)"))
     given = files.select(F.col("path").alias("_given"))
     beside = files.select(F.col("path").alias("_beside"))
-    return (refs.withColumn("_near", near).join(given, F.col("ref") == F.col("_given"), "left")
+    return (refs.withColumn("_joined", joined).withColumn("_near", near).drop("_joined").join(given, F.col("ref") == F.col("_given"), "left")
             .join(beside, F.col("_near") == F.col("_beside"), "left")
             .withColumn("found", F.coalesce("_given", "_beside")).drop("_near", "_given", "_beside"))
 

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclake.functions.text import XML_ENTITIES, decode_entities, let, record, trim_ws
-from doclake.operators.containers import package_parts
 from doclake.operators.tokens import attr, tag_of, token_array
 from doclake.session import cluster_by
 

@@ -86,8 +86,3 @@ def html_tokens(df: DataFrame, id: str, html: str) -> DataFrame:
         "doc_id", "pos", "kind", "tag", "raw",
         F.when(F.col("kind").isin("open", "void"), attr_map(raw)).alias("attrs"),
         F.when(F.col("kind") == "text", decode_entities(raw)).alias("text"))
-
-
-def xml_tokens(parts: DataFrame, xml: str, *keep: str) -> DataFrame:
-    """Token rows of well-formed XML; names keep their case and prefix."""
-    return explode_tokens(parts, xml, *keep, xml=True)

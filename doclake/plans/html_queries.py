@@ -89,7 +89,7 @@ def html_headings(spark, sf):
 
 PAGE_IMAGES = """SELECT page_id, concat('<p>x</p><img src="/i/', page_id, '.png" alt="n', page_id % 7, '" width="', page_id % 50,
  'px;" height="', page_id % 30, '%"><img src="u.gif"/><img alt="q" src=''v.png'' width="', page_id % 9, '">',
- substring(html, 1, 0)) AS html FROM {pages}"""
+ html) AS html FROM {pages}"""
 
 
 @query("html_images", """SELECT page_id AS doc_id, CAST(3 AS INTEGER) AS pos, '/i/' || page_id || '.png' AS src, 'n' || (page_id % 7) AS alt,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from doclake.operators import listing as L
@@ -13,12 +15,25 @@ SITE = """SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
 DSITE = duck(SITE)
 
 
-@query("list_sorted", """SELECT page_id, CAST(row_number() OVER (ORDER BY CASE WHEN page_id % 7 = 0 THEN 0 ELSE 1 END, ext, lower(path), path) - 1 AS BIGINT) AS position
- FROM (SELECT page_id, url || '/' || page_id || '.t' || page_id % 5 AS path, 't' || page_id % 5 AS ext FROM pages)""")
+SORTED = """SELECT page_id, concat(url, '/', page_id, '.t', page_id % 5) AS path, concat('t', page_id % 5) AS ext, page_id % 7 = 0 AS is_dir, length(html) AS size,
+ timestamp '2024-01-01 00:00:00' + make_interval({days}) AS modified FROM {pages}"""
+SORT_KEYS = {"name": ["lower(path)"], "size": ["size"], "time": ["modified"], "type": ["ext", "lower(path)"]}
+
+
+def _sorted_sql() -> str:
+    src = duck(SORTED.replace("make_interval({days})", "to_days(CAST((page_id * 13) % 90 AS INTEGER))"))
+    return " UNION ALL ".join(
+        f"SELECT '{mode}' AS mode, {str(back).upper()} AS reversed, page_id, CAST(row_number() OVER (ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END {way}, "
+        f"{', '.join(f'{k} {way}' for k in keys)}, path) - 1 AS BIGINT) AS position FROM ({src})"
+        for mode, keys in SORT_KEYS.items() for back, way in ((False, "ASC"), (True, "DESC")))
+
+
+@query("list_sorted", _sorted_sql())
 def list_sorted(spark, sf):
-    src = synth(spark, sf, """SELECT page_id, concat(url, '/', page_id, '.t', page_id % 5) AS path, page_id % 7 = 0 AS is_dir, length(html) AS size,
-      cast(null as timestamp) AS modified FROM {pages}""")
-    return L.list_sorted(src, "path", "is_dir", "size", "modified", "type").select("page_id", "position")
+    src = synth(spark, sf, SORTED.replace("{days}", "0, 0, 0, cast((page_id * 13) % 90 as int)"))
+    parts = [L.list_sorted(src, "path", "is_dir", "size", "modified", mode, back).select(F.lit(mode).alias("mode"), F.lit(back).alias("reversed"), "page_id", "position")
+             for mode in SORT_KEYS for back in (False, True)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("grid_rows", """WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS n FROM part)

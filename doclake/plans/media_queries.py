@@ -93,7 +93,7 @@ MEDIA = """SELECT page_id, url, concat('<div style="width:', 400 + page_id % 100
  '.png" width="50%" height="10%"></p></div><img src="b.png" width="20" height="', page_id % 70, '"><video src="v.mp4" style="max-width: 10em; height: 50vh">',
  '<source src="s.webm" width="3" height="2"></video><object type="image/svg+xml" data="o.svg" width="', page_id % 40, '" height="40"></object>',
  '<embed src="no.svg"><img src="c.png"><div style="aspect-ratio: 2; width: 600px"><section><img src="//cdn.x.org/d.png" width="10%" height="50%"></section></div>',
- '<img src="e.png" width="5rem" height="1.5vw"><img src="f.png" width="50%" height="oops">') AS html FROM {pages}"""
+ '<img src="e.png" width="5rem" height="1.5vw"><img src="f.png" width="50%" height="oops">', html) AS html FROM {pages}"""
 # (selector, pos, url, width, height)
 MEDIA_ROWS = [
     (0, 2, "{o} || '/a' || page_id || '.png'", "CAST(floor(0.5 * (400 + page_id % 100)) AS BIGINT)", "30"),

@@ -94,10 +94,9 @@ def _docx(spark, sf):
 
 
 @query("package_parts", rows("part, size", [("[Content_Types].xml", 8), ("word/numbering.xml", len(NUMBERING)), ("word/media/image1.png", 16)]) +
-       f" UNION ALL SELECT {ID} || '.docx', 'word/document.xml', NULL FROM conversations UNION ALL SELECT {ID} || '.docx', 'word/_rels/document.xml.rels', NULL FROM conversations")
+       "".join(f" UNION ALL SELECT {ID} || '.docx', '{part}', octet_length(encode({text(body)})) FROM conversations" for part, body in (("word/document.xml", DOCX_XML), ("word/_rels/document.xml.rels", RELS))))
 def package_parts(spark, sf):
-    sized = F.when(~F.col("part").isin("word/document.xml", "word/_rels/document.xml.rels"), F.octet_length("content"))
-    return _docx(spark, sf).select("doc_id", "part", sized.alias("size"))
+    return _docx(spark, sf).select("doc_id", "part", F.octet_length("content").alias("size"))
 
 
 @query("docx_runs", rows("text, bold, italic, strike, underline", [

@@ -44,32 +44,20 @@ def split_errors(spark, sf):
     return good.select("doc_id", F.lit("ok").alias("outcome"), "text").unionByName(bad.select("doc_id", F.col("error_class").alias("outcome"), "text"))
 
 
-def _read_back(spark, path):
-    return spark.read.text(path).groupBy("bucket").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
-
-
-def _counts(sql: str, text: str, id: str) -> str:
-    newlines = f"(length({text}) - length(replace({text}, chr(10), '')))"
-    # a text that ends in a line end gains no empty last line when it is read back
-    return f"""SELECT CAST({id} % 8 AS INTEGER) AS bucket, CAST(sum({newlines} + 1) AS BIGINT) AS lines, CAST(sum(length({text}) - {newlines}) AS BIGINT) AS chars
-    FROM ({sql}) GROUP BY 1"""
-
-
-@query("write_markdown", _counts(ORACLES["html_to_markdown"], "markdown", "doc_id"))
+@query("write_markdown", ORACLES["html_to_markdown"])
 def write_markdown(spark, sf):
     out = work_dir(spark, "md")
     rows = H.html_to_markdown(table(spark, sf, "pages"), "page_id", "html").withColumn("bucket", F.col("doc_id") % 8)
     writers.write_markdown(rows, out, partition_by="bucket")
-    return _read_back(spark, out)
+    return spark.read.schema("doc_id long, markdown string").json(out).select("doc_id", "markdown")
 
 
-@query("write_html", _counts(ORACLES["md_to_html"], "html", "doc_id"))
+@query("write_html", ORACLES["md_to_html"])
 def write_html(spark, sf):
     out = work_dir(spark, "html")
-    src = synth(spark, sf, f"SELECT c_custkey AS id, c_custkey % 8 AS bucket, {MQ.HTML_DOC} AS md FROM {{customer}}").withColumn(
-        "md", F.replace("md", F.lit("3. x"), F.lit("sep\n\n3. x")))
-    writers.write_html(src, out, "id", "md", partition_by="bucket")
-    return _read_back(spark, out)
+    src = synth(spark, sf, f"SELECT c_custkey AS id, {MQ.HTML_DOC} AS md FROM {{customer}}").withColumn("md", F.replace("md", F.lit("3. x"), F.lit("sep\n\n3. x")))
+    writers.write_html(src, out, "id", "md")
+    return spark.read.schema("doc_id long, html string").json(out)
 
 
 MIXED = """SELECT doc_id, text, lang, source FROM {documents}"""

@@ -100,25 +100,33 @@ def rule_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFram
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
 
-def extension_rows(groups: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
-    return [(ext, name) for name, exts in groups for ext in exts]
-
 # Extensions a listing shows as code.
-CODE_EXTENSIONS = """codes py rs js ts java c cpp h hpp go php rb sh pl lua swift kt kts scala dart elm hs ml mli r f f90
-cs vb asm s clj cljs edn coffee erl hrl ex exs json toml yaml yml xml html css scss less vue svelte md markdown tex nim
-zig v odin d sql ps1 bash zsh fish""".split()
+CODE_EXTENSIONS = [
+    "codes", "py", "rs", "js", "ts", "java", "c", "cpp", "h", "hpp", "go", "php", "rb", "sh", "pl", "lua", "swift",
+    "kt", "kts", "scala", "dart", "elm", "hs", "ml", "mli", "r", "f", "f90", "cs", "vb", "asm", "s", "clj", "cljs",
+    "edn", "coffee", "erl", "hrl", "ex", "exs", "json", "toml", "yaml", "yml", "xml", "html", "css", "scss", "less",
+    "vue", "svelte", "md", "markdown", "tex", "nim", "zig", "v", "odin", "d", "sql", "ps1", "bash", "zsh", "fish",
+]
 
 # Extensions (and dot-file names) a listing shows as configuration.
-CONFIG_EXTENSIONS = """conf config ini cfg cnf properties env gitconfig gitignore npmrc yarnrc editorconfig dockerignore
-dockerfile makefile mk nginx apache htaccess htpasswd hosts service socket timer mount automount swap target path slice
-sysctl tmpfiles udev logind resolved timesyncd coredump journald netdev network link netctl wpa pacman mirrorlist
-vconsole locale fstab crypttab grub syslinux archlinux inputrc bashrc bash_profile bash_logout profile zshenv zshrc
-zprofile zlogin zlogout fishrc fish_variables fish_config fish_plugins fish_functions fish_completions fish_aliases
-fish_abbreviations fish_user_init fish_user_paths fish_user_variables fish_user_functions fish_user_completions
-fish_user_abbreviations fish_user_aliases fish_user_key_bindings""".split()
+CONFIG_EXTENSIONS = [
+    "conf", "config", "ini", "cfg", "cnf", "properties", "env", "gitconfig", "gitignore", "npmrc", "yarnrc",
+    "editorconfig", "dockerignore", "dockerfile", "makefile", "mk", "nginx", "apache", "htaccess", "htpasswd", "hosts",
+    "service", "socket", "timer", "mount", "automount", "swap", "target", "path", "slice", "sysctl", "tmpfiles", "udev",
+    "logind", "resolved", "timesyncd", "coredump", "journald", "netdev", "network", "link", "netctl", "wpa", "pacman",
+    "mirrorlist", "vconsole", "locale", "fstab", "crypttab", "grub", "syslinux", "archlinux", "inputrc", "bashrc",
+    "bash_profile", "bash_logout", "profile", "zshenv", "zshrc", "zprofile", "zlogin", "zlogout", "fishrc",
+    "fish_variables", "fish_config", "fish_plugins", "fish_functions", "fish_completions", "fish_aliases",
+    "fish_abbreviations", "fish_user_init", "fish_user_paths", "fish_user_variables", "fish_user_functions",
+    "fish_user_completions", "fish_user_abbreviations", "fish_user_aliases", "fish_user_key_bindings",
+]
 
 # Extensions a listing shows as archives.
-ARCHIVE_EXTENSIONS = """zip tar gz bz2 xz zst lz lzma lzo rz sz 7z rar iso dmg pkg deb rpm crx cab msi ar cpio shar lbr
-mar sbx arc wim swm esd zipx zoo pak kgb ace alz apk arj ba bh cfs cramfs dar dd dgc ear gca ha hki ice jar lzh lha lzx
-partimg paq6 paq7 paq8 pea pim pit qda rk sda sea sen sfx shk sit sitx sqx tar.Z uc uc0 uc2 ucn ur2 ue2 uca uha war xar
-xp3 yz1 zap zz""".split()
+ARCHIVE_EXTENSIONS = [
+    "zip", "tar", "gz", "bz2", "xz", "zst", "lz", "lzma", "lzo", "rz", "sz", "7z", "rar", "iso", "dmg", "pkg", "deb",
+    "rpm", "crx", "cab", "msi", "ar", "cpio", "shar", "lbr", "mar", "sbx", "arc", "wim", "swm", "esd", "zipx", "zoo",
+    "pak", "kgb", "ace", "alz", "apk", "arj", "ba", "bh", "cfs", "cramfs", "dar", "dd", "dgc", "ear", "gca", "ha",
+    "hki", "ice", "jar", "lzh", "lha", "lzx", "partimg", "paq6", "paq7", "paq8", "pea", "pim", "pit", "qda", "rk",
+    "sda", "sea", "sen", "sfx", "shk", "sit", "sitx", "sqx", "tar.Z", "uc", "uc0", "uc2", "ucn", "ur2", "ue2", "uca",
+    "uha", "war", "xar", "xp3", "yz1", "zap", "zz",
+]

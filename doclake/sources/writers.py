@@ -1,4 +1,4 @@
-"""Text sinks."""
+"""Document sinks: one JSON row for each document, so its id and its whole text come back as they were."""
 
 from __future__ import annotations
 
@@ -7,16 +7,13 @@ from pyspark.sql import DataFrame
 from doclake.operators.markdown import md_to_html
 
 
-def write_markdown(df: DataFrame, path: str, text: str = "markdown", partition_by: str | None = None) -> None:
-    """One text per row, in folders by ``partition_by`` where it is given."""
-    columns = [text] + ([partition_by] if partition_by else [])
+def write_markdown(df: DataFrame, path: str, id: str = "doc_id", text: str = "markdown", partition_by: str | None = None) -> None:
+    """Rows ``doc_id, <text>``, in folders by ``partition_by`` where it is given."""
+    columns = [df[id].alias("doc_id"), df[text]] + ([df[partition_by]] if partition_by else [])
     writer = df.select(*columns).write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).text(path)
+    (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
-def write_html(df: DataFrame, path: str, id: str, text: str = "markdown", wrap: bool = False, css: str = "", partition_by: str | None = None) -> None:
+def write_html(df: DataFrame, path: str, id: str, text: str = "markdown", wrap: bool = False, css: str = "") -> None:
     """Converts Markdown rows and writes their HTML, as fragments or whole pages."""
-    html = md_to_html(df, id, text, wrap, css)
-    if partition_by:
-        html = html.join(df.select(df[id].alias("doc_id"), partition_by), "doc_id")
-    write_markdown(html, path, "html", partition_by)
+    write_markdown(md_to_html(df, id, text, wrap, css), path, "doc_id", "html")
