@@ -12,20 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclake.llm.common import connected_components, keyed_groups, mix, shuffle_partitions, stored, text_slices, word_hashes
+from doclake.llm.pieces import gather
 from doclake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 #: Most classes and shingles of one bucket that a task compares with each other; larger buckets meet part by part.
 TOGETHER = 1024
-SHINGLES_TOGETHER = 2_000_000
-#: Shared shingles of a class, the first in hash order, by which linked classes are looked for first.
-FIRST = 3
-GROUPS = 128
+SHINGLES_TOGETHER = 6_000_000
+LEAST_GROUPS, MOST_GROUPS = 64, 4096
+#: 64-bit words of the filter that goes to all tasks.
+FILTER_WORDS = 1 << 17
 FANOUT = 16
 
 
@@ -68,25 +69,59 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
 
 
-def describe(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Class and size of every row; the prefix where the class is new to this task."""
+def first_here(key: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    """True for classes that this task meets for the first time; empty sets are none."""
+    out = np.zeros(len(key), dtype=bool)
+    for i in np.flatnonzero(size):
+        out[i] = (c := int(key[i])) not in seen
+        seen.add(c)
+    return out
+
+
+def group_count(sizes: np.ndarray) -> np.ndarray:
+    """Groups for sets of these sizes: about one for eight members, in powers of two.
+
+    Fewer would bound the overlap of long unrelated texts too loosely. Sets that can link differ by one power at most.
+    """
+    return np.minimum(np.maximum(2 ** np.ceil(np.log2(np.maximum(sizes, 1) / 8)), LEAST_GROUPS), MOST_GROUPS).astype(np.int64)
+
+
+def count_vectors(hashes: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> list[bytes | None]:
+    """How many members of each set fall in each of its groups, as 32-bit numbers."""
+    spread = mix(hashes ^ np.uint64(99)).astype(np.int64) & (MOST_GROUPS - 1)
+    groups = group_count(np.diff(ends))
+    return [np.bincount(spread[a:b] & (g - 1), minlength=g).astype("<u4").tobytes() if k else None
+            for a, b, g, k in zip(ends[:-1].tolist(), ends[1:].tolist(), groups.tolist(), keep)]
+
+
+def fold(points: np.ndarray) -> np.ndarray:
+    """The same counts in half as many groups."""
+    half = points.shape[-1] // 2
+    return points[..., :half] + points[..., half:]
+
+
+def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Size and class of every row; the count vector where the class is new to this task."""
     seen: set[int] = set()
     for batch in batches:
         for a, b, data, offsets in text_slices(batch.column("text")):
             hashes, ends = shingle_sets(data, offsets, words)
-            size = np.diff(ends)
-            key = class_keys(hashes, ends)
-            length = prefix_length(size, percent)
-            for i, c in enumerate(key.tolist()):
-                if c in seen:
-                    length[i] = 0
-                seen.add(c)
-            at = np.concatenate([[0], np.cumsum(length)])
-            take = np.arange(at[-1]) - np.repeat(at[:-1], length) + np.repeat(ends[:-1], length)
+            size, key = np.diff(ends), class_keys(hashes, ends)
+            new = first_here(key, size, seen)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(size, pa.int64()), pa.array(key, pa.int64(), mask=size == 0),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes[take].view(np.int64)))],
-                ["id", "th", "n", "cls", "prefix"])
+                [batch.column("id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(key, pa.int64(), mask=size == 0),
+                 pa.array(count_vectors(hashes, ends, new), pa.binary())], ["id", "n", "cls", "counts"])
+
+
+def early_shingles(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(h, cls) for the prefix of every class that is new to this task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch.column("text")):
+            hashes, ends = shingle_sets(data, offsets, words)
+            size, key = np.diff(ends), class_keys(hashes, ends)
+            length = np.where(first_here(key, size, seen), prefix_length(size, percent), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(gather(hashes, ends[:-1], length).view(np.int64)), pa.array(np.repeat(key, length))], ["h", "cls"])
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,18 +149,42 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[out], pa.int64()), pa.array(c[out], pa.int64())], ["h", "cls"])
 
 
-def set_rows(batches: Iterator[pa.RecordBatch], words: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets and count vectors of the rows that stand for a class."""
+def set_rows(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the classes that ``wanted`` may hold, once a task."""
+    seen: set[int] = set()
     for batch in batches:
         for a, b, data, offsets in text_slices(batch.column("text")):
             hashes, ends = shingle_sets(data, offsets, words)
-            key, size = class_keys(hashes, ends), np.diff(ends)
-            cell = np.repeat(np.arange(b - a), size) * groups + (mix(hashes ^ np.uint64(99)) % np.uint64(groups)).astype(np.int64)
-            counts = np.bincount(cell, minlength=(b - a) * groups).astype(np.int32)
-            fine = pa.array((key == batch.column("cls").slice(a, b - a).to_numpy()) & (size > 0))
+            size, key = np.diff(ends), class_keys(hashes, ends)
+            keep = may_hold(wanted, key)
+            keep[keep] = first_here(key[keep], size[keep], seen)
+            length = np.where(keep, size, 0)
+            at = np.concatenate([[0], np.cumsum(length)])[np.append(keep, True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * groups, pa.int32()), pa.array(counts)),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))], ["cls", "n", "counts", "members"]).filter(fine)
+                [pa.array(key[keep]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(gather(hashes, ends[:-1], length).view(np.int64)))], ["cls", "members"])
+
+
+def may_hold(wanted: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = mix(key.view(np.uint64)) % np.uint64(len(wanted) * 64)
+    return (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def bits_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(mix(batch.column("cls").to_numpy().view(np.uint64)) % np.uint64(words * 64))
+        yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+
+def wanted_filter(classes: DataFrame, words: int = FILTER_WORDS) -> np.ndarray:
+    """A Bloom filter of fixed size that keeps other classes' sets from being shuffled.
+
+    When it fills up more sets are shuffled than needed; the join with the classes decides in any case.
+    """
+    found = classes.select("cls").mapInArrow(lambda b: bits_of(b, words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(words, dtype=np.int64)
+    for row in found.toLocalIterator():
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
 
 
 class CountTree:
@@ -159,6 +218,51 @@ class CountTree:
         return self.order[at]
 
 
+def partners(g: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows that may link with it) of a bucket part; each pair once."""
+    side, left, right = g.column("side").to_numpy(), g.column("left")[0].as_py(), g.column("right")[0].as_py()
+    sizes = g.column("n").to_numpy()
+    rows = [np.frombuffer(c, "<u4").astype(np.int64) for c in g.column("counts").to_pylist()]
+    groups = np.array([len(r) for r in rows])
+    trees = {}
+    for n in np.unique(groups).tolist():
+        of = np.flatnonzero(groups == n)
+        trees[n] = (of, CountTree(np.stack([rows[i] for i in of]), sizes[of]))
+    for i, point in enumerate(rows):
+        found = []
+        if left == right or side[i] == left:
+            of, tree = trees[len(point)]
+            near = of[tree.search(point, int(sizes[i]), percent)]
+            found.append(near[near < i] if left == right else near[side[near] == right])
+        if len(point) // 2 in trees:
+            of, tree = trees[len(point) // 2]
+            near = of[tree.search(fold(point), int(sizes[i]), percent)]
+            found.append(near if left == right else near[side[near] != side[i]])
+        near = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(near):
+            yield i, near
+
+
+def bucket_forest(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges that join the classes of each bucket part that may link."""
+    out: tuple[list, list] = ([], [])
+    for g in groups:
+        if g.num_rows < 2:
+            continue
+        cls = g.column("cls").to_numpy()
+        roots = Roots(cls)
+        for i, near in partners(g, percent):
+            for j in near[np.unique(roots.root[near], return_index=True)[1]]:
+                if roots.join(i, int(j)):
+                    out[0].append(cls[i])
+                    out[1].append(cls[j])
+        if len(out[0]) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            out = ([], [])
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact test on rising arrays of distinct members."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -174,9 +278,11 @@ class Roots:
         _, first, where = np.unique(labels, return_index=True, return_inverse=True)
         self.root = first[where]
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
         a, b = self.root[i], self.root[j]
-        self.root[self.root == max(a, b)] = min(a, b)
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
+        return a != b
 
 
 def bucket_edges(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.RecordBatch]:
@@ -185,16 +291,10 @@ def bucket_edges(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.Record
     for g in groups:
         if g.num_rows < 2:
             continue
-        side, left, right = g.column("side").to_numpy(), g.column("left")[0].as_py(), g.column("right")[0].as_py()
-        cls, sizes = g.column("cls").to_numpy(), g.column("n").to_numpy()
-        points = g.column("counts").combine_chunks().flatten().to_numpy().reshape(g.num_rows, -1)
+        cls = g.column("cls").to_numpy()
         members = [m.values.to_numpy().view(np.uint64) for c in g.column("members").chunks for m in c]
-        roots, tree = Roots(cls), CountTree(points, sizes)
-        for i in range(g.num_rows):
-            if left != right and side[i] != left:
-                continue
-            near = tree.search(points[i], int(sizes[i]), percent)
-            near = near[near < i] if left == right else near[side[near] == right]
+        roots = Roots(cls)
+        for i, near in partners(g, percent):
             near = near[roots.root[near] != roots.root[i]]
             while len(near):
                 j = int(near[0])
@@ -212,42 +312,21 @@ def bucket_edges(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
-def bucket_pairs(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components that pass the bound, of each bucket part."""
-    for g in groups:
-        if g.num_rows < 2:
-            continue
-        side, left, right = g.column("side").to_numpy(), g.column("left")[0].as_py(), g.column("right")[0].as_py()
-        cls, sizes, comp = (g.column(c).to_numpy() for c in ("cls", "n", "comp"))
-        points = g.column("counts").combine_chunks().flatten().to_numpy().reshape(g.num_rows, -1)
-        tree = CountTree(points, sizes)
-        for i in range(g.num_rows):
-            if left != right and side[i] != left:
-                continue
-            near = tree.search(points[i], int(sizes[i]), percent)
-            near = near[near < i] if left == right else near[side[near] == right]
-            near = near[comp[near] != comp[i]]
-            if len(near):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(cls[near], cls[i])), pa.array(np.maximum(cls[near], cls[i]))], ["a", "b"])
-
-
-def verify_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [links(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"))]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def in_parts(rows: DataFrame, together: int, most: int | None = None) -> DataFrame:
+    """Rows (h, cls, ...) once for each part of their bucket h that they meet; buckets of one row go.
 
-
-def in_parts(rows: DataFrame, n: int, together: int, most: int) -> DataFrame:
-    """Rows (h, cls, n, ...) once for each part of their bucket h that they meet, sorted for ``keyed_groups``."""
-    size = rows.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
-    parts = size.select("h", F.greatest(F.ceil(F.col("m") / together), F.least(F.col("m"), F.ceil(F.col("all") / most))).cast("int").alias("parts"))
-    met = rows.join(parts, "h").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    A part has about ``together`` rows and, where rows have sizes n, ``most`` members.
+    """
+    parts = F.ceil(F.count("*") / together)
+    if most:
+        parts = F.greatest(parts, F.least(F.count("*"), F.ceil(F.sum("n") / most)))
+    size = rows.groupBy("h").agg(F.count("*").alias("m"), parts.cast("int").alias("parts")).where("m > 1").drop("m")
+    met = rows.join(size, "h").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
         "left", F.least("side", "other")).withColumn("right", F.greatest("side", "other")).drop("parts", "other")
 
 
-def jaccard_components(docs: DataFrame, id: str, text: str, percent: int = 80, words: int = 5, groups: int = GROUPS,
+def jaccard_components(docs: DataFrame, id: str, text: str, percent: int = 80, words: int = 5,
                        together: int = TOGETHER, shingles_together: int = SHINGLES_TOGETHER) -> DataFrame:
     """(id, n_shingles, component_id): one row for every row of ``docs``.
 
@@ -256,45 +335,37 @@ def jaccard_components(docs: DataFrame, id: str, text: str, percent: int = 80, w
     ``component_id`` is the smallest id reachable, nulls last. Repeated rows and equal texts are one class and never
     become pairs. Rows without words keep their own id. Other columns are not read; an empty table gives no rows.
 
-    Every linked pair shares a shingle among the first of both in hash order. Those that only one class has go first; of
-    the others each class visits its first few, whose buckets join almost all links; then only buckets that still hold
-    different components are searched, so that no link is lost. Buckets above ``together`` meet in parts.
+    Every linked pair shares a shingle among the first of both in hash order: the buckets. Those with the same classes are
+    one. In the tree of each bucket those pairs are found that may link; what such pairs connect is a cluster, to which
+    every class takes its whole set once. There, again by a tree, pairs that are not yet connected by links are
+    verified. Buckets and clusters above ``together`` meet in parts, so that no link is lost.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    rows = stored(source.select("id", "th", "text").mapInArrow(
-        lambda b: describe(b, words, percent), "id long, th long, n long, cls long, prefix array<long>"), "shingle-rows")
-    postings = rows.where("size(prefix) > 0").select(F.explode("prefix").alias("h"), "cls")
-    shared = stored(postings.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(shared_only, "h long, cls long"), "shared-shingles")
-    # of every class that shares a shingle, one row stands for it
-    some = shared.select("cls").distinct()
-    stands = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("r"))
-    stands = stands.join(some, "cls").select("cls", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
-    picked = source.join(stands.withColumnRenamed("id", "_id").withColumnRenamed("th", "_th"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    sets = stored(picked.select("cls", "text").mapInArrow(
-        lambda b: set_rows(b, words, groups), "cls long, n long, counts array<int>, members array<long>").dropDuplicates(["cls"]), "shingle-sets")
+    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = source.select("text")
     order = ["h", "left", "right"]
 
     def grouped(met: DataFrame) -> DataFrame:
         return met.repartition(n, *order).sortWithinPartitions(*order)
 
-    sizes = sets.select("cls", "n")
-    early = shared.withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy("h"))).where(F.col("k") <= FIRST).select("h", "cls")
-    met = in_parts(early.join(sizes, "cls"), n, together, shingles_together)
-    edges = stored(grouped(met.drop("n").join(sets, "cls")).mapInArrow(
-        lambda b: bucket_edges(keyed_groups(b, order), percent), "a long, b long"), "first-edges")
-    roots = connected_components(edges, "first-components")
-    # what is left: buckets that still hold different components
-    placed = stored(shared.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("h", "cls", F.coalesce("root", "cls").alias("comp")), "shared-components")
-    open_ = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h")
-    rest = in_parts(placed.join(open_, "h").join(sizes, "cls"), n, together, shingles_together)
-    pairs = grouped(rest.drop("n").join(sets.drop("members"), "cls")).mapInArrow(
-        lambda b: bucket_pairs(keyed_groups(b, order), percent), "a long, b long").distinct()
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    more = stored(both.mapInArrow(lambda b: verify_pairs(b, percent), "a long, b long"), "later-edges")
-    linked = connected_components(edges.union(more), "components")
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = wanted_filter(classes)
+        return texts.mapInArrow(lambda b: set_rows(b, words, wanted), "cls long, members array<long>").dropDuplicates(["cls"])
+
+    rows = stored(source.mapInArrow(lambda b: describe(b, words), "id long, n long, cls long, counts binary"), "shingle-rows")
+    postings = texts.mapInArrow(lambda b: early_shingles(b, words, percent), "h long, cls long")
+    shared = stored(postings.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(shared_only, "h long, cls long"), "shared-shingles")
+    # of shingles with the same classes the first will do
+    alike = shared.groupBy("h").agg(F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
+    shared = shared.join(alike.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h"), "h")
+    vectors = rows.where("counts is not null").select("cls", "n", "counts").dropDuplicates(["cls"])
+    met = grouped(in_parts(shared, together).join(vectors, "cls"))
+    close = stored(met.mapInArrow(lambda b: bucket_forest(keyed_groups(b, order), percent), "a long, b long"), "close-classes")
+    clusters = stored(connected_components(close, "clusters").select(F.col("node").alias("cls"), F.col("root").alias("h")), "clusters")
+    met = in_parts(clusters.join(vectors, "cls"), together, shingles_together).join(sets_of(clusters), "cls")
+    edges = stored(grouped(met).mapInArrow(lambda b: bucket_edges(keyed_groups(b, order), percent), "a long, b long"), "shingle-edges")
+    linked = connected_components(edges, "components")
     # the smallest id of a component, by way of its classes
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     of = ids.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
