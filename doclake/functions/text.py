@@ -48,8 +48,10 @@ def decode_entities(text: Column, named=NAMED_ENTITIES) -> Column:
         return F.coalesce(known.otherwise(F.try_element_at(table, name)) if len(named) > len(XML_ENTITIES) else known, hit)
 
     def decoded(t: Column) -> Column:
+        # bound once: an expression that a lambda repeats is evaluated for every element
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        return F.array_join(F.transform(F.split(t, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(char(F.get(hits, i)), F.lit("")))), "")
+        return let(hits, lambda h: F.array_join(F.transform(
+            F.split(t, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(let(F.get(h, i), char), F.lit("")))), ""))
 
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 

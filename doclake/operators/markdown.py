@@ -398,6 +398,7 @@ def inline_html(text: Column) -> Column:
         for pattern, out in [
             (r"!\[([^\[\]]*)\]\(([^()\s]+)\)", '<img src="$2" alt="$1" />'), (r"\[([^\[\]]*)\]\(([^()\s]+)\)", '<a href="$2">$1</a>'),
             (r"\*\*([^*]+(?:\*[^*]+\*[^*]*)?)\*\*", "<strong>$1</strong>"), (r"__([^_]+)__", "<strong>$1</strong>"),
+            (r"&lt;(https?://[^\s&]+)&gt;", '<a href="$1">$1</a>'), (r"(?<![\w/])_([^_\s][^_]*)_(?!\w)", "<em>$1</em>"),
             (r"\*([^*\s][^*]*)\*", "<em>$1</em>"), (r"~~([^~]+)~~", "<del>$1</del>"), (r"==([^=]+)==", "<mark>$1</mark>"),
         ]:
             t = F.regexp_replace(t, pattern, out)
