@@ -28,6 +28,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach. Different counts are few: at most the root of twice the tokens."""
+    rows = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n"))
+    least, taken = None, 0
+    for row in rows.toLocalIterator():
+        taken += row["k"]
+        if taken > most:
+            break
+        least = row["n"]
+    return least if least is not None else 1 << 62
+
+
+def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a result of bounded size."""
+    got = df.select(*names).toArrow()
+    return [got.column(n).to_numpy() for n in names]
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of the id as text; an id that is null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import connected_components, keyed_groups, mix, shuffle_partitions, stored, text_slices, word_hashes
+from doclake.llm.common import columns, connected_components, keyed_groups, mix, most_frequent, shuffle_partitions, stored, text_slices, word_hashes
 from doclake.llm.pieces import gather
 from doclake.session import ship_with_tasks
 
@@ -25,6 +25,8 @@ ship_with_tasks(__name__)
 TOGETHER = 1024
 SHINGLES_TOGETHER = 6_000_000
 LEAST_GROUPS, MOST_GROUPS = 64, 4096
+#: Shingles counted together in a task; how many classes make a shingle a common one; most common ones that all tasks know.
+COUNTED_TOGETHER, COMMON_FROM, COMMON = 4_000_000, 8, 1 << 18
 #: 64-bit words of the filter that goes to all tasks.
 FILTER_WORDS = 1 << 17
 FANOUT = 16
@@ -113,14 +115,48 @@ def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
                  pa.array(count_vectors(hashes, ends, new), pa.binary())], ["id", "n", "cls", "counts"])
 
 
-def early_shingles(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(h, cls) for the prefix of every class that is new to this task."""
+def repeated_shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(h, n): shingles that several classes of this task have, counted among a bounded number of them at a time."""
+    seen: set[int] = set()
+    waiting: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(waiting), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["h", "n"])
+
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch.column("text")):
+            hashes, ends = shingle_sets(data, offsets, words)
+            size, key = np.diff(ends), class_keys(hashes, ends)
+            waiting.append(hashes[np.repeat(first_here(key, size, seen), size)])
+            if sum(map(len, waiting)) > COUNTED_TOGETHER:
+                yield counted()
+                waiting = []
+    if waiting:
+        yield counted()
+
+
+def common_shingles(texts: DataFrame, words: int, most: int = COMMON) -> np.ndarray:
+    """The shingles that most classes have, at most ``most``, sorted. They come last in the order of shingles.
+
+    Any order gives the same links; with passages that many texts share at its end, texts meet by what is their own.
+    """
+    counts = stored(texts.mapInArrow(lambda b: repeated_shingles(b, words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM), "repeated-shingles")
+    least = most_frequent(counts, most)
+    return np.sort(columns(counts.where(F.col("n") >= least), "h")[0].view(np.uint64))
+
+
+def early_shingles(batches: Iterator[pa.RecordBatch], words: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, cls) for the prefix of every class that is new to this task: ``common`` shingles last, else in hash order."""
     seen: set[int] = set()
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text")):
             hashes, ends = shingle_sets(data, offsets, words)
             size, key = np.diff(ends), class_keys(hashes, ends)
             length = np.where(first_here(key, size, seen), prefix_length(size, percent), 0)
+            if len(common):
+                last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+                hashes = hashes[np.argsort(np.repeat(np.arange(len(size)), size) * 2 + last, kind="stable")]
             yield pa.RecordBatch.from_arrays([pa.array(gather(hashes, ends[:-1], length).view(np.int64)), pa.array(np.repeat(key, length))], ["h", "cls"])
 
 
@@ -335,7 +371,7 @@ def jaccard_components(docs: DataFrame, id: str, text: str, percent: int = 80, w
     ``component_id`` is the smallest id reachable, nulls last. Repeated rows and equal texts are one class and never
     become pairs. Rows without words keep their own id. Other columns are not read; an empty table gives no rows.
 
-    Every linked pair shares a shingle among the first of both in hash order: the buckets. Those with the same classes are
+    Every linked pair shares a shingle among the first of both in one order of all shingles: the buckets. Those with the same classes are
     one. In the tree of each bucket those pairs are found that may link; what such pairs connect is a cluster, to which
     every class takes its whole set once. There, again by a tree, pairs that are not yet connected by links are
     verified. Buckets and clusters above ``together`` meet in parts, so that no link is lost.
@@ -354,7 +390,8 @@ def jaccard_components(docs: DataFrame, id: str, text: str, percent: int = 80, w
         return texts.mapInArrow(lambda b: set_rows(b, words, wanted), "cls long, members array<long>").dropDuplicates(["cls"])
 
     rows = stored(source.mapInArrow(lambda b: describe(b, words), "id long, n long, cls long, counts binary"), "shingle-rows")
-    postings = texts.mapInArrow(lambda b: early_shingles(b, words, percent), "h long, cls long")
+    common = common_shingles(texts, words)
+    postings = texts.mapInArrow(lambda b: early_shingles(b, words, percent, common), "h long, cls long")
     shared = stored(postings.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(shared_only, "h long, cls long"), "shared-shingles")
     # of shingles with the same classes the first will do
     alike = shared.groupBy("h").agg(F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in (1, 2)])

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import mix, shuffle_partitions, stored, text_slices, word_hashes
+from doclake.llm.common import columns, mix, most_frequent, shuffle_partitions, stored, text_slices, word_hashes
 from doclake.session import ship_with_tasks, work_dir
 
 ship_with_tasks(__name__)
@@ -28,6 +28,9 @@ END_KEY = np.uint64(0x454E44)
 SHIFT = 24
 #: Tokens and texts that a task counts together before it hands them on.
 TOKENS_TOGETHER, TEXTS_TOGETHER = 1_500_000, 30_000
+#: Partitions of the pair table are those of a shuffle, but so many at least: a text gets a row of sums from each of them
+#: that it has a token in, and this should follow the number of texts, not that of partitions as well.
+LEAST_PARTS = 64
 #: Counts up to this are discounted.
 TRUSTED = 5
 
@@ -129,24 +132,6 @@ def discounts(of: dict[int, int]) -> list[float]:
     return out
 
 
-def most_frequent(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows reach. Different counts are few: at most the root of twice the tokens."""
-    rows = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n"))
-    least, taken = None, 0
-    for row in rows.toLocalIterator():
-        taken += row["k"]
-        if taken > most:
-            break
-        least = row["n"]
-    return least if least is not None else 1 << 62
-
-
-def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    """Columns of a result of bounded size."""
-    got = df.select(*names).toArrow()
-    return [got.column(n).to_numpy() for n in names]
-
-
 def fit(texts: DataFrame, text: str, train: Column, classes: int = 1 << 14, pairs_at_hand: int = 1 << 16) -> Model:
     """The model of the rows for which ``train`` holds. Null texts are empty: an end alone.
 
@@ -183,7 +168,7 @@ def fit(texts: DataFrame, text: str, train: Column, classes: int = 1 << 14, pair
     base = F.when(full, F.col("kept")).when(F.col("c") - F.col("kept") < 1e-9 * F.col("c"), F.col("c") + 1.0).otherwise(F.col("c").cast("double"))
     by_context = stored(by_context.withColumn("base", base).withColumn(
         "backoff", F.when(full, 0.0).otherwise((1 - F.col("kept") / F.col("base")) / (1 - F.col("seen")))), "contexts")
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), LEAST_PARTS)
     logs = by_pair.join(F.broadcast(by_context.select("h", "base")), "h").select(  # at most one row a class
         "key", "n", F.log10(F.col("kept") / F.col("base")).alias("log"))
     logs = logs.mapInArrow(lambda b: with_part(b, parts), "key long, n long, log double, part int")
