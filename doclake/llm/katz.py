@@ -27,7 +27,7 @@ RARE, END, START, WORDS = 0, 1, 2, 3
 END_KEY = np.uint64(0x454E44)
 SHIFT = 24
 #: Tokens and texts that a task counts together before it hands them on.
-TOKENS_TOGETHER, TEXTS_TOGETHER = 1_500_000, 30_000
+TOKENS_TOGETHER, TEXTS_TOGETHER = 700_000, 30_000
 #: Partitions of the pair table are those of a shuffle, but so many at least: a text gets a row of sums from each of them
 #: that it has a token in, and this should follow the number of texts, not that of partitions as well.
 LEAST_PARTS = 64
