@@ -19,7 +19,7 @@ from doclake.session import get_session, work_dir
 HEADLINE = [
     "html_tokens", "html_to_markdown", "html_links", "media_candidates", "md_blocks", "md_to_html", "md_toc_pages", "detect_kind",
     "archive_members", "expand_nested", "docx_to_markdown", "pptx_to_markdown", "sheets_to_markdown", "file_tree", "bundle_documents",
-    "concat_raw", "stream_ingest",
+    "concat_raw", "stream_links",
 ]
 # Operators over packages: the packages are written once and not timed.
 STORED = {
