@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from doclake.llm.bpe import digests_of
 from doclake.llm.common import crc_of_id
-from doclake.llm import katz
+from doclake.llm.ngrams import katz_scores
 from doclake.llm.packing import pack
 from doclake.llm.quality import learn, score_quality
 from doclake.plans.registry import table
@@ -45,9 +45,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, train = table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 7 != 2
-    model = katz.fit(docs, "text", train)
-    return katz.score_texts(docs, "doc_id", "text", train, model).select(
-        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scores, train_tokens = katz_scores(docs, "doc_id", "text", train)
+    return scores.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 QUERIES = {"op2_katz_scores": op2_katz_scores, "op6_subword_quality": op6_subword_quality, "op8_byte_bpe": op8_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing}
