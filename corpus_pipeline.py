@@ -18,7 +18,7 @@ from doclake.llm.common import stored
 from doclake.llm.jaccard import jaccard_components
 from doclake.llm.quality import score_quality
 from doclake.llm.queries_models import packed, quality_model
-from doclake.llm.secrets import redact
+from doclake.llm.secrets import credential_like, redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same rows; texts that changed have their new length in n_chars."""
-    cleaned = redact(docs.withColumn("_was", F.col("text")), "doc_id", "text", F.col("lang"), F.col("source"))
+    """The same rows; texts that changed have their new length in n_chars.
+
+    Runs that only their one owner tells apart are replaced if they look like credentials, so UUIDs, slugs and names stay.
+    """
+    cleaned = redact(docs.withColumn("_was", F.col("text")), "doc_id", "text", F.col("lang"), F.col("source"), owned=credential_like)
     changed = ~F.col("text").eqNullSafe(F.col("_was"))
     return cleaned.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 

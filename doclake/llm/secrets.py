@@ -6,6 +6,8 @@ hold it. A secret that many owners copy is an example, one that a single owner h
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,14 @@ HEX = r"[0-9a-f]{24,}"
 # Candidates that count only if a single owner has them: long runs of letters, digits, _ and - with a letter and a digit.
 LONG = r"[A-Za-z0-9_-]{20,}"
 
+# What an owned run must not be to be replaced: a UUID.
+UUID = r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+# Its parts between _ and - that read like words, numbers or words with a number before or after them.
+PLAIN_PART = (r"[A-Z]?[a-z]*[0-9]*|[A-Z]+[0-9]*|[0-9]+([A-Z]?[a-z]*|[A-Z]+)[0-9]*[A-Z]?|[A-Za-z]?[a-z]*[0-9]{0,4}([A-Z][a-z]+[0-9]{0,4})+"
+              r"|[a-z]{4,}[0-9]{1,4}[a-z]{4,}[0-9]*")
+#: Bits of a run's characters, by their frequency in it, for each bit that as many different characters would have.
+LEAST_ENTROPY = 0.6
+
 KINDS = ("assign", "access", "hex", "owned")
 #: A secret of so many owners or more is a widely copied example.
 EXAMPLE_OWNERS = 3
@@ -109,23 +119,41 @@ def span_text(found: Column) -> Column:
         ":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id: str, text: str, repository: Column, owner: Column, mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def credential_like(run: Column) -> Column:
+    """Whether a run of letters, digits, _ and - looks made by a machine to be secret.
+
+    UUIDs do not, nor do slugs, identifiers and names: the parts between _ and - that are no words or numbers must together
+    have 16 characters, of two classes at least (capitals, small letters, digits), and entropy near that of so many
+    different characters.
+    """
+    odd = F.array_join(F.filter(F.split(run, "[_-]+"), lambda part: ~part.rlike(f"^({PLAIN_PART})$")), "")
+    length = F.char_length(odd).cast("double")
+    letters = F.filter(F.split(odd, ""), lambda c: c != "")
+    bits = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda sum_, c: sum_ - (F.size(F.filter(letters, lambda x: x == c)) / length) * F.log2(F.size(F.filter(letters, lambda x: x == c)) / length))
+    classes = sum((odd.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]")), F.lit(0))
+    return ~run.rlike(f"^{UUID}$") & (length >= 16) & (classes >= 2) & (bits >= LEAST_ENTROPY * F.log2(F.least(length, F.lit(36.0))))
+
+
+def redact(docs: DataFrame, id: str, text: str, repository: Column, owner: Column, mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS,
+           owned: Callable[[Column], Column] | None = None) -> DataFrame:
     """``docs`` with every span that is not a widely copied example replaced by ``mark``; overlapping spans become one mark.
 
-    Rows without such spans keep their text, null texts stay null; all rows and columns stay.
+    With ``owned`` spans of that kind are replaced only if it holds for their text. Rows without such spans keep their text, null texts stay null; all rows and columns stay.
     """
     spans = scan_secrets(docs, id, text, repository, owner, example_owners).select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("repository").alias("_r"), F.col("owner").alias("_o"),
         F.filter("found", lambda x: x["standing"] != "example").alias("_found")).where("size(_found) > 0")
+    body = F.coalesce(F.col(text), F.lit(""))
+    met = docs.join(spans, F.col(id).eqNullSafe(F.col("_id")) & (F.sha2(body, 256) == F.col("_digest")) & repository.eqNullSafe(F.col("_r")) & owner.eqNullSafe(F.col("_o")), "left")
+    if owned is not None:
+        met = met.withColumn("_found", F.filter("_found", lambda x: (x["kind"] != 3) | owned(F.substring(F.col(text), x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int")))))
     # spans sorted by start merge in one pass over the array of marks' starts and ends
     ends = F.transform("_found", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     merged = F.aggregate(ends, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda done, x: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
         F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(x))))
-    spans = spans.withColumn("_cut", merged)
-    body = F.coalesce(F.col(text), F.lit(""))
-    met = docs.join(spans, F.col(id).eqNullSafe(F.col("_id")) & (F.sha2(body, 256) == F.col("_digest")) & repository.eqNullSafe(F.col("_r")) & owner.eqNullSafe(F.col("_o")), "left")
+    met = met.withColumn("_cut", F.when(F.size("_found") > 0, merged))
     pieces = F.transform("_cut", lambda x, i: F.concat(F.substring(F.col(text), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_cut", i - 1)["end"]).cast("int") + 1,
                                                            (x["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_cut", i - 1)["end"])).cast("int")), F.lit(mark)))
     last = F.substring(F.col(text), F.element_at("_cut", -1)["end"].cast("int") + 1, F.char_length(text))
