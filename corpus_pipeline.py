@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 next one's docs. All but the last return the columns of documents.
 
 quality   documents that the classifier scores below 0.5 go (learnt from labels of the documents at hand)
-near      of each group of documents that link by word shingles the one with the smallest doc_id stays
+near      of each group of texts that link by word shingles the row with the smallest doc_id stays
 secrets   secrets that are not widely copied examples are replaced in the text
 packing   the remaining texts become token sequences: one row a piece, with its sequence and offset
 """
@@ -28,14 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; documents without words link with nothing and stay.
+    """One row of each group of texts that link, that with the least (doc_id, hash of the text); others of the id are judged by their own text.
 
-    Rows that repeat a doc_id are one document. Rows without an id cannot stand for a group and stay.
+    Rows without words link with nothing and stay. Rows without an id cannot stand for a group and stay. Of rows that repeat
+    both id and text one stays.
     """
-    found = jaccard_components(docs, "doc_id", "text")
-    gone = found.where("id is not null").groupBy("id").agg(F.min("component_id").alias("least")).where("least != id")
-    named = docs.where("doc_id is not null").join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    group = jaccard_components(keyed, "_key", "text").groupBy("id").agg(F.min("component_id").alias("group")).withColumnRenamed("id", "_key")
+    least = keyed.where(words & F.col("doc_id").isNotNull()).groupBy("_key").agg(F.min("doc_id").alias("doc_id"))  # one row a text
+    first = least.join(group, "_key").groupBy("group").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first.*")
+    kept = keyed.where(words & F.col("doc_id").isNotNull()).join(first, ["doc_id", "_key"], "left_semi").select(*keyed.columns)
+    kept = kept.union(keyed.where(~words | F.col("doc_id").isNull()))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return kept.groupBy("doc_id", "_key").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,13 @@ def test_secrets_stage_keeps_uuids_slugs_and_identifiers(spark):
     assert {got[100 + i].text for i in range(len(live))} == {"é [secret] end"}
     assert got[100].n_chars == len("é [secret] end")
     assert got[200].text == "[secret] and file test_parse_utf8_string_2"
+
+
+def test_near_stage_judges_rows_of_an_id_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(2, a), (5, a), (2, c), (1, c), (5, b), (5, b), (None, b), (None, b), (6, ""), (6, ""), (6, None), (7, a + " more")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
+    got = corpus_pipeline.near(spark, frame, SF)
+    assert got.columns == frame.columns
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=order) == sorted([(2, a), (1, c), (5, b), (None, b), (6, ""), (6, None)], key=order)
