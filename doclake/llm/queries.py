@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doclake.llm import queries_documents, queries_models, queries_vectors
+from doclake.llm import queries_archives, queries_documents, queries_models, queries_vectors
 
-QUERIES = {**queries_vectors.QUERIES, **queries_documents.QUERIES, **queries_models.QUERIES}
-ORACLES = {**queries_vectors.ORACLES, **queries_documents.ORACLES}
+QUERIES = {**queries_vectors.QUERIES, **queries_documents.QUERIES, **queries_models.QUERIES, **queries_archives.QUERIES}
+ORACLES = {**queries_vectors.ORACLES, **queries_documents.ORACLES, **queries_archives.ORACLES}
