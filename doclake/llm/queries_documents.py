@@ -9,6 +9,7 @@ from doclake.llm.jaccard import jaccard_components
 from doclake.llm.secrets import ACCESS, ASSIGN, HEX, LONG, scan_secrets, span_text
 from doclake.llm.sharding import even_tree, grown_tree, shard_rows
 from doclake.llm.url_filters import filter_captures, url_host, validity_intervals
+from doclake.llm.variants import spelling_variants
 from doclake.plans.registry import table
 
 SHARDS = 40
@@ -142,6 +143,10 @@ from sets s left join texts t on list_sort(s.s) = t.s and len(s.s) > 0 left join
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {"op1_temporal_url_filter": op1_temporal_url_filter, "op5_hash_tree_shards": op5_hash_tree_shards, "op7_jaccard_components": op7_jaccard_components,
-           "op9_secret_ownership": op9_secret_ownership}
+           "op9_secret_ownership": op9_secret_ownership, "op12_spelling_variants": op12_spelling_variants}
 ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op7_jaccard_components": OP7_SQL, "op9_secret_ownership": _op9_sql()}
