@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm.alignment import align
 from doclake.llm.bpe import digests_of
 from doclake.llm.common import crc_of_id
 from doclake.llm.ngrams import katz_scores
@@ -50,4 +51,10 @@ def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {"op2_katz_scores": op2_katz_scores, "op6_subword_quality": op6_subword_quality, "op8_byte_bpe": op8_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, "doc_id", "text", vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op2_katz_scores": op2_katz_scores, "op6_subword_quality": op6_subword_quality, "op8_byte_bpe": op8_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing,
+           "op11_tokenizer_alignment": op11_tokenizer_alignment}
