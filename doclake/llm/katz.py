@@ -270,10 +270,10 @@ def answer(asked: pa.Table, table: pa.Table, m: Model) -> pa.Table:
         value = m.backoff[p["keys"] >> SHIFT] + m.share[p["keys"] & ((1 << SHIFT) - 1)]
         if len(logs):
             value = np.where(found, logs[at], value)
-        score = np.bincount(p["at"], np.repeat(value, p["times"]), n)
+        score = np.bincount(p["at"], np.repeat(value, p["times"]), n).astype(np.float64)  # of nothing it counts in whole numbers
         c = count[first: first + len(p["words"])]
         first += len(p["words"])
-        word_log = np.bincount(p["word_at"], np.repeat(np.log10(c + 1.0), p["word_times"]), n)
+        word_log = np.bincount(p["word_at"], np.repeat(np.log10(c + 1.0), p["word_times"]), n).astype(np.float64)
         words = np.bincount(p["word_at"], minlength=n)
         known = np.bincount(p["word_at"], np.repeat(c > 0, p["word_times"]), n).astype(np.int64)
         out.append(pa.table({"row": p["rows"], "train": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()), "score": score + word_log - words * rare_log, "base": word_log, "known": known, "copies": np.zeros(n, np.int64)}))
