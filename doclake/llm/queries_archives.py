@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.llm import warc
+from doclake.llm.common import stored
 from doclake.plans.registry import table
 from doclake.session import work_dir
 
 
 def op13_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as whole-file gzip streams, normalised, and read back record by record through the offset index."""
+    """Pages written as whole-file gzip streams, normalised, and read back, each record with its entry of the offset index."""
     streams, archives = work_dir(spark, "warc-streams"), work_dir(spark, "warc")
     warc.write_monolithic(warc.warc_records(table(spark, sf_dir, "pages"), "page_id", "url", "html"), streams)
     warc.normalize(spark, streams, archives)
-    records = warc.resolve_revisits(warc.read_records(spark, archives))
+    records = warc.resolve_revisits(stored(warc.record_facts(spark, archives), "warc-records"))
 
     def page(column: str):
         return F.nullif(F.regexp_extract(column, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")

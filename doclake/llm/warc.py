@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ LEAST_SHARED = 1000
 #: Compressed bytes after which the normaliser begins another archive; one archive is read as one cell.
 ARCHIVE_BYTES = 32 << 20
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
-LEVEL = 6
+LEVEL = 4
 
 INDEX = T.StructType([T.StructField(n, t) for n, t in (
     ("offset", T.LongType()), ("length", T.LongType()), ("record_type", T.StringType()), ("record_id", T.StringType()), ("uri", T.StringType()),
@@ -199,14 +200,16 @@ def rewrite(batches: Iterator[pa.RecordBatch], most_bytes: int, level: int) -> I
         offset, seq, held = offset + len(packed), seq + 1, held + len(packed)
 
     for batch in batches:
-        paths, lines = batch.column("path"), batch.column("line")
-        for i in range(batch.num_rows):
-            now = paths[i].as_py()
+        if not batch.num_rows:
+            continue
+        paths, lines = batch.column("path"), batch.column("line").to_pylist()
+        one = paths[0] == paths[-1]  # an archive's lines come together
+        for line, now in zip(lines, repeat(paths[0].as_py()) if one else paths.to_pylist()):
             if now != path:
                 if found := reader.finish():
                     add(found)
                 path, part, offset, seq = now, 0, 0, 0
-            if found := reader.feed(lines[i].as_py() + b"\n"):
+            if found := reader.feed(line + b"\n"):
                 add(found)
                 if held > 8 << 20:
                     yield flush()
@@ -247,44 +250,85 @@ def read_index(spark: SparkSession, out: str) -> DataFrame:
 
 
 def http_payload(record: bytes) -> bytes:
-    """What a record's block holds, behind the HTTP header where it has one."""
+    """What a record's block holds, behind the HTTP header where it has one. What is no whole record stays as it is."""
     head, _, block = record.partition(b"\r\n\r\n")
     fields = header_fields(head)
-    block = block[: int(fields.get("content-length", "0") or 0)]
+    length = fields.get("content-length", "")
+    if not head.startswith(b"WARC/") or not (length.isascii() and length.isdigit()) or len(block) != int(length) + 4:
+        return record
     if fields.get("content-type", "").lower().startswith("application/http"):
-        return block.partition(b"\r\n\r\n")[2]
-    return block
+        return block[:-4].partition(b"\r\n\r\n")[2]
+    return block[:-4]
+
+
+HEADERS = ["record_type", "record_id", "uri", "refers_to", "payload_digest"]
 
 
-def read_at(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
+def archive_files(spark: SparkSession, out: str) -> DataFrame:
+    """``archive, content`` of the normalised archives below ``out``; one archive is a cell of bounded size."""
+    files = spark.read.format("binaryFile").load(out)
+    if "kind" not in files.columns:  # no archive, no folders
+        files = files.withColumns({"archive": F.lit(""), "kind": F.lit("")})
+    return files.where("kind = 'records'").select(F.col("archive").cast("string"), "content")
+
+
+def read_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             content, entries = batch.column("content")[i].as_py(), batch.column("entries")[i].as_py()
             out: list[list] = [[] for _ in range(8)]
             for e in sorted(entries, key=lambda e: e["offset"]):
                 record = zlib.decompress(content[e["offset"]: e["offset"] + e["length"]], 31)
-                payload = http_payload(record) if e["record_type"] != "damaged" else record
-                row = (e["record_type"], e["record_id"], e["uri"], e["refers_to"], e["payload_digest"], len(payload), hashlib.sha1(payload).hexdigest(), payload if with_payload else None)
-                for column, x in zip(out, row):
+                payload = http_payload(record)
+                for column, x in zip(out, (*(e[h] for h in HEADERS), len(payload), hashlib.sha1(payload).hexdigest(), payload)):
                     column.append(x)
             kinds = [*[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["record_type", "record_id", "uri", "refers_to", "payload_digest", "payload_bytes", "sha1", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], [*HEADERS, "payload_bytes", "sha1", "payload"])
 
 
-def read_records(spark: SparkSession, out: str, index: DataFrame | None = None, with_payload: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, out: str, index: DataFrame | None = None) -> DataFrame:
     """Records of the normalised archives below ``out`` that ``index`` (rows of ``read_index``; all by default) names, each inflated alone from its offset.
 
     ``record_type, record_id, uri, refers_to, payload_digest`` are the headers', ``payload_bytes, sha1, payload`` those of the
     bytes that were found. Archives without a wanted record are not opened beyond the join that finds them.
     """
     index = read_index(spark, out) if index is None else index
-    wanted = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length", "record_type", "record_id", "uri", "refers_to", "payload_digest")).alias("entries"))
-    files = spark.read.format("binaryFile").load(out)
-    if "kind" not in files.columns:  # no archive, no folders
-        files = files.withColumns({"archive": F.lit(""), "kind": F.lit("")})
-    files = files.where("kind = 'records'").select(F.col("archive").cast("string"), "content")
+    wanted = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length", *HEADERS)).alias("entries"))
     schema = "record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, sha1 string, payload binary"
-    return files.join(wanted, "archive").mapInArrow(lambda b: read_at(b, with_payload), schema)
+    return archive_files(spark, out).join(wanted, "archive").mapInArrow(read_at, schema)
+
+
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(archive, offset, length, payload_bytes, sha1) of every member."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            archive, content, at = batch.column("archive")[i].as_py(), memoryview(batch.column("content")[i].as_py()), 0
+            out: list[list] = [[] for _ in range(5)]
+            while at < len(content):
+                record, size = b"", 0
+                while at + size < len(content) and (not size or content[at + size: at + size + len(EMPTY_MEMBER)] == EMPTY_MEMBER):
+                    inflate = zlib.decompressobj(31)
+                    part, first, step = [], at + size, 1 << 13  # small steps first: what follows a member is handed back
+                    while not inflate.eof:
+                        if first >= len(content):
+                            raise ValueError(f"archive {archive} ends inside a member")
+                        part.append(inflate.decompress(content[first: first + step]))
+                        first, step = first + step, min(2 * step, 1 << 20)
+                    size = min(first, len(content)) - len(inflate.unused_data) - at
+                    record += b"".join(part)
+                payload = http_payload(record)
+                for column, x in zip(out, (archive, at, size, len(payload), hashlib.sha1(payload).hexdigest())):
+                    column.append(x)
+                at += size
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["archive", "offset", "length", "payload_bytes", "sha1"])
+
+
+def record_facts(spark: SparkSession, out: str) -> DataFrame:
+    """Like ``read_records`` for all records, but without payloads: archives are read where they lie, and only sizes and digests meet their index entries."""
+    schema = "archive string, offset long, length long, payload_bytes long, sha1 string"
+    found = archive_files(spark, out).mapInArrow(measure, schema)
+    return found.join(read_index(spark, out), ["archive", "offset", "length"]).select(*HEADERS, "payload_bytes", "sha1")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -293,7 +337,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     One side of the join has one row a record, so the adaptive skew join can split a record that many others refer to.
     """
     full = F.coalesce(F.col("record_type") != "revisit", F.lit(True))
-    same = [c for c in records.columns if c not in ("payload_bytes", "sha1", "payload")]
-    holders = records.where(full).groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.min(F.struct("payload_bytes", "sha1", "payload")).alias("held"))
+    facts = [c for c in records.columns if c in ("payload_bytes", "sha1", "payload")]
+    same = [c for c in records.columns if c not in facts]
+    holders = records.where(full).groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.min(F.struct(*facts)).alias("held"))
     revisits = records.where(~full).select(*same).join(holders, ["refers_to", "payload_digest"], "left")
-    return records.where(full).unionByName(revisits.select(*same, "held.payload_bytes", "held.sha1", "held.payload"))
+    return records.where(full).unionByName(revisits.select(*same, *[F.col(f"held.{c}") for c in facts]))

@@ -69,7 +69,7 @@ def want_of(rows):
 
 
 def got_of(spark, out):
-    got = warc.resolve_revisits(warc.read_records(spark, out, with_payload=True)).collect()
+    got = warc.resolve_revisits(warc.read_records(spark, out)).collect()
     number = lambda s: int(s[10:-1]) if s and len(s) > 11 else None
     for r in got:
         assert r.payload_digest == "sha1:" + r.sha1 == "sha1:" + hashlib.sha1(r.payload).hexdigest()
@@ -88,6 +88,8 @@ ROWS = [
 def test_round_trip(spark):
     streams, out = run(spark, ROWS)
     assert got_of(spark, out) == want_of(ROWS)
+    facts = warc.record_facts(spark, out)
+    assert sorted(map(str, facts.collect())) == sorted(map(str, warc.read_records(spark, out).drop("payload").collect()))
 
 
 def test_streams_are_one_member_and_archives_one_a_record(spark):
@@ -123,14 +125,14 @@ def test_archives_begin_anew_after_some_bytes(spark):
 def test_wanted_records_alone(spark):
     _, out = run(spark, ROWS)
     index = warc.read_index(spark, out).where(F.col("record_id").isin("<urn:page:8>", "<urn:page:14>"))
-    got = {r.record_id: r.payload for r in warc.read_records(spark, out, index, with_payload=True).collect()}
+    got = {r.record_id: r.payload for r in warc.read_records(spark, out, index).collect()}
     assert set(got) == {"<urn:page:8>", "<urn:page:14>"}
     assert bytes(got["<urn:page:8>"]).decode() == ROWS[9][2]
 
 
 def test_of_nothing(spark):
     _, out = run(spark, [])
-    assert warc.read_records(spark, out).collect() == []
+    assert warc.read_records(spark, out).collect() == [] == warc.record_facts(spark, out).collect()
 
 
 def record(kind, id, block, *more):
@@ -145,7 +147,7 @@ def foreign(spark, *files):
         with open(f"{path_of(folder)}/f{i}.warc.gz", "wb") as f:
             f.write(data)
     warc.normalize(spark, folder, out)
-    return out, {(r.record_id or str(n)): r for n, r in enumerate(warc.read_records(spark, out, with_payload=True).collect())}
+    return out, {(r.record_id or str(n)): r for n, r in enumerate(warc.read_records(spark, out).collect())}
 
 
 def test_foreign_archives(spark):
@@ -153,6 +155,9 @@ def test_foreign_archives(spark):
     blob = bytes(range(256)) * 9
     parts = [record("warcinfo", "i", b"software: x\r\n"), record("resource", "b", blob, "WARC-Target-URI: http://x/\r\n y"), record("request", "e", b""), record("metadata", "m", b"last")]
     whole = b"".join(parts)
+    big = record("resource", "x", b"x" * (17 << 20))
+    out, got = foreign(spark, gzip.compress(big, 1) + gzip.compress(record("resource", "y", b"y")), gzip.compress(big, 1))
+    assert [r.payload_bytes for r in warc.record_facts(spark, out).orderBy("payload_bytes").collect()] == [1, 17 << 20, 17 << 20]
     out, got = foreign(spark, gzip.compress(whole[:100]) + gzip.compress(whole[100:]), gzip.compress(record("resource", "z", b"\n\n\nx\n")[:-4]))
     assert {k: bytes(r.payload) for k, r in got.items()} == {"<i>": b"software: x\r\n", "<b>": blob, "<e>": b"", "<m>": b"last", "<z>": b"\n\n\nx\n"}
     assert got["<b>"].uri == "http://x/ y" and got["<z>"].record_type == "resource"
@@ -164,7 +169,8 @@ def test_damaged_records_are_kept_as_they_are(spark):
     wrong = record("resource", "w", b"too long").replace(b"Content-Length: 8", b"Content-Length: 5")
     none = record("resource", "n", b"none").replace(b"Content-Length", b"Content-Size")
     short = record("resource", "s", b"short").replace(b"Content-Length: 5", b"Content-Length: 500")
-    _, got = foreign(spark, gzip.compress(b"junk\r\nmore\r\n" + good + wrong + good.replace(b"<g>", b"<h>") + none + good.replace(b"<g>", b"<k>") + short))
+    out, got = foreign(spark, gzip.compress(b"junk\r\nmore\r\n" + good + wrong + good.replace(b"<g>", b"<h>") + none + good.replace(b"<g>", b"<k>") + short))
+    assert sorted(map(str, warc.record_facts(spark, out).collect())) == sorted(map(str, warc.read_records(spark, out).drop("payload").collect()))
     assert {k for k, r in got.items() if r.record_type != "damaged"} == {"<g>", "<h>", "<k>"}
     assert sorted(bytes(r.payload)[:8] for r in got.values() if r.record_type == "damaged") == [b"WARC/1.0", b"WARC/1.0", b"WARC/1.0", b"junk\r\nmo"]
     assert {bytes(r.payload) for r in got.values() if r.record_type == "damaged"} >= {wrong, none}
