@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from doclake.functions.md_inline import escape_html, inline_html, resolve_references
 from doclake.functions.text import let, trim_ws
 from doclake.functions.urls import parse_image_ref
 from doclake.rules import rule_table
@@ -26,6 +27,8 @@ UNIT = f"(?m){FRONT_MATTER}|{FENCE}|{DIRECTIVE}|{SETEXT}|[^\\n]+\\n?|\\n"
 LIST_MARKER = r"^([ \t]*)([-*+]|[0-9]{1,9}[.)])(?:[ \t]+|$)"
 DELIMITER_ROW_LINE = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\n?$"
 CODE_SPAN = r"`+[^`]*`+"
+#: ``[label]: address "title"`` on one line; groups: label, address, title. It cannot interrupt a paragraph.
+DEFINITION = r"""^ {0,3}\[(?!\^)(?=[^\[\]\n]*[^\s\[\]])([^\[\]\n]+)\]:[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+("[^"\n]*"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*\n?$"""
 
 # Alert names as shown.
 ALERTS = [("note", "NOTE"), ("tip", "TIP"), ("important", "INFO"), ("warning", "WARNING"), ("caution", "DANGER")]
@@ -59,7 +62,7 @@ def _kind(u: Column, pos: Column) -> Column:
         .when(like(r"^:::+[ \t]*[^:\s]"), "directive").when(like(r"^\s*$"), "blank")
         .when(like(r"^[^\n]+\n {0,3}(?:=+|-+)[ \t]*\n?$"), "heading").when(like(r"^ {0,3}#{1,6}(?:[ \t]|\n|$)"), "heading")
         .when(like(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})\n?$"), "rule")
-        .when(like(LIST_MARKER), "item").when(like(r"^ {0,3}>"), "quote").when(like(r"^ {0,3}\[\^[^\]\s]+\]:"), "footnote")
+        .when(like(LIST_MARKER), "item").when(like(r"^ {0,3}>"), "quote").when(like(r"^ {0,3}\[\^[^\]\s]+\]:"), "footnote").when(like(DEFINITION), "definition")
         .when(like(r"^ {0,3}</?[A-Za-z!]"), "html").when(F.contains(u, F.lit("|")), "row").otherwise("paragraph"))
 
 
@@ -71,6 +74,25 @@ def md_units(df: DataFrame, id: str, text: str, clustered: bool = False) -> Data
     return units.withColumn("kind", _kind(F.col("unit"), F.col("pos")))
 
 
+def _settle_definitions(units: DataFrame) -> DataFrame:
+    """Units of clustered documents where a definition below a line of a paragraph, an item or a quote is what it looks like there: text."""
+    before = F.last(F.when(F.col("kind") != "definition", F.col("kind")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("pos"))
+    return units.withColumn("_before", before).withColumn("kind", F.when(
+        (F.col("kind") == "definition") & F.col("_before").isin("paragraph", "item", "quote", "footnote"), "paragraph").otherwise(F.col("kind"))).drop("_before")
+
+
+def reference_label(label: Column) -> Column:
+    """What labels are compared by: blanks and case do not count."""
+    return F.lower(F.upper(F.trim(F.regexp_replace(label, r"\s+", " "))))
+
+
+def _defined(unit: Column) -> Column:
+    """``struct(label, url, title)`` of a definition's unit."""
+    title = F.regexp_extract(unit, DEFINITION, 3)
+    return F.struct(reference_label(F.regexp_extract(unit, DEFINITION, 1)).alias("label"), F.regexp_replace(F.regexp_extract(unit, DEFINITION, 2), "^<|>$", "").alias("url"),
+                    F.when(title != "", F.substring(title, F.lit(2), F.length(title) - 2)).alias("title"))
+
+
 def _heading_level(u: Column) -> Column:
     return F.when(F.rlike(u, F.lit(r"^ {0,3}#")), F.length(F.regexp_extract(u, r"^ {0,3}(#+)", 1))).when(
         F.rlike(u, F.lit(r"\n {0,3}=")), 1).otherwise(2)
@@ -171,29 +193,59 @@ def resolve_syntax(code: DataFrame, user_map: list[tuple[str, str]]) -> DataFram
             .drop("_token", "_syntax", "_ext", "_mapped", "_mtoken", "_msyntax"))
 
 
-def _prose(df: DataFrame, id: str, text: str) -> DataFrame:
-    """Units that hold inline markup, code spans removed."""
-    return md_units(df, id, text).filter("kind NOT IN ('code', 'front_matter', 'blank', 'rule')").withColumn(
-        "prose", F.regexp_replace("unit", CODE_SPAN, ""))
+IMAGE_WHOLE = r"!\[[^\[\]]*\](?:\([^()]*\)|\[[^\[\]]*\])?"
+LINK_WORDS = r"(?:" + IMAGE_WHOLE + r"|[^\[\]])*+"
+LINK = (IMAGE_WHOLE + r"|\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]|(?<!!)\[(" + LINK_WORDS + r")\]\(<?([^()\s<>]*)>?(?:[ \t]+[^()]*)?\)"
+        r"|(?<![\[(<\"=/\w])((?:https?://|www\.)[^\s<>()\[\]`\"]*[^\s<>()\[\]`\".,;:!?'*_~])"
+        r"|<((?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_{|}~-]+@[A-Za-z0-9.-]+))>"
+        r"|(?<!!)\[(" + LINK_WORDS + r")\]\[([^\[\]]*)\]|(?<!!)\[(?!\^)([^\[\]]+)\](?!\[)")
+TASK_MARK = r"^([ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)\[[^\]]\](?=[ \t]|$)"
 
 
-LINK_WORDS = r"(?:[^\[\]]|!\[[^\[\]]*\]\([^()]*\))*+"
-LINK = (r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]|(?<!!)\[(" + LINK_WORDS + r")\]\(<?([^()\s<>]*)>?(?:[ \t]+[^()]*)?\)"
-        r"|(?<![\[(<\"=/\w])((?:https?://|www\.)[^\s<>()\[\]`\"]*[^\s<>()\[\]`\".,;:!?'*_~])")
+def _references(rows: DataFrame, place: str) -> DataFrame:
+    """Rows (doc_id, place, …, label, defined) → rows whose label is null or defined, with its ``url``; definitions themselves go.
+
+    References and definitions meet in a window per (document, label) on the document's own partition; of several
+    definitions the first counts, wherever the reference stands.
+    """
+    first = F.min_by("defined", F.when(F.col("defined").isNotNull(), F.col(place))).over(W.partitionBy("doc_id", "label"))
+    rows = rows.withColumn("to", F.when(F.col("label").isNotNull(), first))
+    return rows.filter(F.col("defined").isNull() & (F.col("label").isNull() | F.col("to").isNotNull()))
+
+
+def md_definitions(df: DataFrame, id: str, text: str) -> DataFrame:
+    """``doc_id, pos, label, url, title`` of every definition that references can use: of equal labels the first."""
+    units = _settle_definitions(md_units(df, id, text, clustered=True)).filter("kind = 'definition'").withColumn("d", _defined(F.col("unit")))
+    first = F.row_number().over(W.partitionBy("doc_id", "d.label").orderBy("pos")) == 1
+    return units.withColumn("_first", first).filter("_first").select("doc_id", "pos", "d.label", "d.url", "d.title")
 
 
 def md_links(df: DataFrame, id: str, text: str) -> DataFrame:
-    """``doc_id, pos, n, kind, url, title``: inline links, ``[[url|title]]`` and bare addresses, outside code."""
+    """``doc_id, pos, n, kind, url, title``: inline links, ``[[url|title]]``, ``<url>``, bare addresses and references, outside code.
+
+    A reference (``[words][label]``, ``[label][]``, ``[label]``) is a link where its document defines the label.
+    """
+    units = _settle_definitions(md_units(df, id, text, clustered=True)).filter("kind NOT IN ('code', 'front_matter', 'blank', 'rule')")
+    prose = F.regexp_replace(F.regexp_replace("unit", TASK_MARK, "$1"), CODE_SPAN, "")
     groups = [F.regexp_extract_all("prose", F.lit(LINK), F.lit(i)).alias(n) for i, n in
-              enumerate(["whole", "wiki", "wiki_title", "title", "url", "bare"])]
-    rows = _prose(df, id, text).select("doc_id", "pos", F.posexplode(F.arrays_zip(*groups)).alias("n", "m"))
+              enumerate(["whole", "wiki", "wiki_title", "title", "url", "bare", "auto", "words", "full", "short"])]
+    defined = F.when(F.col("kind") == "definition", _defined(F.col("unit")))
+    rows = units.withColumns({"prose": F.when(F.col("kind") != "definition", prose).otherwise(""), "defined": defined})
+    rows = rows.select("doc_id", "pos", "defined", F.posexplode_outer(F.arrays_zip(*groups)).alias("n", "m")).filter("m IS NOT NULL OR defined IS NOT NULL")
     whole = F.col("m.whole")
-    kind = F.when(F.startswith(whole, F.lit("[[")), "wiki").when(F.startswith(whole, F.lit("[")), "inline").otherwise("bare")
+    rows = rows.filter(whole.isNull() | ~F.startswith(whole, F.lit("!")))  # images are no links, but words of links
+    kind = (F.when(F.startswith(whole, F.lit("[[")), "wiki").when(F.startswith(whole, F.lit("<")), "auto").when(~F.startswith(whole, F.lit("[")), "bare")
+            .when(F.endswith(whole, F.lit(")")), "inline").otherwise("reference"))
+    named = F.when(F.endswith(whole, F.lit("[]")), F.col("m.words")).when(F.col("m.full") != "", F.col("m.full")).otherwise(F.col("m.short"))
+    rows = rows.withColumn("kind", kind).withColumn("label", F.coalesce("defined.label", F.when(F.col("kind") == "reference", reference_label(named))))
+    rows = _references(rows, "pos")
+    kind = F.col("kind")
+    mail = F.when(F.contains("m.auto", F.lit(":")), F.col("m.auto")).otherwise(F.concat(F.lit("mailto:"), "m.auto"))
     return rows.select(
-        "doc_id", "pos", "n", kind.alias("kind"),
-        F.when(kind == "wiki", F.col("m.wiki")).when(kind == "inline", F.col("m.url")).otherwise(F.col("m.bare")).alias("url"),
-        F.when(kind == "wiki", F.coalesce(F.nullif(F.col("m.wiki_title"), F.lit("")), F.col("m.wiki")))
-        .when(kind == "inline", F.col("m.title")).otherwise(F.col("m.bare")).alias("title"))
+        "doc_id", "pos", (F.row_number().over(W.partitionBy("doc_id", "pos").orderBy("n")) - 1).alias("n"), "kind",
+        F.when(kind == "wiki", F.col("m.wiki")).when(kind == "inline", F.col("m.url")).when(kind == "reference", F.col("to.url")).when(kind == "auto", mail).otherwise(F.col("m.bare")).alias("url"),
+        F.when(kind == "wiki", F.coalesce(F.nullif(F.col("m.wiki_title"), F.lit("")), F.col("m.wiki"))).when(kind == "inline", F.col("m.title"))
+        .when(kind == "reference", F.when(F.col("m.short") != "", F.col("m.short")).otherwise(F.col("m.words"))).when(kind == "auto", F.col("m.auto")).otherwise(F.col("m.bare")).alias("title"))
 
 
 def md_blocks(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -202,7 +254,7 @@ def md_blocks(df: DataFrame, id: str, text: str) -> DataFrame:
     Neighbouring lines of one kind belong together; a plain line right below an item or a quote continues it. Pipe rows
     are a table only when their second line is a delimiter row.
     """
-    units = md_units(df, id, text, clustered=True)
+    units = _settle_definitions(md_units(df, id, text, clustered=True))
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     # a pipe row starts a table when a delimiter row follows; rows go on until another kind of line
     heads = (F.col("kind") == "row") & F.coalesce(F.rlike(F.lead("unit").over(by_doc), F.lit(DELIMITER_ROW_LINE)), F.lit(False))
@@ -233,13 +285,13 @@ def md_blocks(df: DataFrame, id: str, text: str) -> DataFrame:
             .when(type_ == "item", F.regexp_replace(F.regexp_replace(raw, LIST_MARKER, ""), r"\n[ \t]+", "\n"))
             .when(type_ == "front_matter", trim_ws(F.regexp_replace(raw, r"^---|---\s*$", "")))
             .when(type_ == "footnote", F.regexp_replace(raw, r"^ {0,3}\[\^[^\]]+\]:[ \t]*", ""))
-            .when(type_ == "rule", "").otherwise(raw))
+            .when(type_ == "definition", _defined(F.col("raw"))["url"]).when(type_ == "rule", "").otherwise(raw))
     by_block = W.partitionBy("doc_id").orderBy("block")
     return blocks.select(
         "doc_id", (F.row_number().over(by_block) - 1).alias("block_no"), type_.alias("type"),
         F.when(type_ == "heading", _heading_level(F.col("raw"))).alias("level"),
         F.when(type_ == "code", _fence_info(F.col("raw"))).when(type_ == "item", F.regexp_extract("raw", LIST_MARKER, 2))
-        .when(type_ == "footnote", F.regexp_extract("raw", r"^ {0,3}\[\^([^\]]+)\]", 1)).alias("info"),
+        .when(type_ == "footnote", F.regexp_extract("raw", r"^ {0,3}\[\^([^\]]+)\]", 1)).when(type_ == "definition", _defined(F.col("raw"))["label"]).alias("info"),
         body.alias("text"), "line_from", "line_to", "raw")
 
 
@@ -270,18 +322,25 @@ def md_tables(df: DataFrame, id: str, text: str) -> DataFrame:
                         F.get("widths", F.col("col_no")).alias("width"))
 
 
+IMAGE = r"!\[([^\[\]]*)\]\(<?([^()\s<>]+)>?(?:[ \t]+[^()]*)?\)|!\[([^\[\]]*)\]\[([^\[\]]*)\]|!\[([^\[\]]+)\]"
+
+
 def md_images(df: DataFrame, id: str, text: str, page_width: int = 1920) -> DataFrame:
-    """``doc_id, block_no, n, alt, base_url, width, height``; in a table the width defaults to 90 % of the page per column."""
+    """``doc_id, block_no, n, alt, base_url, width, height``, by address or by reference; in a table the width defaults to 90 % of the page per column."""
     blocks = md_blocks(df, id, text).filter("type NOT IN ('code', 'front_matter')")
-    prose = F.regexp_replace("raw", CODE_SPAN, "")
-    pattern = F.lit(r"!\[([^\[\]]*)\]\(<?([^()\s<>]+)>?(?:[ \t]+[^()]*)?\)")
-    found = F.arrays_zip(F.regexp_extract_all(prose, pattern, F.lit(1)).alias("alt"), F.regexp_extract_all(prose, pattern, F.lit(2)).alias("url"))
+    prose = F.when(F.col("type") == "definition", "").otherwise(F.regexp_replace("raw", CODE_SPAN, ""))
+    found = F.arrays_zip(*[F.regexp_extract_all(prose, F.lit(IMAGE), F.lit(i)).alias(n) for i, n in enumerate(["whole", "alt", "url", "words", "full", "short"])])
     columns = F.size(_split_row(F.substring_index("raw", "\n", 1)))
     share = F.floor(F.lit(page_width * 9 // 10) / columns).cast("string")
-    rows = blocks.select("doc_id", "block_no", F.when(F.col("type") == "table", share).alias("share"), F.posexplode(found).alias("n", "m"))
-    ref = parse_image_ref(F.col("m.url"))
-    return rows.withColumn("ref", ref).filter("ref IS NOT NULL").select(
-        "doc_id", "block_no", "n", F.col("m.alt").alias("alt"), "ref.base_url", F.coalesce("ref.width", "share").alias("width"), "ref.height")
+    defined = F.when(F.col("type") == "definition", F.struct(F.col("info").alias("label"), F.col("text").alias("url")))
+    rows = blocks.select("doc_id", "block_no", defined.alias("defined"), F.when(F.col("type") == "table", share).alias("share"), F.posexplode_outer(found).alias("n", "m"))
+    named = F.when(F.endswith("m.whole", F.lit("[]")), F.col("m.words")).when(F.col("m.full") != "", F.col("m.full")).when(F.col("m.short") != "", F.col("m.short"))
+    rows = _references(rows.filter("m IS NOT NULL OR defined IS NOT NULL").withColumn("label", F.coalesce("defined.label", reference_label(named))), "block_no")
+    by_label = F.col("label").isNotNull()
+    ref = parse_image_ref(F.when(by_label, F.col("to.url")).otherwise(F.col("m.url")))
+    alt = F.when(~by_label, F.col("m.alt")).when(F.col("m.short") != "", F.col("m.short")).otherwise(F.col("m.words"))
+    rows = rows.withColumns({"ref": ref, "alt": alt}).filter("ref IS NOT NULL").withColumn("n", F.row_number().over(W.partitionBy("doc_id", "block_no").orderBy("n")) - 1)
+    return rows.select("doc_id", "block_no", "n", "alt", "ref.base_url", F.coalesce("ref.width", "share").alias("width"), "ref.height")
 
 
 def md_list_items(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -384,31 +443,6 @@ def md_math(df: DataFrame, id: str, text: str) -> DataFrame:
                        trim_ws(F.when(display, F.col("m.display")).otherwise(F.col("m.inline"))).alias("literal"))
 
 
-def _escape_html(t: Column) -> Column:
-    for char, name in [("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")]:
-        t = F.replace(t, F.lit(char), F.lit(f"&{name};"))
-    return t
-
-
-def inline_html(text: Column) -> Column:
-    """Inline Markdown → HTML; code spans are taken out first so their content stays literal."""
-
-    def prose(t: Column) -> Column:
-        t = _escape_html(t)
-        for pattern, out in [
-            (r"!\[([^\[\]]*)\]\(([^()\s]+)\)", '<img src="$2" alt="$1" />'), (r"\[([^\[\]]*)\]\(([^()\s]+)\)", '<a href="$2">$1</a>'),
-            (r"\*\*([^*]+(?:\*[^*]+\*[^*]*)?)\*\*", "<strong>$1</strong>"), (r"__([^_]+)__", "<strong>$1</strong>"),
-            (r"&lt;(https?://[^\s&]+)&gt;", '<a href="$1">$1</a>'), (r"(?<![\w/])_([^_\s][^_]*)_(?!\w)", "<em>$1</em>"),
-            (r"\*([^*\s][^*]*)\*", "<em>$1</em>"), (r"~~([^~]+)~~", "<del>$1</del>"), (r"==([^=]+)==", "<mark>$1</mark>"),
-        ]:
-            t = F.regexp_replace(t, pattern, out)
-        return t
-
-    spans = F.regexp_extract_all(text, F.lit(r"`[^`]+`|[^`]+|`"), F.lit(0))
-    return F.array_join(F.transform(spans, lambda s: F.when(F.rlike(s, F.lit("^`[^`]+`$")), F.concat(
-        F.lit("<code>"), _escape_html(F.regexp_replace(s, "^`|`$", "")), F.lit("</code>"))).otherwise(prose(s))), "")
-
-
 # Fixed value: the page around a fragment.
 PAGE_HEAD = '<!DOCTYPE html>\n<html>\n<head>\n  <meta charset="utf-8">\n  <style>{css}</style>\n</head>\n<body>\n'
 PAGE_TAIL = "</body>\n</html>\n"
@@ -431,29 +465,36 @@ def md_to_html(df: DataFrame, id: str, text: str, wrap: bool = False, css: str =
     """``doc_id, html``: the fragment, or a whole page around it."""
     by_list = W.partitionBy("doc_id", "list_id").orderBy("block_no")
     blocks = _table_arrays(_with_list_position(md_blocks(df, id, text)).filter("type <> 'front_matter'"))
+    defined = F.col("type") == "definition"
+    # cells of a table in one row, every row as wide as the first, so that inline markup is one expression for all kinds
+    width = F.size("head")
+    cells = F.concat(F.col("head"), F.flatten(F.transform("body", lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(r, i), F.lit(""))))))
+    texts = F.when(F.col("type") == "table", cells).when(~F.col("type").isin("code", "rule", "html", "definition"), F.array(trim_ws(F.col("text"))))
     blocks = blocks.withColumns({
-        "was": F.coalesce(F.lag("depth").over(by_list), F.lit(-1)), "next": F.coalesce(F.lead("depth").over(by_list), F.lit(-1)),
-        "inline": F.when(~F.col("type").isin("code", "rule", "html", "table"), inline_html(trim_ws(F.col("text"))))})
+        "was": F.coalesce(F.lag("depth").over(by_list), F.lit(-1)), "next": F.coalesce(F.lead("depth").over(by_list), F.lit(-1)), "cells": F.transform(texts, inline_html)})
+    blocks = blocks.withColumn("inline", F.get("cells", F.lit(0)))
     tag = F.concat(F.lit("h"), F.col("level"))
     lang = fence_language(F.coalesce("info", F.lit("")))
     code_class = F.when(F.coalesce("info", F.lit("")) == "", "").otherwise(F.concat(F.lit(' class="language-'), lang, F.lit('"')))
     paragraph = F.concat(F.lit("<p>"), F.col("inline"), F.lit("</p>\n"))
 
-    def cells(row: Column, name: str) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size("head") - 1), lambda i: F.concat(
+    def row(number: Column, name: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(
             F.lit(f"<{name}"), F.when(F.get("align", i) == "none", "").otherwise(F.concat(F.lit(' align="'), F.get("align", i), F.lit('"'))),
-            F.lit(">"), inline_html(F.coalesce(F.get(row, i), F.lit(""))), F.lit(f"</{name}>\n"))), "")
+            F.lit(">"), F.get("cells", number * width + i), F.lit(f"</{name}>\n"))), "")
 
-    table = F.concat(F.lit("<table>\n<thead>\n<tr>\n"), cells(F.col("head"), "th"), F.lit("</tr>\n</thead>\n"), F.when(
-        F.size("body") > 0, F.concat(F.lit("<tbody>\n"), F.array_join(F.transform("body", lambda r: F.concat(
-            F.lit("<tr>\n"), cells(r, "td"), F.lit("</tr>\n"))), ""), F.lit("</tbody>\n"))).otherwise(""), F.lit("</table>\n"))
+    table = F.concat(F.lit("<table>\n<thead>\n<tr>\n"), row(F.lit(0), "th"), F.lit("</tr>\n</thead>\n"), F.when(
+        F.size("body") > 0, F.concat(F.lit("<tbody>\n"), F.array_join(F.transform("body", lambda _r, j: F.concat(
+            F.lit("<tr>\n"), row(j + 1, "td"), F.lit("</tr>\n"))), ""), F.lit("</tbody>\n"))).otherwise(""), F.lit("</table>\n"))
     html = (F.when(F.col("type") == "heading", F.concat(F.lit("<"), tag, F.lit(">"), F.col("inline"), F.lit("</"), tag, F.lit(">\n")))
-            .when(F.col("type") == "code", F.concat(F.lit("<pre><code"), code_class, F.lit(">"), _escape_html(F.col("text")), F.lit("\n</code></pre>\n")))
-            .when(F.col("type") == "rule", "<hr />\n").when(F.col("type") == "html", F.concat("text", F.lit("\n"))).when(F.col("type") == "table", table)
+            .when(F.col("type") == "code", F.concat(F.lit("<pre><code"), code_class, F.lit(">"), escape_html(F.col("text")), F.lit("\n</code></pre>\n")))
+            .when(F.col("type") == "rule", "<hr />\n").when(defined, "").when(F.col("type") == "html", F.concat("text", F.lit("\n"))).when(F.col("type") == "table", table)
             .when(F.col("type") == "item", _item_html())
             .when(F.col("type") == "quote", F.concat(F.lit("<blockquote>\n"), paragraph, F.lit("</blockquote>\n"))).otherwise(paragraph))
-    docs = blocks.select("doc_id", "block_no", html.alias("html")).groupBy("doc_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("block_no", "html"))), lambda s: s["html"]), "").alias("html"))
+    entry = F.when(defined, F.struct(F.col("info").alias("label"), "block_no", _defined(F.col("raw"))["url"].alias("url"), _defined(F.col("raw"))["title"].alias("title")))
+    docs = blocks.select("doc_id", "block_no", html.alias("html"), entry.alias("entry")).groupBy("doc_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("block_no", "html"))), lambda s: s["html"]), "").alias("html"), F.sort_array(F.collect_list("entry")).alias("entries"))
+    docs = docs.select("doc_id", resolve_references(F.col("html"), F.col("entries")).alias("html"))
     # documents without any content give an empty fragment; ids name rows
     docs = df.select(F.col(id).alias("doc_id")).distinct().join(docs, "doc_id", "left").withColumn("html", F.coalesce("html", F.lit("")))
     if not wrap:

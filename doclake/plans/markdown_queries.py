@@ -189,3 +189,48 @@ def md_to_html(spark, sf):
     src = synth(spark, sf, f"SELECT c_custkey AS id, {HTML_DOC} AS md FROM {{customer}}").withColumn(
         "md", F.replace("md", F.lit("3. x"), F.lit("sep\n\n3. x")))
     return M.md_to_html(src, "id", "md")
+
+
+REF_DOC = lines(
+    "[late]: http://too-early/{c_nationkey}", "", "See [one][Late], [ late ][] and [LATE], not [this][{c_name}] nor [that]. <http://auto/{c_custkey}> <a@{c_nationkey}.org>", "[Late]: within a paragraph", "",
+    "[late]: http://never", "[Two Words]: <two/{c_custkey}.html> 'T & {c_nationkey}'", "", "- [x] [two", "  words] `[late]`", "- [![badge {c_nationkey}][pic]][two   WORDS] and [in](u_r_l) ![pic]", "",
+    "> **q [late] `*`**", "", "[pic]: p{c_custkey}.png#20x30 (p)", "", "| A |", "|---|", "| ![t][Pic] ![none][no] |")
+REF_DOCS = f"SELECT c_custkey AS id, {REF_DOC} AS md FROM {{customer}}".replace("\\", "\\\\")
+
+
+def _ref_docs(spark, sf):
+    return synth(spark, sf, REF_DOCS)
+
+
+@query("md_definitions", rows("label, url, title", [
+    ("late", "http://too-early/{c_nationkey}", None), ("two words", "two/{c_custkey}.html", "T & {c_nationkey}"), ("pic", "p{c_custkey}.png#20x30", "p")]))
+def md_definitions(spark, sf):
+    """Labels that are repeated, in other cases, within a paragraph and below their references."""
+    return M.md_definitions(_ref_docs(spark, sf), "id", "md").drop("pos")
+
+
+@query("md_reference_links", rows("pos, n, kind, url, title", [
+    (2, 0, "reference", "http://too-early/{c_nationkey}", "one"), (2, 1, "reference", "http://too-early/{c_nationkey}", " late "), (2, 2, "reference", "http://too-early/{c_nationkey}", "LATE"),
+    (2, 3, "auto", "http://auto/{c_custkey}", "http://auto/{c_custkey}"), (2, 4, "auto", "mailto:a@{c_nationkey}.org", "a@{c_nationkey}.org"), (3, 0, "reference", "http://too-early/{c_nationkey}", "Late"),
+    (10, 0, "reference", "two/{c_custkey}.html", "![badge {c_nationkey}][pic]"), (10, 1, "inline", "u_r_l", "in"), (12, 0, "reference", "http://too-early/{c_nationkey}", "late")]))
+def md_reference_links(spark, sf):
+    return M.md_links(_ref_docs(spark, sf), "id", "md")
+
+
+@query("md_reference_images", rows("n, alt, base_url, width, height", [
+    (0, "badge {c_nationkey}", "p{c_custkey}.png", "20", "30"), (1, "pic", "p{c_custkey}.png", "20", "30"), (0, "t", "p{c_custkey}.png", "20", "30")]))
+def md_reference_images(spark, sf):
+    return M.md_images(_ref_docs(spark, sf), "id", "md").drop("block_no")
+
+
+LATE, TWO = '<a href="http://too-early/{c_nationkey}">', '<a href="two/{c_custkey}.html" title="T &amp; {c_nationkey}">'
+PIC = '<img src="p{c_custkey}.png#20x30" alt="%s" title="p" />'
+REF_HTML = (f"<p>See {LATE}one</a>, {LATE} late </a> and {LATE}LATE</a>, not [this][{{c_name}}] nor [that]. <a href=\"http://auto/{{c_custkey}}\">http://auto/{{c_custkey}}</a> "
+            f"<a href=\"mailto:a@{{c_nationkey}}.org\">a@{{c_nationkey}}.org</a>\n{LATE}Late</a>: within a paragraph</p>\n<ul>\n<li>[x] {TWO}two\nwords</a> <code>[late]</code></li>\n"
+            f"<li>{TWO}{PIC % 'badge {c_nationkey}'}</a> and <a href=\"u_r_l\">in</a> {PIC % 'pic'}</li>\n</ul>\n<blockquote>\n<p><strong>q {LATE}late</a> <code>*</code></strong></p>\n</blockquote>\n"
+            f"<table>\n<thead>\n<tr>\n<th>A</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>{PIC % 't'} ![none][no]</td>\n</tr>\n</tbody>\n</table>\n")
+
+
+@query("md_reference_html", rows("html", [(REF_HTML,)]))
+def md_reference_html(spark, sf):
+    return M.md_to_html(_ref_docs(spark, sf), "id", "md")
