@@ -9,7 +9,7 @@ from doclake.operators import containers as C
 from doclake.operators import office as O
 from doclake.operators import tables as TB
 from doclake.plans import fixtures as X
-from doclake.plans.registry import duck, query, synth, table
+from doclake.plans.registry import ORACLES, duck, query, synth, table
 
 COLS = ["role", "turn", "conv_id", "text"]
 
@@ -99,25 +99,24 @@ def package_parts(spark, sf):
     return _docx(spark, sf).select("doc_id", "part", F.octet_length("content").alias("size"))
 
 
-@query("docx_runs", rows("text, bold, italic, strike, underline", [
-    ("plain ", False, False, False, False), ("bold", True, False, False, False), ("both", True, True, False, False), ("mix", False, False, True, True)]))
-def docx_runs(spark, sf):
-    runs = O.docx_runs(_docx(spark, sf)).filter("text IN ('plain ', 'bold', 'both', 'mix')")
-    return runs.select("doc_id", "text", "bold", "italic", "strike", "underline")
-
-
 RUNS = [(0, 0, "{role} & co"), (1, 1, "Turn {turn}"), (2, 2, "plain "), (2, 3, "bold"), (2, 4, "both"), (2, 5, "mix"), (3, 6, "{role}"), (4, 7, "deep"), (5, 8, "one"), (6, 9, "two"),
         (7, 10, "H1"), (8, 11, "H2"), (9, 12, "x"), (10, 13, "y"), (11, 14, "link"), (12, 15, "three"), (13, 16, "go"), (13, 17, "miss"), (14, 18, "ab"), (15, 19, ""), (16, 20, "{text}"), (18, 21, "日本 עברית")]
 RUN_FLAGS = {3: (True, False, False, False), 4: (True, True, False, False), 5: (False, False, True, True)}
 
 
-@query("docx_all_runs", rows("para_no, run_no, text, bold, italic, strike, underline", [(*r, *RUN_FLAGS.get(r[1], (False,) * 4)) for r in RUNS]))
-def docx_all_runs(spark, sf):
+@query("docx_runs", rows("para_no, run_no, text, bold, italic, strike, underline", [(*r, *RUN_FLAGS.get(r[1], (False,) * 4)) for r in RUNS]))
+def docx_runs(spark, sf):
     """Every run of every document; what follows a paragraph's last run is none."""
     runs = O.docx_runs(_docx(spark, sf)).filter("ended")
     return runs.select("doc_id", F.col("para_no").cast("int").alias("para_no"), F.col("run_no").cast("int").alias("run_no"), "text", "bold", "italic", "strike", "underline")
 
 
+@query("docx_all_runs", ORACLES["docx_runs"])
+def docx_all_runs(spark, sf):
+    """The name under which ``docx_runs`` gave all runs first."""
+    return docx_runs(spark, sf)
+
+
 @query("office_rels", rows("part, rel_id, target", [
     ("word/_rels/document.xml.rels", "rId1", "http://l/{turn}?a=1&b=2"), ("word/_rels/document.xml.rels", "rId2", "media/image1.png")]))
 def office_rels(spark, sf):

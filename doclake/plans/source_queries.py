@@ -11,7 +11,7 @@ from doclake.plans import markdown_queries as MQ
 from doclake.plans import office_queries as OQ
 from doclake.plans.detect_queries import MIME_ROWS
 from doclake.plans.registry import ORACLES, duck, query, synth, table
-from doclake.session import work_dir
+from doclake.session import file_system, work_dir
 from doclake.sources import fetched, files, writers
 from doclake.streaming import ingest
 
@@ -122,15 +122,24 @@ def stream_ingest(spark, sf):
     return spark.read.option("basePath", out).parquet(out).select(F.substring_index("path", "/", -1).alias("name"), "format", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
+def arriving(spark, sf: str, name: str) -> tuple[str, str]:
+    """(folder, pattern) of a table's files, be it one file or a folder of them."""
+    fs, path = file_system(spark, sf)
+    whole = f"{sf}/{name}.parquet"
+    return (whole, "*.parquet") if fs.getFileStatus(path(whole)).isDirectory() else (sf, f"{name}.parquet")
+
+
 @query("stream_links", ORACLES["html_links"])
 def stream_links(spark, sf):
     out, ckpt = work_dir(spark, "links"), work_dir(spark, "ckpt")
-    ingest.stream_links(spark, sf, out, ckpt, table(spark, sf, "pages").schema, "pages.parquet")
+    folder, names = arriving(spark, sf, "pages")
+    ingest.stream_links(spark, folder, out, ckpt, table(spark, sf, "pages").schema, names)
     return spark.read.option("basePath", out).parquet(out).drop("batch")
 
 
 @query("stream_latest", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
 def stream_latest(spark, sf):
     out, ckpt = work_dir(spark, "latest"), work_dir(spark, "ckpt")
-    ingest.stream_latest(spark, sf, out, ckpt, table(spark, sf, "events").schema, "user_id", ["ts", "event_id"], ["event_type", "value"], "events.parquet")
+    folder, names = arriving(spark, sf, "events")
+    ingest.stream_latest(spark, folder, out, ckpt, table(spark, sf, "events").schema, "user_id", ["ts", "event_id"], ["event_type", "value"], names)
     return ingest.read_latest(spark, out, "user_id")

@@ -67,6 +67,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/doclake-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, folder: str):
+    """The file system a folder lies in, whatever its scheme, and the maker of its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext

@@ -324,3 +324,44 @@ def test_a_megabyte_of_anything_takes_seconds(spark, unit):
     for job in (H.html_text(df, "id", "t"), H.html_links(df, "id", "t"), H.html_headings(df, "id", "t"), M.md_headings(df, "id", "t"), M.md_code_blocks(df, "id", "t")):
         job.write.format("noop").mode("overwrite").save()
     assert time.time() - start < 60
+
+
+def test_streams_that_nothing_reaches_leave_empty_tables(spark, tmp_path):
+    from doclake.streaming import ingest
+
+    folder, pages = str(tmp_path / "in"), "page_id long, html string"
+    (tmp_path / "in").mkdir()
+    out = {n: str(tmp_path / n) for n in ("links", "files", "latest")}
+    ingest.stream_links(spark, folder, out["links"], str(tmp_path / "c1"), pages, "none*")
+    ingest.stream_ingest(spark, folder, out["files"], str(tmp_path / "c2"))
+    ingest.stream_latest(spark, folder, out["latest"], str(tmp_path / "c3"), "k string, v int, t string", "k", ["v"], ["t"])
+    assert "href" in spark.read.parquet(out["links"]).columns and spark.read.parquet(out["links"]).count() == 0
+    assert "markdown" in spark.read.parquet(out["files"]).columns and spark.read.parquet(out["files"]).count() == 0
+    assert ingest.read_latest(spark, out["latest"], "k").columns == ["k", "t"] and ingest.read_latest(spark, out["latest"], "k").count() == 0
+    spark.createDataFrame([("a", 1, "x")], "k string, v int, t string").write.mode("append").parquet(folder)
+    ingest.stream_latest(spark, folder, out["latest"], str(tmp_path / "c3"), "k string, v int, t string", "k", ["v"], ["t"])
+    assert [tuple(r) for r in ingest.read_latest(spark, out["latest"], "k").collect()] == [("a", "x")]
+
+
+def test_references_take_the_first_definition_of_their_document(spark):
+    md = ("[a][X] [b][] [c]\n\n[x]: one 't1'\n[X]: two\n[ B ]: <b c> \n\npara\n[c]: not a definition\n\n- item\n[c]: nor here\n\n> q\n[c]: nor here\n\n"
+          "```\n[c]: code\n```\n[^n]: note\n[d]:\n\n<hh:x> <x@y.z> <not a link> `<hh:code>` \\n")
+    docs = spark.createDataFrame([(1, md), (2, "[a][x] [x]"), (3, None), (4, "[x]: only"), (5, "[c] ![c][] [![c]][c]\n\n[C]: (u)")], "id int, md string")
+    got = [(r["doc_id"], r["kind"], r["url"], r["title"]) for r in M.md_links(docs, "id", "md").orderBy("doc_id", "pos", "n").collect()]
+    assert got == [(1, "reference", "one", "a"), (1, "reference", "b c", "b"), (1, "auto", "hh:x", "hh:x"), (1, "auto", "mailto:x@y.z", "x@y.z"),
+                   (5, "reference", "(u)", "c"), (5, "reference", "(u)", "![c]")]
+    html = {r["doc_id"]: r["html"] for r in M.md_to_html(docs, "id", "md").collect()}
+    assert html[1].startswith('<p><a href="one" title="t1">a</a> <a href="b c">b</a> [c]</p>\n<p>para\n[c]: not a definition</p>\n')
+    assert html[2] == "<p>[a][x] [x]</p>\n" and html[3] == "" == html[4]
+    assert html[5] == '<p><a href="(u)">c</a> <img src="(u)" alt="c" /> <a href="(u)"><img src="(u)" alt="c" /></a></p>\n'
+    assert [(r["doc_id"], r["label"], r["url"], r["title"]) for r in M.md_definitions(docs, "id", "md").orderBy("doc_id", "pos").collect()] == [
+        (1, "x", "one", "t1"), (1, "b", "b c", None), (4, "x", "only", None), (5, "c", "(u)", None)]
+
+
+@pytest.mark.parametrize("md,want", [
+    ("**a `*` b**", "<strong>a <code>*</code> b</strong>"), ("*x [y](u_v_w) z*", '<em>x <a href="u_v_w">y</a> z</em>'), ("[*x*](a*b*c)", '<a href="a*b*c"><em>x</em></a>'),
+    ("![a_b_](c_d_e 'f\"g')", '<img src="c_d_e" alt="a_b_" title="f&quot;g" />'), ("`[a](b)` ![", "<code>[a](b)</code> !["), ("[a](b c) [d]()", '[a](b c) <a href="">d</a>'),
+    ("a \ufdd01\ufdd1 b", "a 1 b"), ("[x](<y> \"t\")", '<a href="y" title="t">x</a>'), ("1 < 2 & <3", "1 &lt; 2 &amp; &lt;3")])
+def test_inline_markup_leaves_literals_alone(spark, md, want):
+    docs = spark.createDataFrame([(1, md)], "id int, md string")
+    assert M.md_to_html(docs, "id", "md").first()["html"] == f"<p>{want}</p>\n"
