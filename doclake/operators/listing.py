@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from doclake.functions.detect import file_ext
 from doclake.functions.text import let
 from doclake.operators.ordering import with_next, with_position, with_running_sum
 from doclake.rules import ARCHIVE_EXTENSIONS, CODE_EXTENSIONS, CONFIG_EXTENSIONS, rule_table
+from doclake.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 
 def ext_category(df: DataFrame, path: str, is_dir: str) -> DataFrame:
@@ -155,19 +160,46 @@ def select_covered(paths: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def _glob_regex(pattern: str) -> tuple[str, bool, bool]:
-    """(regex for a path, negated, folders only) of one ignore pattern."""
+    """(regex for a path, negated, folders only) of one ignore pattern.
+
+    A slash anywhere but at the end ties the pattern to its folder. ``**`` spans folders where it stands alone between
+    slashes and is ``*`` elsewhere; a backslash takes the next character as it is. The regex means the same in Java and Python.
+    """
     negated = pattern.startswith("!")
     body = pattern[1:] if negated else pattern
     only_dirs = body.endswith("/")
     body = body.rstrip("/")
     anchored = "/" in body
     body = body.lstrip("/")
-    out = re.sub(r"\*\*/|/\*\*|\*\*|\*|\?|\[!?[^\]]*\]|.", lambda m: {
-        "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(
-            m.group(0), m.group(0).replace("[!", "[^") if m.group(0).startswith("[") and len(m.group(0)) > 1 else re.escape(m.group(0))), body)
+
+    def part(m: re.Match) -> str:
+        t = m.group(0)
+        if t in ("/**/", "**/", "/**"):
+            return {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*"}[t]
+        if t.startswith("*"):
+            return "[^/]*"
+        if t == "?":
+            return "[^/]"
+        if t.startswith("[") and len(t) > 1:
+            inner = t[2:-1] if t[1] in "!^" else t[1:-1]
+            return f"(?!/)[{'^' if t[1] in '!^' else ''}{re.sub(r'([^A-Za-z0-9_-])', _escaped, inner)}]"
+        return _escaped(t[-1])
+
+    out = re.sub(r"/\*\*/(?=.)|^\*\*/|/\*\*$|\*+|\?|\[[!^]?\]?[^\]]*\]|\\.|.", part, body, flags=re.S) if body != "**" else ".*"
     return ("^" if anchored else "^(?:.*/)?") + out + "$", negated, only_dirs
 
 
+def _escaped(c: re.Match | str) -> str:
+    c = c if isinstance(c, str) else c.group(0)
+    return c if c.isalnum() or c in "_/" or ord(c) > 127 else "\\" + c
+
+
+def _rule_lines(content: str) -> list[str]:
+    """Patterns of an ignore file, by line; empty where a line is none. Blanks at the end count where a backslash is before them."""
+    lines = (re.sub(r"(?<!\\)[ \t\r]+$", "", line) for line in content.split("\n"))
+    return ["" if line.startswith("#") else line for line in lines]
+
+
 def ignore_filter(paths: DataFrame, patterns: list[str]) -> DataFrame:
     """Files not ignored: the last matching pattern decides, and nothing below an ignored folder comes back.
 
@@ -186,3 +218,61 @@ def ignore_filter(paths: DataFrame, patterns: list[str]) -> DataFrame:
     hidden = let(parts, lambda ps: F.exists(
         F.sequence(F.lit(1), F.size(ps)), lambda d: ignored(F.array_join(F.slice(ps, F.lit(1), d), "/"), d < F.size(ps))))
     return paths.filter(~hidden)
+
+
+#: Names of ignore files; a match in one of a later name decides over those of earlier names, in whatever folder.
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def _translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder, rank, content in zip(*(batch.column(c).to_pylist() for c in ("folder", "rank", "content"))):
+            rows = [(n, *_glob_regex(line)) for n, line in enumerate(_rule_lines(content or "")) if line.strip("!/ ")]
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([folder] * len(rows)), pa.array([rank] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()),
+                     pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.bool_())], ["folder", "rank", "line", "regex", "negated", "only_dirs"])
+
+
+def ignore_rules(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``folder, rules``: the patterns of every ignore file among ``files``, with the folder that they hold in (empty at the top).
+
+    ``rules`` has one entry a line: rank of the file's name, line, regex, negated, only_dirs. Other files are not read.
+    """
+    name = F.substring_index(F.col(path), "/", -1)
+    whole = F.ltrim(F.col(path), F.lit("/"))
+    rank = F.array_position(F.array(*[F.lit(n) for n in IGNORE_FILES]), name).cast("int")
+    found = files.where(name.isin(*IGNORE_FILES)).select(
+        F.regexp_replace(whole, "/?[^/]*$", "").alias("folder"), rank.alias("rank"), F.col(content).cast("string").alias("content"))
+    lines = found.mapInArrow(_translate, "folder string, rank int, line int, regex string, negated boolean, only_dirs boolean")
+    return lines.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("rank", "line", "regex", "negated", "only_dirs"))).alias("rules"))
+
+
+def ignore_by_rules(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of ``paths`` that no ignore file of the tree hides.
+
+    Every file and every folder above one asks the rules of each folder above it, for its path below that folder. The last
+    match decides: by name of the ignore file, then by depth of its folder, then by line. What lies below an ignored folder stays hidden
+    whatever later rules say. Folders with rules are the unique side of the join, so a folder with very many files below it can be split.
+    """
+    whole = F.ltrim(F.col(path), F.lit("/"))
+    parts = F.split(whole, "/")
+    here = paths.select(whole.alias("file"), parts.alias("ps")).distinct()
+    entries = here.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ps")), lambda d: F.struct(
+        F.slice("ps", F.lit(1), d).alias("parts"), (d < F.size("ps")).alias("is_dir")))).alias("e"))
+    entries = entries.groupBy("e.parts").agg(F.max("e.is_dir").alias("is_dir"))
+    asked = entries.select("parts", "is_dir", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth"))
+    asked = asked.withColumn("folder", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")).join(rules, "folder")
+    below = F.array_join(F.slice("parts", F.col("depth") + 1, F.size("parts")), "/")
+
+    def last_match(rest: Column) -> Column:
+        hits = F.filter("rules", lambda r: F.rlike(rest, r["regex"]) & (F.col("is_dir") | ~r["only_dirs"]))
+        return let(hits, lambda h: F.get(h, F.size(h) - 1))
+
+    decided = asked.withColumn("hit", let(below, last_match)).where("hit is not null")
+    decided = decided.groupBy("parts").agg(F.max_by("hit.negated", F.struct("hit.rank", "depth", "hit.line")).alias("kept"))
+    hidden = decided.where("not kept").select(F.array_join("parts", "/").alias("entry"))
+    up = here.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("ps")), lambda d: F.array_join(F.slice("ps", F.lit(1), d), "/"))).alias("entry"))
+    gone = up.join(hidden, "entry", "left_semi").select("file").distinct()
+    return paths.withColumn("_file", whole).join(gone, F.col("_file") == F.col("file"), "left_anti").drop("_file")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -113,3 +114,30 @@ SELECT page_id, path FROM s WHERE NOT regexp_matches(path, '(^|/)d1/') AND NOT (
 def ignore_filter(spark, sf):
     files = synth(spark, sf, SITE).select("page_id", "path")
     return L.ignore_filter(files, ["# comment", "d1/", "f[0-5].txt", "!**/f3.txt", "/fr/**", "!d1/f3.txt"])
+
+
+# (folder of the ignore file, its name, its lines): a rule of a folder below re-includes, one of the other name decides over both
+IGNORES = [("{host}", ".gitignore", "# top\nd1/\nf[0-5].txt\n!f3.txt\n/fr/**\n"), ("{host}/en", ".gitignore", "!f1.txt\n/d2\n!d1/\n"), ("{host}/de", ".ignore", "f3.txt\n!f5.txt\n")]
+IGNORE_ROWS = " UNION ALL ".join(
+    f"SELECT DISTINCT concat({', '.join(q for q in ('host' if part == '{host}' else repr(part) for part in re.split('({host})', folder + '/' + name) if part))}) AS path, "
+    f"concat({', chr(10), '.join(repr(line) for line in content.split(chr(10)))}) AS content FROM ({SITE})" for folder, name, content in IGNORES)
+
+
+@query("ignore_rules", f"""WITH p AS (SELECT DISTINCT host || '/' || path AS path FROM ({DSITE})),
+ e AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS d, string_split(path, '/') AS ps FROM p),
+ x AS (SELECT DISTINCT path, array_to_string(list_slice(ps, 2, d), '/') AS rel, d < len(ps) AS is_dir FROM e WHERE d > 1),
+ j AS (SELECT path, CASE
+   WHEN starts_with(rel, 'de/') AND regexp_matches(rel, '(^|/)f5\\.txt$') THEN FALSE
+   WHEN starts_with(rel, 'de/') AND regexp_matches(rel, '(^|/)f3\\.txt$') THEN TRUE
+   WHEN starts_with(rel, 'en/') AND is_dir AND regexp_matches(rel, '/d1$') THEN FALSE
+   WHEN rel = 'en/d2' THEN TRUE
+   WHEN starts_with(rel, 'en/') AND regexp_matches(rel, '/f1\\.txt$') THEN FALSE
+   WHEN starts_with(rel, 'fr/') THEN TRUE
+   WHEN regexp_matches(rel, '(^|/)f3\\.txt$') THEN FALSE
+   WHEN regexp_matches(rel, '(^|/)f[0-5]\\.txt$') THEN TRUE
+   WHEN is_dir AND regexp_matches(rel, '(^|/)d1$') THEN TRUE ELSE FALSE END AS ignored FROM x)
+SELECT path FROM p WHERE path NOT IN (SELECT path FROM j WHERE ignored)""")
+def ignore_rules(spark, sf):
+    """Ignore files at the top and in folders of every host."""
+    files = synth(spark, sf, SITE).select(F.concat("host", F.lit("/"), "path").alias("path")).distinct()
+    return L.ignore_by_rules(files, L.ignore_rules(synth(spark, sf, IGNORE_ROWS)))

@@ -11,10 +11,12 @@ from doclake.plans import markdown_queries as MQ
 from doclake.plans import office_queries as OQ
 from doclake.plans.detect_queries import MIME_ROWS
 from doclake.plans.registry import ORACLES, duck, query, synth, table
-from doclake.session import file_system, work_dir
+from doclake.session import file_system, ship_with_tasks, work_dir
 from doclake.sources import fetched, files, writers
 from doclake.streaming import ingest
 
+ship_with_tasks(__name__)
+
 SF = "/root/testdata/sf0.01"
 
 

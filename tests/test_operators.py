@@ -365,3 +365,68 @@ def test_references_take_the_first_definition_of_their_document(spark):
 def test_inline_markup_leaves_literals_alone(spark, md, want):
     docs = spark.createDataFrame([(1, md)], "id int, md string")
     assert M.md_to_html(docs, "id", "md").first()["html"] == f"<p>{want}</p>\n"
+
+
+def test_levels_below_the_depth_are_never_listed(spark, tmp_path):
+    for p in ("a.txt", "d1/b.txt", "d1/d2/c.txt", "d1/d2/d3/e.txt", ".h/x", "_u/y", "d1/.z"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    (tmp_path / "d1" / "up").symlink_to(tmp_path)  # comes back
+    (tmp_path / "aside").symlink_to(tmp_path / "d1" / "d2")
+    seen = {r["rel"]: r["depth"] for r in files.walk(spark, str(tmp_path), max_depth=2).collect()}
+    assert seen == {"a.txt": 1, "d1": 1, "aside": 1, "d1/b.txt": 2, "d1/d2": 2, "aside/c.txt": 2, "aside/d3": 2}
+    assert sorted(r["rel"] for r in files.walk(spark, str(tmp_path), hidden=True).where("not is_dir").collect()) == [
+        ".h/x", "_u/y", "a.txt", "aside/c.txt", "aside/d3/e.txt", "d1/.z", "d1/b.txt", "d1/d2/c.txt", "d1/d2/d3/e.txt"]
+    got = {r["rel"]: (bytes(r["content"]).decode(), r["length"], r["path"]) for r in files.scan_files(spark, f"file://{tmp_path}", max_depth=2).collect()}
+    assert got == {p: (c, len(c), f"{tmp_path}/{p}") for p, c in (("a.txt", "a.txt"), ("d1/b.txt", "d1/b.txt"), ("aside/c.txt", "d1/d2/c.txt"))}
+    assert files.walk(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_one_deep_folder_is_read_by_all_tasks(spark, tmp_path):
+    folder = tmp_path / "a" / "b" / "c"
+    folder.mkdir(parents=True)
+    for i in range(2000):
+        (folder / f"f{i}.txt").write_bytes(b"%d" % i)
+    out = files.scan_files(spark, str(tmp_path), hidden=True)
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 500
+    assert out.agg(F.sum(F.col("content").cast("string").cast("long"))).first()[0] == sum(range(2000))
+
+
+def test_stores_that_tasks_cannot_open_are_left_to_spark(spark, tmp_path):
+    assert files.is_open("/x") and files.is_open("s3a://b/x") and not files.is_open("viewfs://c/x")
+    with pytest.raises(ValueError):
+        files.scan_files(spark, "viewfs://c/x", hidden=True)
+
+
+IGNORE_TREE = {
+    ".gitignore": "# c\n*.log\n!keep.log\n/build/\ndoc/**/b.md\nq?.tmp\n\\#odd\n\\!odd2\ntrail  \n[ab][!c].x\n**/deep/*.y\nend/**\nx**y\n",
+    "src/.gitignore": "!*.log\nonly/\n/top.txt\nsub/inner.txt\n", "src/sub/.gitignore": "*.log\n!inner.txt\n", "build/.gitignore": "!*\n", "doc/.gitignore": "!b.md\n"}
+IGNORE_PATHS = ["a.log", "keep.log", "src/a.log", "src/sub/a.log", "src/sub/keep.log", "src/only/z", "src/x/only", "src/only.txt", "src/top.txt", "src/sub/top.txt", "src/sub/inner.txt", "build/x", "src/build/x",
+                "doc/b.md", "doc/a/b.md", "doc/a/c/b.md", "other/doc/b.md", "q1.tmp", "q12.tmp", "s/q2.tmp", "#odd", "!odd2", "trail", "trail  ", "ad.x", "ac.x", "bb.x", "bd/f", "deep/1.y", "p/deep/2.y", "p/deep/r/3.y",
+                "end/1", "end/2/3", "p/end/1", "xy", "xay", "x/y", "ünï.log", "a(b).log", "d.log/inside"]
+
+
+def test_ignore_files_of_the_tree_against_git(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    for p in [*IGNORE_TREE, *IGNORE_PATHS]:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(IGNORE_TREE.get(p, "x"))
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(tmp_path), *a], capture_output=True, text=True, **k)
+    run("init", "-q")
+    want = set(run("-c", "core.quotePath=false", "ls-files", "-z", "--others", "--exclude-standard").stdout.split("\0")) - {"", *IGNORE_TREE}
+    tree = files.scan_files(spark, str(tmp_path), hidden=True).where("rel NOT LIKE '.git/%'")
+    got = L.ignore_by_rules(tree.select("rel"), L.ignore_rules(tree, "rel"), "rel")
+    assert {r["rel"] for r in got.collect()} - set(IGNORE_TREE) == want
+
+
+def test_ignore_files_by_name_and_without_any(spark):
+    paths = spark.createDataFrame([(p, i) for i, p in enumerate(["a/x.txt", "a/y.txt", "a/b/x.txt", "/z.txt", "a/x.txt"])], "path string, n int")
+    rules = L.ignore_rules(spark.createDataFrame([("a/.ignore", "*.txt\n!y.txt"), ("a/b/.gitignore", "!x.txt"), (".gitignore", "y.txt\nz.txt"), ("b.txt", "*")], "path string, content string"))
+    assert [tuple(r) for r in L.ignore_by_rules(paths, rules).collect()] == [("a/y.txt", 1)]
+    none = L.ignore_rules(spark.createDataFrame([], "path string, content string"))
+    assert L.ignore_by_rules(paths, none).count() == 5
