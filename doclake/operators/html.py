@@ -28,6 +28,7 @@ QUOTE_TAGS = ["blockquote", "details"]
 CONTAINER_TAGS = ["ul", "ol", "li", "blockquote", "details"]
 OPAQUE_TAGS = ["table", "pre"]
 ROW, CELL, ALIGN = (chr(0xFDEC + i) for i in range(3))
+INNER, INNER_END = "\U0001fffe", "\U0001ffff"  # around a table inside a cell
 
 
 def _pages(df: DataFrame, id: str, html: str) -> DataFrame:
@@ -133,9 +134,8 @@ def _token_text() -> Column:
     """Text one token adds to its block; inside a table the row and cell structure becomes marker characters."""
     raw, tag, opened = F.col("raw"), F.col("tag"), F.col("kind") != "close"
     in_table = F.col("opaque") > 0
-    inner = F.col("tables") > 1  # rows and cells of a table inside a cell are text of that cell
     return (
-        F.when(inner & tag.isin("tr", "td", "th"), F.when(opened, F.when(tag == "tr", "\n").otherwise(" ")).otherwise(""))
+        F.when((tag == "table") & opened & (F.col("tables") > 1), INNER).when((tag == "table") & ~opened & (F.col("tables") > 0), INNER_END)
         .when(tag == "tr", F.when(opened, ROW).otherwise(""))
         .when(tag.isin("td", "th"), F.when(opened, F.concat(
             F.lit(CELL), F.coalesce(F.trim(attr(raw, "align", decode=False)), F.lit("")), F.lit(ALIGN))).otherwise(""))
@@ -155,6 +155,21 @@ def _tail(values: Column) -> Column:
     return F.filter(values, lambda _v, i: i > 0)
 
 
+def with_inner_tables(text: Column, tables: Column) -> Column:
+    """Marked table text in which every table inside a cell is its pipe table, innermost first; ``tables`` is how deep they nest."""
+    pieces = F.lit(f"{INNER}[^{INNER}{INNER_END}]*{INNER_END}|[^{INNER}]+|{INNER}")
+
+    def inward(t: Column, _i: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(t, pieces, F.lit(0)), lambda p: F.when(
+            F.startswith(p, F.lit(INNER)) & F.endswith(p, F.lit(INNER_END)), F.concat(F.lit("\n"), let(table_grid(F.translate(p, INNER + INNER_END, "")), table_markdown), F.lit("\n"))).otherwise(p)), "")
+
+    def closed(t: Column) -> Column:
+        missing = F.length(F.replace(t, F.lit(INNER_END), F.lit(""))) - F.length(F.replace(t, F.lit(INNER), F.lit("")))
+        return F.translate(F.aggregate(F.sequence(F.lit(1), tables), F.concat(t, F.repeat(F.lit(INNER_END), F.greatest(missing, F.lit(0)))), inward), INNER + INNER_END, "")
+
+    return F.when(F.contains(text, F.lit(INNER)), let(text, closed)).otherwise(text)
+
+
 def table_grid(text: Column) -> Column:
     """Marked table text → array of rows of (text, align) cells; rows without cells vanish."""
     rows = F.transform(_tail(F.split(text, ROW)), lambda r: F.transform(
@@ -193,14 +208,14 @@ def html_blocks(df: DataFrame, id: str, html: str) -> DataFrame:
     tokens = nested_tokens(df, id, html).withColumn("piece", _token_text())
     first = {c: F.min_by(c, "pos").alias(f"_{c}") for c in ("tag", "kind", "raw", "level")}
     blocks = tokens.groupBy("doc_id", "block_id").agg(
-        *first.values(),
+        *first.values(), F.max("tables").alias("_tables"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "").alias("_text"))
     opens = F.col("_kind") == "open"
     tag = F.when(opens | (F.col("_kind") == "void"), F.col("_tag")).otherwise("")
     kind = (F.when(F.rlike(tag, F.lit("^h[1-6]$")), "heading").when(tag == "hr", "rule").when(tag == "pre", "code")
             .when(tag == "table", "table").when(tag == "summary", "summary").otherwise("paragraph"))
     text = (F.when(F.col("type") == "code", F.regexp_replace("_text", r"\s+$", ""))
-            .when(F.col("type") == "table", let(table_grid(F.col("_text")), table_markdown))
+            .when(F.col("type") == "table", let(table_grid(with_inner_tables(F.col("_text"), F.greatest(F.col("_tables"), F.lit(1)))), table_markdown))
             .otherwise(collapse_blanks(trim_ws(F.col("_text")))))
     blocks = (
         blocks.withColumn("_text", resolve_inline(F.col("_text"))).withColumn("type", kind)

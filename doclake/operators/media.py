@@ -61,15 +61,23 @@ def size_px(size: Column, parent: Column) -> Column:
 
 
 def _element_rows(df: DataFrame, id: str, html: str, *keep: str) -> DataFrame:
-    """Opening tags with their element depth; tags whose counts differ in a document do not nest anything."""
+    """Opening tags with their element depth; a start or an end that finds no partner of its own tag nests nothing.
+
+    A start has its partner where the running count of its tag later falls below what it was; an end has one unless it
+    takes that count to a new low. The window that looks ahead runs backwards, so that its frame only grows.
+    """
     pages = df.select(F.col(id).alias("doc_id"), F.col(html).alias("_markup"), *keep)
     tokens = explode_tokens(cluster_by(pages, "doc_id"), "_markup", "doc_id", *keep).filter("kind <> 'text'")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    balance = F.sum(step).over(W.partitionBy("doc_id", "tag"))
+    by_tag, back = W.partitionBy("doc_id", "tag").orderBy("pos"), W.partitionBy("doc_id", "tag").orderBy(F.col("pos").desc())
     by_doc = W.partitionBy("doc_id").orderBy("pos")
-    nests = F.when(F.col("balance") == 0, F.col("step")).otherwise(0)
+    tokens = tokens.withColumn("step", step).withColumn("count", F.sum("step").over(by_tag))
+    tokens = tokens.withColumn("low", F.least(F.lit(0), F.min("count").over(by_tag.rowsBetween(W.unboundedPreceding, -1))))
+    tokens = tokens.withColumn("ahead", F.min("count").over(back.rowsBetween(W.unboundedPreceding, -1)))
+    paired = F.when(F.col("kind") == "open", F.col("ahead") < F.col("count")).when(F.col("kind") == "close", F.col("count") >= F.col("low"))
+    nests = F.when(F.coalesce(paired, F.lit(False)), F.col("step")).otherwise(0)
     video = F.when(F.col("tag") == "video", F.col("nests")).otherwise(0)
-    return (tokens.withColumn("step", step).withColumn("balance", balance).withColumn("nests", nests)
+    return (tokens.withColumn("nests", nests).drop("count", "low", "ahead")
             .withColumn("depth", F.sum("nests").over(by_doc)).withColumn("in_video", F.sum(video).over(by_doc))
             .filter("kind <> 'close'"))
 

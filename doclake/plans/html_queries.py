@@ -123,6 +123,17 @@ def html_tables(spark, sf):
     return H.html_tables(synth(spark, sf, TABLES), "id", "html")
 
 
+NESTED = """SELECT c_custkey AS id, concat('<table><tr><td>a', c_custkey, '<table><tr><th>', c_name, '</th><td align="right">1</td></tr><tr><td>', c_nationkey,
+ '</td></tr></table>z</td><td>', c_mktsegment, '</td></tr></table>') AS html FROM {customer}"""
+
+
+@query("html_nested_tables", r"""SELECT c_custkey AS doc_id, 0 AS table_no, '| a' || c_custkey || '<br>\| ' || c_name || ' \| 1 \|<br>\| --- \| ---: \|<br>\| ' || c_nationkey ||
+ ' \|  \|<br>z | ' || c_mktsegment || ' |' || chr(10) || '| --- | --- |' AS markdown FROM customer""")
+def html_nested_tables(spark, sf):
+    """A table in a cell is its lines there."""
+    return H.html_tables(synth(spark, sf, NESTED), "id", "html")
+
+
 INLINE = """SELECT c_custkey AS id, concat('<b> ', c_name, ' <i>it</i></b> <em>', c_mktsegment, '</em><var>v</var> <del>d</del><s>s</s><mark>m ',
  c_nationkey, '</mark><sup>2</sup><kbd>Ctrl</kbd><q>q</q><code>x</code><strong>open') AS html FROM {customer}"""
 

@@ -122,6 +122,15 @@ def element_dimensions(spark, sf):
     return M.element_dimensions(synth(spark, sf, MEDIA), "page_id", "html").select("doc_id", "pos", "width", "height", "area")
 
 
+# the same page with starts and ends that have no partner before and inside it
+BROKEN = MEDIA.replace("concat('<div style", "concat('</section></video><i width=\"9\" height=\"9\"><div width=\"9\" height=\"9\">', '<div style").replace(", html) AS html", ", '</section></p>', html) AS html")
+
+
+@query("media_unpaired_tags", f"SELECT doc_id, selector_no, pos + 4 AS pos, url, width, height, width * height AS area FROM ({CANDIDATES})")
+def media_unpaired_tags(spark, sf):
+    return M.media_candidates(synth(spark, sf, BROKEN), "page_id", "url", "html")
+
+
 @query("biggest_media", f"""WITH c AS (SELECT *, width * height AS area FROM ({CANDIDATES})),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, selector_no DESC, pos DESC) AS rn FROM c)
  SELECT doc_id, url, area FROM r WHERE rn = 1""")

@@ -297,7 +297,7 @@ def test_relative_paths_where_the_root_repeats(spark, tmp_path):
 STRAY = [
     ("<p>a</p></table><h1>T</h1><p>b</p><p>c</p>", "a\n\n# T\n\nb\n\nc"), ("<p>a</p></pre><p>b</p>", "a\n\nb"),
     ("</blockquote><blockquote><p>q</p></blockquote>", "> q"), ("<div></div>", ""), ("", ""),
-    ("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>", "| a<br>in | b |\n| --- | --- |"),
+    ("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>", "| a<br>\\| in \\|<br>\\| --- \\| | b |\n| --- | --- |"),
     ("<p>&#9999999; &#xD800; &#0; &#38;lt; &eacute; &rarr; &#x0000041; &nosuch;</p>", "� � � &lt; é → A &nosuch;")]
 
 
@@ -430,3 +430,75 @@ def test_ignore_files_by_name_and_without_any(spark):
     assert [tuple(r) for r in L.ignore_by_rules(paths, rules).collect()] == [("a/y.txt", 1)]
     none = L.ignore_rules(spark.createDataFrame([], "path string, content string"))
     assert L.ignore_by_rules(paths, none).count() == 5
+
+
+NESTED_TABLES = [
+    ("<table><tr><td>a <table><tr><th>x</th><td align=right>1</td></tr><tr><td>y</td></tr></table> z</td><td>b</td></tr><tr><td>c</td></tr></table>",
+     "| a<br>\\| x \\| 1 \\|<br>\\| --- \\| ---: \\|<br>\\| y \\|  \\|<br>z | b |\n| --- | --- |\n| c |  |"),
+    ("<table><tr><td><table><tr><td>1</td></tr></table><table><tr><td>2</td></tr></table><table></table></td></tr></table>",
+     "| \\| 1 \\|<br>\\| --- \\|<br>\\| 2 \\|<br>\\| --- \\| |\n| --- |"),
+    ("<table><tr><td>a<table><tr><td>open", "| a<br>\\| open \\|<br>\\| --- \\| |\n| --- |"), ("</table><table><tr><td>q</td></tr></table></table><p>r</p>", "| q |\n| --- |\n\nr")]
+
+
+def nested_table(rows):
+    """A table of cells, each a list of texts and tables, as the lines of a pipe table."""
+    grid = []
+    for row in rows:
+        cells = []
+        for cell in row:
+            text = "".join(part if isinstance(part, str) else "\n" + "\n".join(nested_table(part)) + "\n" for part in cell)
+            cells.append("<br>".join(x.strip() for x in text.strip().replace("|", r"\|").split("\n") if x.strip()))
+        grid.append(cells)
+    width = max(map(len, grid))
+    lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in grid]
+    return [lines[0], f"| {' | '.join(['---'] * width)} |", *lines[1:]]
+
+
+def table_html(rows):
+    return "<table>" + "".join("<tr>" + "".join("<td>" + "".join(p if isinstance(p, str) else table_html(p) for p in c) + "</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+def test_tables_inside_cells(spark):
+    random.seed(11)
+
+    def some(depth):
+        return [[[random.choice(["a", "b|c", "x"])] + ([some(depth - 1)] if depth and random.random() < 0.5 else []) + (["t"] if random.random() < 0.3 else [])
+                 for _ in range(random.randint(1, 3))] for _ in range(random.randint(1, 3))]
+
+    tables = [some(3) for _ in range(30)]
+    rows = [(i, h) for i, (h, _) in enumerate(NESTED_TABLES)] + [(100 + i, table_html(t)) for i, t in enumerate(tables)]
+    got = {r["doc_id"]: r["markdown"] for r in H.html_to_markdown(spark.createDataFrame(rows, "id int, h string"), "id", "h").collect()}
+    assert [got[i] for i in range(len(NESTED_TABLES))] == [m for _, m in NESTED_TABLES]
+    assert [got[100 + i] for i in range(len(tables))] == ["\n".join(nested_table(t)) for t in tables]
+
+
+def test_unclosed_tags_nest_nothing(spark):
+    page = '<div width="200" height="100"><p><img src="a" width="50%" height="50%"></p><div width="80" height="40"><img src="b" width="50%" height="50%"></div></div><img src="c" width="50%" height="10">'
+    want = {"a": (100, 50), "b": (40, 20), "c": (960, 10)}
+    broken = [page, "<div>" + page, page + "</div></p>", "</div></span>" + page, page.replace("</div></div>", "</div></b></div>"),
+              "<div width=9 height=9><b>" + page + "<i>"]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(broken)], "id int, url string, html string")
+    got = {}
+    for r in ME.media_candidates(df, "id", "url", "html").collect():
+        got.setdefault(r["doc_id"], {})[r["url"][-1]] = (r["width"], r["height"])
+    assert got == {i: want for i in range(len(broken))}
+
+
+def test_pairs_of_tags_against_a_stack(spark):
+    random.seed(4)
+    pages = []
+    for i in range(200):
+        pages.append((i, "".join(random.choice(["<a>", "</a>", "<b>", "</b>", "<img width=1>"]) for _ in range(random.randint(1, 25)))))
+    got = {(r["doc_id"], r["pos"]): r["nests"] for r in ME._element_rows(spark.createDataFrame(pages, "id int, h string"), "id", "h").collect()}
+    for i, page in pages:
+        stacks, paired = {"a": [], "b": []}, set()
+        tokens = [t + ">" for t in page.split(">")[:-1]]
+        for pos, t in enumerate(tokens):
+            name = t.strip("</>")
+            if t.startswith("</") and stacks[name]:
+                paired.add(stacks[name].pop())
+            elif not t.startswith("</") and name in stacks:
+                stacks[name].append(pos)
+        opens = [pos for pos, t in enumerate(tokens) if not t.startswith("</")]
+        seen = sorted(k for k in got if k[0] == i)
+        assert [got[k] for k in seen] == [int(pos in paired) for pos in opens]
