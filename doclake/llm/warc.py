@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclake.llm.common import stored
 from doclake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -31,6 +32,8 @@ IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-d
 LEAST_SHARED = 1000
 #: Compressed bytes after which the normaliser begins another archive; one archive is read as one cell.
 ARCHIVE_BYTES = 32 << 20
+#: Bits of the table that keeps payloads without copies from being shuffled: 1 MB.
+BITMAP = 1 << 23
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 LEVEL = 4
 
@@ -47,19 +50,37 @@ def record_id(id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("")), F.lit(">"))
 
 
+def may_be_in(digest: Column, digests: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """A table of at most ``BITMAP`` bits in which every digest of ``digests`` has one, to be broadcast, and the bit's place for ``digest``."""
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(BITMAP))
+
+    at = place(F.col(column))
+    bits = digests.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    return bits, place(digest)
+
+
 def with_revisits(pages: DataFrame, id: str, payload: str, least_bytes: int = LEAST_SHARED) -> DataFrame:
-    """``pages`` as (id, uri columns kept by the caller) plus ``_payload, _digest, _first``: the greatest id with an equal payload.
+    """``pages`` plus ``_payload, _digest, _first``: the greatest id with an equal payload.
 
     Of equal payloads of at least ``least_bytes`` bytes the row with the greatest id holds the payload, the others refer to
-    it; ``_first`` is null for rows that hold their own. Smaller payloads never meet. Digests are combined before they
-    are shuffled; the join has one row a digest on one side, so the adaptive skew join can split a payload that many rows have.
+    it; ``_first`` is null for rows that hold their own. Digests are combined before they are shuffled. Payloads move only
+    where a bitmap of fixed size cannot rule out a copy; when it fills up more of them do, and results stay the same.
+    The join has one row a digest on one side, so the adaptive skew join can split a payload that many rows have.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.withColumn("_payload", body).withColumn("_digest", F.sha1("_payload"))
     big = F.octet_length("_payload") >= least_bytes
     holders = rows.where(big).groupBy("_digest").agg(F.max(id).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
-    shared = rows.where(big).join(holders, "_digest", "left").select(*rows.columns, F.when(~F.col(id).eqNullSafe(F.col("_first")), F.col("_first")).alias("_first"))
-    return shared.unionByName(rows.where(~big).withColumn("_first", F.lit(None).cast(pages.schema[id].dataType)))
+    holders = stored(holders, "warc-holders")
+    bits, at = may_be_in(F.col("_digest"), holders, "_digest")  # BITMAP bits at most, in rows of 4 KB
+    marked = rows.withColumn("_at", F.when(big, at)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bits), "_bucket", "left")
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    copied = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    marked = marked.withColumn("_copied", copied).drop("_at", "_bucket", "_bits")
+    shared = marked.where("_copied").join(holders, "_digest", "left").select(*rows.columns, F.when(~F.col(id).eqNullSafe(F.col("_first")), F.col("_first")).alias("_first"))
+    return shared.unionByName(marked.where("not _copied").drop("_copied").withColumn("_first", F.lit(None).cast(pages.schema[id].dataType)))
 
 
 def warc_records(pages: DataFrame, id: str, uri: str, payload: str, least_bytes: int = LEAST_SHARED, date: str = "1970-01-01T00:00:00Z") -> DataFrame:

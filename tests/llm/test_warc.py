@@ -92,6 +92,19 @@ def test_round_trip(spark):
     assert sorted(map(str, facts.collect())) == sorted(map(str, warc.read_records(spark, out).drop("payload").collect()))
 
 
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BITMAP", 1)
+    _, out = run(spark, ROWS)
+    assert got_of(spark, out) == want_of(ROWS)
+
+
+def test_copies_refer_to_the_greatest_id(spark):
+    rows = [(i, "u", f"{i % 990} " * 500) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, u string, html string")
+    held = warc.with_revisits(frame, "id", "html").where("_first is not null").collect()
+    assert sorted((r.id, r["_first"]) for r in held) == [(i, i + 990) for i in range(10)]
+
+
 def test_streams_are_one_member_and_archives_one_a_record(spark):
     streams, out = run(spark, ROWS)
     files = [os.path.join(path_of(streams), n) for n in os.listdir(path_of(streams)) if n.endswith(".gz")]
