@@ -107,3 +107,33 @@ def test_query_counts_words_beyond_the_frequent_ones(spark):
     want = {i: s for i, _, _, _, s in brute(texts, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)}
     got = {r.doc_id: r.score for r in QUERIES["op2_katz_scores"](spark, sf).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("tokens, numbered, together, heavy, sample", [(400, 1 << 20, 700_000, 8, 0.5), (300, 12, 900, 30, 1.0), (2000, 0, 500, 8, 0.02), (150, 40, 700_000, 1 << 40, 1.0)])
+def test_where_ngrams_meet_changes_nothing(spark, monkeypatch, tokens, numbered, together, heavy, sample):
+    """Many parts, words and pairs split over several of them, words without numbers, many batches; short texts make START frequent."""
+    for name, value in (("TOKENS_A_PART", tokens), ("NUMBERED", numbered), ("HEAVY", heavy), ("SAMPLE", sample), ("WORDS_TOGETHER", 50)):
+        monkeypatch.setattr(ngrams, name, value)
+    monkeypatch.setattr(katz, "TOKENS_TOGETHER", together)
+    rng = random.Random(8)
+    rows = corpus() + [(1000 + i, rng.choice(["w1 w2", "w1", "w2 w1 w1 w3", f"only{i} w1"])) for i in range(300)]
+    frame = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, batch int, train boolean").repartition(3)
+    scores, total = ngrams.katz_scores(frame, "doc_id", "text", F.coalesce(F.col("doc_id") % 5 != 2, F.lit(False)))
+    order = lambda r: (r[0] is None, r)
+    got = sorted(((r.id, r.n_tokens, r.n_known, r.base_score, r.score) for r in scores.collect()), key=order)
+    want = sorted(brute(rows, is_train), key=order)
+    assert total == sum(n for i, n, *_ in want if is_train(i)) and len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3]
+        assert g[3:] == pytest.approx(w[3:], rel=1e-9)
+
+
+def test_packs_give_back_their_columns():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        given = rng.integers(0, 1 << 32, n) - 1, np.where(rng.random(n) < 0.3, -rng.integers(1, 1 << 62, n), rng.integers(0, 1 << 20, n)), np.arange(n)
+        given = np.where(given[0] == 0xFFFFFFFF, 0, given[0]), *given[1:]
+        for a, b in zip(ngrams.unpacked(ngrams.packed(*given), 3), given):
+            assert a.tolist() == b.tolist()
