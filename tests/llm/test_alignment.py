@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -123,8 +124,9 @@ def test_bytes_stand_for_themselves():
 
 
 def test_long_group_costs_its_different_ids():
-    links = alignment.links_of([([1] * 100_000 + [2], [3] * 100_000)])
-    assert links == {1 * alignment.SECOND + 3: 10**10, 2 * alignment.SECOND + 3: 10**5}
+    a, b = np.array([1] * 100_000 + [2]), np.array([3] * 100_000)
+    group, pairs, times = alignment.links_of(a, b, np.array([100_001]), np.array([100_000]))
+    assert dict(zip(pairs.tolist(), times.tolist())) == {1 * alignment.SECOND + 3: 10**10, 2 * alignment.SECOND + 3: 10**5} and len(pairs) == 2
 
 
 def test_query_over_documents(spark):
