@@ -46,6 +46,14 @@ def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [got.column(n).to_numpy() for n in names]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of the id as text; an id that is null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

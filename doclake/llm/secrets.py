@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.llm.common import shuffle_partitions, stored
+from doclake.llm.common import free_name, shuffle_partitions, stored
 
 # The base patterns. Letters of the first one's names stand in either case.
 ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -42,9 +42,12 @@ def hits(text: Column, kind: int, pattern: str, value, sound) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    return F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x, i: F.struct(
+    all_ = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("pos"), F.char_length(x["gap"]).cast("long").alias("gap"), F.char_length(x["hit"]).cast("long").alias("len"),
         value(x["hit"]).alias("value"), sound(x["hit"]).alias("sound")))
+    # most texts have none: one look tells, and spares the two passes
+    return F.when(F.rlike(text, F.lit(pattern)), all_).otherwise(F.slice(F.array(F.struct(
+        F.lit(kind).alias("kind"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("len"), F.lit("").alias("value"), F.lit(True).alias("sound"))), F.lit(1), F.lit(0)))
 
 
 def candidates(docs: DataFrame, id: str, text: str, repository: Column, owner: Column) -> DataFrame:
@@ -94,7 +97,8 @@ def judged(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
 
     Base kinds always stay; `owned` ones only if a single owner has them. Rows of kind -1 pass through.
     """
-    known = found.join(ownership(found), "secret", "left")
+    # rows of kind -1 are as many as documents and have no secret: they stay out of the join
+    known = found.where("kind >= 0").join(ownership(found), "secret", "left").unionByName(found.where("kind < 0"), allowMissingColumns=True)
     standing = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
     return known.withColumn("standing", F.when(F.col("kind") >= 0, standing)).where("kind != 3 or standing = 'live'")
 
@@ -138,24 +142,26 @@ def redact(docs: DataFrame, id: str, text: str, repository: Column, owner: Colum
            owned: Callable[[Column], Column] | None = None) -> DataFrame:
     """``docs`` with every span that is not a widely copied example replaced by ``mark``; overlapping spans become one mark.
 
-    With ``owned`` spans of that kind are replaced only if it holds for their text. Rows without such spans keep their text, null texts stay null; all rows and columns stay.
+    With ``owned`` spans of that kind are replaced only if it holds for their text. Rows without such spans keep their text, null texts stay null; all rows
+    and columns stay, whatever their names; an empty table gives no rows.
     """
+    name = {n: free_name(docs, f"_{n}") for n in ("id", "digest", "repository", "owner", "found", "cut")}
     spans = scan_secrets(docs, id, text, repository, owner, example_owners).select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("repository").alias("_r"), F.col("owner").alias("_o"),
-        F.filter("found", lambda x: x["standing"] != "example").alias("_found")).where("size(_found) > 0")
+        *[F.col(n).alias(name[n]) for n in ("id", "digest", "repository", "owner")], F.filter("found", lambda x: x["standing"] != "example").alias(name["found"])).where(F.size(name["found"]) > 0)
     body = F.coalesce(F.col(text), F.lit(""))
-    met = docs.join(spans, F.col(id).eqNullSafe(F.col("_id")) & (F.sha2(body, 256) == F.col("_digest")) & repository.eqNullSafe(F.col("_r")) & owner.eqNullSafe(F.col("_o")), "left")
+    met = docs.join(spans, F.col(id).eqNullSafe(F.col(name["id"])) & (F.sha2(body, 256) == F.col(name["digest"])) & repository.eqNullSafe(F.col(name["repository"]))
+                    & owner.eqNullSafe(F.col(name["owner"])), "left")
     if owned is not None:
-        met = met.withColumn("_found", F.filter("_found", lambda x: (x["kind"] != 3) | owned(F.substring(F.col(text), x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int")))))
+        met = met.withColumn(name["found"], F.filter(name["found"], lambda x: (x["kind"] != 3) | owned(F.substring(F.col(text), x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int")))))
     # spans sorted by start merge in one pass over the array of marks' starts and ends
-    ends = F.transform("_found", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    ends = F.transform(name["found"], lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     merged = F.aggregate(ends, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), lambda done, x: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
         F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(x))))
-    met = met.withColumn("_cut", F.when(F.size("_found") > 0, merged))
-    pieces = F.transform("_cut", lambda x, i: F.concat(F.substring(F.col(text), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_cut", i - 1)["end"]).cast("int") + 1,
-                                                           (x["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_cut", i - 1)["end"])).cast("int")), F.lit(mark)))
-    last = F.substring(F.col(text), F.element_at("_cut", -1)["end"].cast("int") + 1, F.char_length(text))
-    cleaned = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), last))
+    met = met.withColumn(name["cut"], F.when(F.size(name["found"]) > 0, merged))
+    pieces = F.transform(name["cut"], lambda x, i: F.concat(F.substring(F.col(text), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(name["cut"], i - 1)["end"]).cast("int") + 1,
+                                                           (x["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(name["cut"], i - 1)["end"])).cast("int")), F.lit(mark)))
+    last = F.substring(F.col(text), F.element_at(name["cut"], -1)["end"].cast("int") + 1, F.char_length(text))
+    cleaned = F.when(F.col(name["cut"]).isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), last))
     return met.withColumn(text, cleaned).select(*docs.columns)
