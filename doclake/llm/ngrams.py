@@ -34,7 +34,7 @@ ship_with_tasks(__name__)
 NUMBERED = 1 << 20
 #: Tokens that a part is made for. Words and pairs with more, or with this part of all tokens, are split; pairs are looked for in a
 #: sample of the texts. This decides where rows meet, not what they count.
-TOKENS_A_PART, HEAVY, SAMPLE = 3_000_000, 8, 0.02
+TOKENS_A_PART, HEAVY, SAMPLE = 2_500_000, 8, 0.02
 #: Different words that a task counts together.
 WORDS_TOGETHER = 1_000_000
 START = 0
@@ -63,7 +63,7 @@ class Words:
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """Numbers from 1 on of frequent words, negative hashes of others."""
         at, found = lookup(self.hashes, keys)
-        return np.where(found, self.numbers[at] if len(self.numbers) else 0, rare_codes(keys))
+        return np.where(found, self.numbers[at].astype(np.int64) if len(self.numbers) else 0, rare_codes(keys))
 
     def part(self, one: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Where the n-grams x, one, w meet."""
@@ -146,24 +146,61 @@ def spread(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(first, n)))
 
 
+BITS = 21
+
+
+def joint(small: int, *columns: np.ndarray) -> np.ndarray | None:
+    """Up to three columns of codes as one column in the same order: numbers as they are, hashes by their rank among those here; None if they are too many.
+
+    ``small`` is above all numbers.
+    """
+    some = np.unique(np.concatenate([c[c < 0] for c in columns]).view(np.uint64)) if any((c < 0).any() for c in columns) else np.zeros(0, np.uint64)
+    if small + len(some) >= 1 << BITS:
+        return None
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        k, rare = c.copy(), c < 0
+        k[rare] = small + np.searchsorted(some, c[rare].view(np.uint64))
+        out = out << BITS | k
+    return out
+
+
+def in_order(small: int, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where runs of equal rows begin in it); rows that are equal keep their order, and codes that are hashes come last."""
+    key = joint(small, *columns)
+    if key is None:
+        order = np.lexsort([c.view(np.uint64) for c in columns[::-1]])
+        return order, runs(*(c[order] for c in columns))
+    order = np.argsort(key, kind="stable")
+    return order, runs(key[order])
+
+
 def gram_packs(code: np.ndarray, rows: np.ndarray, train: np.ndarray, words: Words, places: bool) -> Iterator[tuple[int, bytes]]:
     """(part, pack) of all n-grams of three: columns one, x, w, training count, with ``places`` how many texts, which and how often."""
     one = before(code, rows)
     x = before(one, rows)
     part = words.part(one, x, code)
-    order = np.lexsort((*((rows,) if places else ()), code, x, one, part))
-    part, one, x, code, rows = part[order], one[order], x[order], code[order], rows[order]
-    first = runs(part, one, x, code)
+    order, first = in_order(len(words.counts), one, x, code)
+    # runs of equal n-grams, dealt to their parts
+    size = np.diff(np.append(first, len(order)))
+    by_part = np.argsort(part[order[first]].astype(np.uint16 if words.parts < 1 << 16 else np.int64), kind="stable")
+    first, size = first[by_part], size[by_part]
+    order = order[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(order))]
+    first = np.cumsum(size) - size
+    at, rows = order[first], rows[order]  # texts come in order inside a run
+    one, x, code, part = one[at], x[at], code[at], part[at]
     n = totals(train[rows].astype(np.int64), first)
-    edges = np.searchsorted(part[first], np.arange(words.parts + 1))
+    edges = np.searchsorted(part, np.arange(words.parts + 1))
     if places:
-        spot = runs(part, one, x, code, rows)  # a text once for each n-gram
+        spot = np.ones(len(rows), bool)  # a text once for each n-gram
+        spot[1:] = rows[1:] != rows[:-1]
+        spot[first] = True
+        spot = np.flatnonzero(spot)
         times = np.diff(np.append(spot, len(rows)))
         of = np.searchsorted(spot, np.append(first, len(rows)))
     for p in np.flatnonzero(np.diff(edges)).tolist():
         a, b = edges[p], edges[p + 1]
-        at = first[a:b]
-        data = packed(one[at], x[at], code[at], n[a:b])
+        data = packed(one[a:b], x[a:b], code[a:b], n[a:b])
         if places:
             s, e = of[a], of[b]
             data = b"".join(len(y).to_bytes(4, "little") + y for y in (data, packed(np.diff(of[a: b + 1])), packed(rows[spot[s:e]], times[s:e])))
@@ -238,7 +275,7 @@ def deal_scored(batches: Iterator[pa.RecordBatch], words: Words, schema: pa.Sche
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
         yield row(part=int(mix(np.array([batch], np.uint64))[0] % np.uint64(words.parts)), kind=TEXT, batch=batch, ids=one(ids), train=one(train), n_tokens=one(np.bincount(rows, minlength=n).astype(np.int64)),
                   place=one(np.arange(n, dtype=np.int32)), base=one(np.bincount(rows[numbered], np.log10((count + 1) / words.every), n).astype(np.float64)),
-                  known=one(np.bincount(rows[numbered], count > 0, n).astype(np.int64)), score=one(np.zeros(n)))
+                  known=one(np.bincount(rows[numbered], count > 0, n).astype(np.int64)))
         # other words travel with the texts that they are in, to a part of their own choice
         w, r = code[~numbered], rows[~numbered]
         part = (mix(w.view(np.uint64)) % np.uint64(words.parts)).astype(np.int64)
@@ -256,23 +293,31 @@ def deal_scored(batches: Iterator[pa.RecordBatch], words: Words, schema: pa.Sche
 # ---------------------------------------------------------------------------------------------- parts
 
 
-def merged(one: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def merged(one: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray, small: int) -> tuple[np.ndarray, ...]:
     """N-grams of three of several packs as one sorted table; and where each row of the packs went."""
-    order = np.lexsort((w, x, one))
-    first = runs(one[order], x[order], w[order])
-    where = np.empty(len(order), np.int64)
-    where[order] = spread(np.arange(len(first)), first, len(order))
+    order, first = in_order(small, one, x, w)
+    where = np.empty(len(order), np.int32)
+    where[order] = spread(np.arange(len(first), dtype=np.int32), first, len(order))
     at = order[first]
     return one[at], x[at], w[at], totals(n[order], first), where
 
 
-def pairs_of(one: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def pairs_of(one: np.ndarray, w: np.ndarray, n: np.ndarray, small: int) -> tuple[np.ndarray, ...]:
     """Pairs of a part's n-grams with their counts, sorted; and the pair of every n-gram."""
-    order = np.lexsort((w, one))
-    first = runs(one[order], w[order])
-    where = np.empty(len(order), np.int64)
-    where[order] = spread(np.arange(len(first)), first, len(order))
-    return one[order[first]], w[order[first]], totals(n[order], first), where
+    order, first = in_order(small, one, w)
+    where = np.empty(len(order), np.int32)
+    where[order] = spread(np.arange(len(first), dtype=np.int32), first, len(order))
+    at = order[first]
+    return one[at], w[at], totals(n[order], first), where
+
+
+def columns_of(packs: list[bytes], number: int) -> list[np.ndarray]:
+    """Columns of packs one after the other; each pack is unpacked once and let go."""
+    parts = [[] for _ in range(number)]
+    for data in packs:
+        for column, values in zip(parts, unpacked(data, number)):
+            column.append(values)
+    return [np.concatenate(parts.pop(0)) for _ in range(number)]
 
 
 TYPES = "kind byte, part long, one long, x long, " + ", ".join(f"v{k} long" for k in range(12))
@@ -293,9 +338,9 @@ def by_count(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 def count_types(key, packs: pa.Table, words: Words) -> pa.Table:
     """Of one part: how many n-grams have each small count; what it has of heavy words and of the contexts that end with them; followers without numbers."""
-    one, x, w, n = (np.concatenate(c) for c in zip(*(unpacked(p.as_py(), 4) for p in packs.column("pack"))))
-    one, x, w, n, _ = merged(one, x, w, n)
-    p1, pw, pn, pair = pairs_of(one, w, n)
+    small = len(words.counts)
+    one, x, w, n, _ = merged(*columns_of(packs.column("pack").to_pylist(), 4), small)
+    p1, pw, pn, pair = pairs_of(one, w, n, small)
     pn, pair_heavy = pair_counts(p1, pw, pn, words)
     out = []
 
@@ -304,8 +349,7 @@ def count_types(key, packs: pa.Table, words: Words) -> pa.Table:
         given = [np.full(len(one), key[0].as_py(), np.int64), one, zero if x is None else x, *values, *[zero] * (12 - len(values))]
         out.append(pa.table([pa.array(np.full(len(one), kind), pa.int8()), *[pa.array(v, pa.int64()) for v in given]], ["kind", "part", "one", "x", *[f"v{k}" for k in range(12)]]))
 
-    small = np.arange(1, TRUSTED + 2)
-    rows(HISTOGRAM, small, None, *(np.bincount(c[(c > 0) & (c <= TRUSTED + 1)], minlength=TRUSTED + 2)[1:] for c in (n, pn[~pair_heavy])))
+    rows(HISTOGRAM, np.arange(1, TRUSTED + 2), None, *(np.bincount(c[(c > 0) & (c <= TRUSTED + 1)], minlength=TRUSTED + 2)[1:] for c in (n, pn[~pair_heavy])))
     seen = pn > 0
     rare = seen & (pw < 0)
     rows(FOLLOWER, p1[rare], pw[rare])
@@ -353,11 +397,10 @@ def score_part(key, asked: pa.Table, known: pa.Table, words: Words, d: Discounts
 
     def answer(batch: int, place: np.ndarray, score=None, base=None, seen=None, w=None):
         if len(place):
-            zero = np.zeros(len(place))
-            one = lambda v, t: pa.array([v], pa.list_(t))
+            one = lambda v, t: pa.nulls(1, pa.list_(t)) if v is None else pa.array([v], pa.list_(t))
             given = {"kind": pa.array([SUMS if w is None else WORD], pa.int8()), "batch": pa.array([batch], pa.int64()), "place": one(place.astype(np.int32), pa.int32()),
-                     "score": one(zero if score is None else score, pa.float64()), "base": one(zero if base is None else base, pa.float64()),
-                     "known": one(zero.astype(np.int64) if seen is None else seen.astype(np.int64), pa.int64()), "w": pa.nulls(1, pa.list_(pa.int64())) if w is None else one(w, pa.int64())}
+                     "score": one(score, pa.float64()), "base": one(base, pa.float64()),
+                     "known": one(None if seen is None else seen.astype(np.int64), pa.int64()), "w": one(w, pa.int64())}
             out.append(pa.table([given.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema))
 
     def sums(place: np.ndarray, *values: np.ndarray):
@@ -378,33 +421,41 @@ def score_part(key, asked: pa.Table, known: pa.Table, words: Words, d: Discounts
             p, base, seen = sums(x[1], x[2] * np.log10((c + 1) / words.every), x[2] * (c > 0))
             answer(int(batches[i]), p, base=base, seen=seen)
     rows = np.flatnonzero(kind == SUMS)
-    lists = []
+    grams, places = [], []
     for i in rows.tolist():
-        data, parts, at = asked.column("pack")[i].as_py(), [], 0
+        data, at = asked.column("pack")[i].as_py(), 0
+        parts = []
         while at < len(data):
             size = int.from_bytes(data[at: at + 4], "little")
             parts.append(data[at + 4: at + 4 + size])
             at += 4 + size
-        lists.append((*unpacked(parts[0], 4), *unpacked(parts[1], 1), *unpacked(parts[2], 2)))
-    if not lists:
+        grams.append(parts[0])
+        places.append(parts[1:])
+    del asked
+    if not grams:
         return pa.concat_tables(out) if out else schema.empty_table()
-    value, rare = score_grams(*(np.concatenate(c) for c in zip(*(x[:4] for x in lists))), known, words, d)
-    ends = np.cumsum([len(x[0]) for x in lists])
-    for i, e, x in zip(rows.tolist(), ends.tolist(), lists):
-        v, r = (np.repeat(y[e - len(x[0]): e], x[4]) for y in (value, rare))
-        p, score = sums(x[5], x[6] * v)
+    one, x, w, n = columns_of(grams, 4)
+    value, rare = score_grams(one, x, w, n, known, words, d)
+    del one, x, n, grams
+    first = 0
+    for i, (inner, text) in zip(rows.tolist(), places):
+        (size,), (place, times) = unpacked(inner, 1), unpacked(text, 2)
+        last = first + len(size)
+        p, score = sums(place, times * np.repeat(value[first:last], size))
         answer(int(batches[i]), p, score=score)
         # the last step of a token whose word has no number: its count is in the table of words
+        r = np.repeat(rare[first:last], size)
         if r.any():
-            w = np.repeat(x[2], x[4])[r]
-            answer(int(batches[i]), x[5][r], score=x[6][r].astype(np.float64), w=w)
+            answer(int(batches[i]), place[r], score=times[r].astype(np.float64), w=np.repeat(w[first:last], size)[r])
+        first = last
     return pa.concat_tables(out)
 
 
 def score_grams(one: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray, known: pa.Table, words: Words, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the share of every n-gram, by Katz's recursion; and whether the add-one share of its word is still to be added."""
-    one, x, w, n, where = merged(one, x, w, n)
-    p1, pw, pn, pair = pairs_of(one, w, n)
+    small = len(words.counts)
+    one, x, w, n, where = merged(one, x, w, n, small)
+    p1, pw, pn, pair = pairs_of(one, w, n, small)
     pn, _ = pair_counts(p1, pw, pn, words)
     aux = {c: known.column(c).to_numpy() for c in ("one", "x", "base", "value")}
     context = aux["base"] > 0
@@ -450,8 +501,11 @@ def texts_of_batch(key, rows: pa.Table, schema: pa.Schema) -> pa.Table:
     kind = rows.column("kind").to_numpy()
     text = rows.filter(pa.array(kind == TEXT))
     n = len(text.column("ids").chunk(0).flatten())
-    place = rows.column("place").combine_chunks().flatten().to_numpy()
-    total = [np.bincount(place, rows.column(c).combine_chunks().flatten().to_numpy(), n) for c in ("known", "base", "score")]
+    total = []
+    for c in ("known", "base", "score"):  # a row says nothing of what it has no list for
+        some = rows.filter(rows.column(c).is_valid())
+        place, values = (some.column(k).combine_chunks().flatten().to_numpy() for k in ("place", c))
+        total.append(np.bincount(place, values, n))
     given = {"id": text.column("ids").chunk(0).flatten(), "train": text.column("train").chunk(0).flatten(), "n_tokens": text.column("n_tokens").chunk(0).flatten(),
              "n_known": pa.array(total[0].astype(np.int64)), "base_score": pa.array(total[1].astype(np.float64)), "score": pa.array(total[2].astype(np.float64))}
     return pa.table([given[f.name] for f in schema], schema=schema)
@@ -466,7 +520,7 @@ def words_to_ship(words: DataFrame, total: int, distinct: int, tokens: int, text
     keys, n = columns(words.where(F.col("n") >= least).select("w", "n"), "w", "n")
     keys = keys.astype(np.int64).view(np.uint64)
     order = np.lexsort((keys, -n.astype(np.int64)))
-    numbers = np.empty(len(keys), np.int64)
+    numbers = np.empty(len(keys), np.int32)
     numbers[order] = np.arange(1, len(keys) + 1)
     by_hash = np.argsort(keys)
     counts = np.concatenate([[texts], n[order]]).astype(np.int64)
@@ -517,8 +571,10 @@ def katz_scores(texts: DataFrame, id: str, text: str, train: Column) -> tuple[Da
     ends = words.where(F.col("w") == int(END_KEY)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ship, heavy_one, heavy_w = with_heavy_pairs(source, words_to_ship(words, int(total), int(distinct), int(tokens), int(ends)), int(tokens))
     every, parts = ship.every, ship.parts
+    none = np.zeros(0, np.int64)
+    held_by_parts = replace(ship, hashes=none.view(np.uint64), numbers=none)
 
-    types = source.select("train", "text").mapInArrow(lambda b: deal_types(b, ship), "part long, pack binary").groupBy("part").applyInArrow(lambda key, packs: count_types(key, packs, ship), TYPES)
+    types = source.select("train", "text").mapInArrow(lambda b: deal_types(b, ship), "part long, pack binary").groupBy("part").applyInArrow(lambda key, packs: count_types(key, packs, held_by_parts), TYPES)
     types = stored(types, "ngram-types")
     kind, values = F.col("kind"), [f"v{k}" for k in range(12)]
     histogram = types.where(kind == HISTOGRAM).groupBy("one").agg(F.sum("v0").alias("three"), F.sum("v1").alias("two")).collect()
@@ -595,16 +651,16 @@ def katz_scores(texts: DataFrame, id: str, text: str, train: Column) -> tuple[Da
             yield from deal_scored((b for some in ([first], batches) for b in some), ship, arrow(dealt, first.schema.field("id").type))
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        return score_part(key, asked, known, ship, d, arrow(answers, asked.schema.field("ids").type.value_type)) if len(asked) else None
+        return score_part(key, asked, known, held_by_parts, d, arrow(answers, asked.schema.field("ids").type.value_type)) if len(asked) else None
 
     sums = source.mapInArrow(deal, dealt).groupBy("part").cogroup(aux.groupBy("home")).applyInArrow(answer, answers)
     sums = stored(sums, "ngram-sums")
     # the add-one shares that are still to be added
     last = sums.where(F.col("kind") == WORD).select("batch", F.explode(F.arrays_zip("place", "score", "w")).alias("r")).select("batch", "r.place", F.col("r.score").alias("times"), "r.w")
     last = last.join(coded, "w", "left").groupBy("batch", "place").agg(F.sum(F.col("times") * F.log10(F.coalesce("n1", F.lit(1)) / every)).alias("score"))
-    none = {f.name: F.lit(None).cast(f.dataType) for f in answers}
-    last = last.groupBy("batch").agg(F.collect_list("place").alias("place"), F.collect_list("score").alias("score"), F.collect_list(F.lit(0.0)).alias("base"), F.collect_list(F.lit(0).cast("long")).alias("known"))
-    last = last.select(*[F.lit(SUMS).cast("byte").alias("kind") if f.name == "kind" else F.col(f.name) if f.name in last.columns else none[f.name].alias(f.name) for f in answers])
+    nulls = {f.name: F.lit(None).cast(f.dataType) for f in answers}
+    last = last.groupBy("batch").agg(F.collect_list("place").alias("place"), F.collect_list("score").alias("score"))
+    last = last.select(*[F.lit(SUMS).cast("byte").alias("kind") if f.name == "kind" else F.col(f.name) if f.name in last.columns else nulls[f.name].alias(f.name) for f in answers])
     every_sum = sums.where(F.col("kind") != WORD).unionByName(last)
     scores = every_sum.groupBy("batch").applyInArrow(lambda key, rows: texts_of_batch(key, rows, arrow(result, rows.schema.field("ids").type.value_type)), result)
     return scores.select("id", "train", "n_tokens", "n_known", "base_score", "score"), int(total)

@@ -128,6 +128,19 @@ def test_where_ngrams_meet_changes_nothing(spark, monkeypatch, tokens, numbered,
         assert g[3:] == pytest.approx(w[3:], rel=1e-9)
 
 
+@pytest.mark.parametrize("bits", [21, 6])
+def test_joint_order_is_that_of_the_columns(monkeypatch, bits):
+    import numpy as np
+
+    monkeypatch.setattr(ngrams, "BITS", bits)
+    rng = np.random.default_rng(5)
+    columns = [np.where(rng.random(500) < 0.3, -rng.choice([3, 7 << 40, 1 << 62], 500), rng.integers(0, 40, 500)) for _ in range(3)]
+    order, first = ngrams.in_order(40, *columns)
+    rows = [tuple(int(c[i]) & (1 << 64) - 1 for c in columns) for i in range(500)]
+    assert order.tolist() == sorted(range(500), key=lambda i: (rows[i], i))
+    assert [rows[order[i]] for i in first.tolist()] == sorted(set(rows))
+
+
 def test_packs_give_back_their_columns():
     import numpy as np
 
