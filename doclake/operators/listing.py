@@ -13,7 +13,7 @@ from doclake.functions.detect import file_ext
 from doclake.functions.text import let
 from doclake.operators.ordering import with_next, with_position, with_running_sum
 from doclake.rules import ARCHIVE_EXTENSIONS, CODE_EXTENSIONS, CONFIG_EXTENSIONS, rule_table
-from doclake.session import ship_with_tasks
+from doclake.session import cut_lineage, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -117,18 +117,17 @@ def bundle_documents(df: DataFrame, group: str, path: str, content: str, version
     """A bundle as ordered rows ``group_key, section, parts, text``: tree header, tree lines, then one row per file.
 
     Of two contents for one path the later ``version`` wins. Concatenating ``text`` in (section, parts) order gives the
-    bundle; a group never has to fit in one string or one task.
+    bundle; a group never has to fit in one string or one task. The input is read once: what is kept of it is written to the
+    checkpoint folder, from where the tree takes the paths and the sections the contents.
     """
-    files = df.groupBy(F.col(group).alias("group_key"), F.col(path).alias("path")).agg(
-        F.max_by(F.col(content), version).alias("content"))
-    tree = file_tree(df, group, path).select("group_key", F.lit(1).alias("section"), "parts", F.concat("line", F.lit("\n")).alias("text"))
-    groups = df.select(F.col(group).alias("group_key")).distinct()
+    files = cut_lineage(df.groupBy(F.col(group).alias("group_key"), F.col(path).alias("path")).agg(F.max_by(F.col(content), version).alias("content")))
+    tree = file_tree(files, "group_key", "path").select("group_key", F.lit(1).alias("section"), "parts", F.concat("line", F.lit("\n")).alias("text"))
     none = F.expr("cast(array() as array<string>)")
-    head = groups.select("group_key", F.lit(0).alias("section"), none.alias("parts"), F.lit("```file-tree\n").alias("text"))
-    foot = groups.select("group_key", F.lit(2).alias("section"), none.alias("parts"), F.lit("```\n\n").alias("text"))
+    frame = F.array(F.struct(F.lit(0).alias("section"), F.lit("```file-tree\n").alias("text")), F.struct(F.lit(2).alias("section"), F.lit("```\n\n").alias("text")))
+    ends = files.select("group_key").distinct().select("group_key", F.explode(frame).alias("f")).select("group_key", "f.section", none.alias("parts"), "f.text")
     sections = files.select("group_key", F.lit(3).alias("section"), F.array("path").alias("parts"), F.concat(
         F.lit("# File: "), "path", F.lit("\n\n"), "content", F.lit("\n\n")).alias("text"))
-    return head.unionByName(tree).unionByName(foot).unionByName(sections)
+    return tree.unionByName(ends).unionByName(sections)
 
 
 def concat_raw(df: DataFrame, group: str, order: Column, content: str) -> DataFrame:

@@ -292,6 +292,10 @@ def zip_files(spark, sf):
         (F.concat(F.lit("a/"), "lang", F.lit(".TXT")), F.col("text")), ("__MACOSX/x.txt", F.lit("m")), ("b/._y", F.lit("n")), ("c.md", F.col("source"))], kind)
 
 
+def nested_files(spark, sf):
+    return X.pack(zip_files(spark, sf), F.regexp_replace("path", "zip$", "tar"), [("in.zip", F.col("content")), ("n.txt", F.col("path"))], "tar")
+
+
 @query("archive_members", """SELECT 'd' || doc_id || '.zip' AS path, 'a/' || lang || '.TXT' AS member, 'txt' AS ext, md5(text) AS hash FROM documents
 UNION ALL SELECT 'd' || doc_id || '.zip', 'c.md', 'md', md5(source) FROM documents
 UNION ALL SELECT 'd' || doc_id || '.zip', '__MACOSX/x.txt', 'txt', md5('m') FROM documents WHERE doc_id % 3 = 0
@@ -314,8 +318,7 @@ UNION ALL SELECT 'd' || doc_id || '.tar', 'in.zip/__MACOSX/x.txt', md5('m') FROM
 UNION ALL SELECT 'd' || doc_id || '.tar', 'in.zip/b/._y', md5('n') FROM documents WHERE doc_id % 3 = 0
 UNION ALL SELECT 'd' || doc_id || '.tar', 'n.txt', md5('d' || doc_id || '.zip') FROM documents""")
 def expand_nested(spark, sf):
-    outer = X.pack(zip_files(spark, sf), F.regexp_replace("path", "zip$", "tar"), [("in.zip", F.col("content")), ("n.txt", F.col("path"))], "tar")
-    return C.expand_nested(outer).select("path", "member", F.md5("content").alias("hash"))
+    return C.expand_nested(nested_files(spark, sf)).select("path", "member", F.md5("content").alias("hash"))
 
 
 # ------------------------------------------------------------------------------------------------ tables

@@ -12,7 +12,7 @@ from doclake.plans import office_queries as OQ
 from doclake.plans.detect_queries import MIME_ROWS
 from doclake.plans.registry import ORACLES, duck, query, synth, table
 from doclake.session import file_system, ship_with_tasks, work_dir
-from doclake.sources import fetched, files, writers
+from doclake.sources import archives, fetched, files, writers
 from doclake.streaming import ingest
 
 ship_with_tasks(__name__)
@@ -113,11 +113,32 @@ def _write_files(rows):
             f.write(bytes(r["content"]))
 
 
+def _arrive(spark, files, name: str) -> str:
+    """``files(path, content)`` as files of a fresh folder."""
+    folder = work_dir(spark, name)
+    files.select(F.concat(F.lit(folder.removeprefix("file://") + "/"), "path").alias("path"), "content").foreachPartition(_write_files)
+    return folder
+
+
+@query("scan_archives", ORACLES["archive_members"])
+def scan_archives(spark, sf):
+    """Archives in a folder, read by their directories."""
+    folder = _arrive(spark, OQ.zip_files(spark, sf), "zips")
+    members = archives.scan_archives(files.scan_files(spark, folder, hidden=True, with_content=False))
+    return members.select(F.substring_index("path", "/", -1).alias("path"), "member", "ext", F.md5("content").alias("hash"))
+
+
+@query("scan_nested_archives", ORACLES["expand_nested"])
+def scan_nested_archives(spark, sf):
+    folder = _arrive(spark, OQ.nested_files(spark, sf), "tars")
+    members = archives.scan_archives(files.scan_files(spark, folder, hidden=True, with_content=False), nested=True)
+    return members.select(F.substring_index("path", "/", -1).alias("path"), "member", F.md5("content").alias("hash"))
+
+
 @query("stream_ingest", f"SELECT path AS name, format, markdown, failed FROM ({ORACLES['convert_all']})")
 def stream_ingest(spark, sf):
     """All mixed files arrive as files and are converted in several micro-batches; a second run finds nothing new."""
-    folder, out, ckpt = work_dir(spark, "arriving"), work_dir(spark, "ingest"), work_dir(spark, "ckpt")
-    mixed_files(spark, sf).select(F.concat(F.lit(folder.removeprefix("file://") + "/"), "path").alias("path"), "content").foreachPartition(_write_files)
+    folder, out, ckpt = _arrive(spark, mixed_files(spark, sf), "arriving"), work_dir(spark, "ingest"), work_dir(spark, "ckpt")
     arriving = spark.read.format("binaryFile").load(folder).select("path").count()
     for _ in range(2):
         ingest.stream_ingest(spark, folder, out, ckpt, files_at_once=-(-arriving // 2))

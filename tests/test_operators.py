@@ -502,3 +502,53 @@ def test_pairs_of_tags_against_a_stack(spark):
         opens = [pos for pos, t in enumerate(tokens) if not t.startswith("</")]
         seen = sorted(k for k in got if k[0] == i)
         assert [got[k] for k in seen] == [int(pos in paired) for pos in opens]
+
+
+def test_archives_read_by_their_directories(spark, tmp_path):
+    from doclake.sources import archives as A
+
+    random.seed(2)
+    bodies = {f"d{i % 7}/f{i}.txt": random.randbytes(random.randint(0, 3000)) for i in range(400)}
+    (tmp_path / "a.zip").write_bytes(make_zip(list(bodies.items()) + [("__MACOSX/x", b"no"), ("d/", b""), ("._y", b"no")]))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for n, d in bodies.items():
+            z.writestr(n, d * 3)
+    (tmp_path / "c.tar").write_bytes(make_tar(list(bodies.items()) + [("n" * 150, b"long name")]))
+    (tmp_path / "n.tar").write_bytes(make_tar([("in.zip.gz", gzip.compress(make_zip([("x.txt", b"deep"), ("y.zip", make_zip([("z", b"deeper")]))]))), ("p.txt", b"flat")]))
+    (tmp_path / "bad.zip").write_bytes(make_zip([("q", b"1")])[:40])
+    broken = bytearray(make_zip([("ok", b"fine" * 50), ("hurt", b"x" * 100)]))
+    broken[broken.index(b"x" * 100)] = 0
+    (tmp_path / "hurt.zip").write_bytes(bytes(broken))
+    (tmp_path / "plain.txt").write_text("plain")
+    (tmp_path / "empty.zip").write_bytes(make_zip([]))
+    found = files.scan_files(spark, str(tmp_path), hidden=True)
+    whole, seek = C.archive_members(found), A.scan_archives(found.drop("content"))
+    rows = lambda df: sorted(((r["path"], r["member"], r["ext"], r["content"] and bytes(r["content"])) for r in df.where("error is null").collect()), key=str)
+    assert rows(seek) == rows(whole) and len(rows(seek)) > 1200
+    errors = lambda df: sorted((r["path"].rsplit("/", 1)[-1], r["member"]) for r in df.where("error is not null").collect())
+    assert errors(seek) == errors(whole) == [("bad.zip", None), ("hurt.zip", "hurt")]
+    assert rows(A.scan_archives(found.drop("content"), nested=True)) == rows(C.expand_nested(found))
+    one = A.scan_archives(found.drop("content").where("path like '%/a.zip'")).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(one) == 8 and max(r["count"] for r in one) < 100
+
+
+def test_an_archive_larger_than_a_cell(spark, tmp_path):
+    """A zip above 2 GB: its members lie behind holes of a sparse file, so nothing of that size is written or read."""
+    from doclake.sources import archives as A
+
+    path = tmp_path / "big.zip"
+    with open(path, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        z.writestr("first.txt", b"at the start")
+    with open(path, "r+b") as f:
+        data = f.read()
+        directory = data.index(b"PK\x01\x02")
+        hole = 3 << 30
+        # the directory moves behind the hole; offsets stay those of the members
+        end = bytearray(data[data.index(b"PK\x05\x06"):])
+        end[16:20] = (directory + hole).to_bytes(4, "little")
+        f.seek(directory + hole)
+        f.write(data[directory: data.index(b"PK\x05\x06")] + bytes(end))
+        f.truncate()
+    assert path.stat().st_size > 3 << 30
+    got = A.scan_archives(spark.createDataFrame([(str(path),)], "path string")).collect()
+    assert [(r["member"], bytes(r["content"]), r["error"]) for r in got] == [("first.txt", b"at the start", None)]
