@@ -168,6 +168,13 @@ def test_convert_all_reports_what_it_cannot_convert(spark):
     assert out["a.rs"] == ("```rs\nfn x() {}\n```", None) and out["b.md"] == ("# t", None) and out["p.png"] == ("![Image](p.png)", None)
     assert out["x.bin"] == ("[bin file](x.bin)", None)
     assert all(out[n][0] is None and out[n][1] for n in ("bad.docx", "old.xls", "r.csv"))
+    from doclake.operators.convert import convert_sections
+
+    rows = sorted((r["path"], r["section"], r["parts"], r["text"] or "", r["error"]) for r in convert_sections(df).collect())
+    for path, (markdown, error) in out.items():
+        mine = [r for r in rows if r[0] == path]
+        assert (markdown or "") == ("".join(r[3] for r in mine) if error is None else "") and any(r[4] for r in mine) == bool(error)
+    assert [r[1:3] for r in rows if r[0] == "z.zip"] == [(0, []), (1, ["q"]), (1, ["q", "r.md"]), (1, ["s.csv"]), (2, []), (3, ["q/r.md"]), (3, ["s.csv"])]
     assert out["z.zip"][0] == ("```file-tree\n├── q/\n│   └── r.md\n└── s.csv\n```\n\n# File: q/r.md\n\n# in\n\n"
                                "# File: s.csv\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n\n")
 
@@ -552,3 +559,22 @@ def test_an_archive_larger_than_a_cell(spark, tmp_path):
     assert path.stat().st_size > 3 << 30
     got = A.scan_archives(spark.createDataFrame([(str(path),)], "path string")).collect()
     assert [(r["member"], bytes(r["content"]), r["error"]) for r in got] == [("first.txt", b"at the start", None)]
+
+
+def test_conversion_reads_its_input_once(spark, tmp_path):
+    from doclake.operators import convert
+
+    found = [(f"f{i}.md", bytearray(b"# t")) for i in range(5)] + [("z.zip", bytearray(make_zip([("a.md", b"a"), ("bad.csv", b"a,b\n1\n")]))), ("e.zip", bytearray(make_zip([])))]
+    spark.createDataFrame(found, "path string, content binary").write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = spark.read.parquet(str(tmp_path / "in")).mapInArrow(count, "path string, content binary")
+    rows = convert.convert_sections(counted).collect()
+    assert seen.value == len(found)
+    assert {(r["path"], r["section"], r["error"] is not None) for r in rows if r["path"] == "z.zip"} == {("z.zip", 0, False), ("z.zip", 1, False), ("z.zip", 2, False), ("z.zip", 3, False), ("z.zip", 4, True)}
+    assert [r["text"] for r in rows if r["path"] == "e.zip"] == ["```file-tree\n```\n\n"]
