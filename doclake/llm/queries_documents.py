@@ -22,6 +22,44 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+# crc32 of lists of bytes, with its table of 256 remainders worked out first
+CRC_TABLE = """crc_step(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_step where k < 8
+), crc as materialized (select list(c order by i) as tab from crc_step where k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, over a row that holds ``tab`` of ``CRC_TABLE``."""
+    data = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::bigint)"
+    return f"xor(coalesce(list_reduce({data}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295), 4294967295)"
+
+
+def _op5_sql() -> str:
+    def tree(name: str, grown: bool) -> str:
+        more = "union all select 'g40', 'g40/k0', 'g40/k0/40', 40" if grown else ""
+        leaves = f"select 'r' || i // 10, 'r' || i // 10 || '/k' || i // 5 % 2, 'r' || i // 10 || '/k' || i // 5 % 2 || '/' || i, i from range({SHARDS}) t(i) {more}"
+        return f"""{name}_leaf(region, rack, leaf, shard) as ({leaves}), {name}(parent, node, weight) as (
+  select '', region, count(*)::double from {name}_leaf group by all union all select region, rack, count(*)::double from {name}_leaf group by all
+  union all select rack, leaf, 1.0::double from {name}_leaf)"""
+
+    def descend(name: str) -> str:
+        steps, at = [], "select name, '' as node from k"
+        for level in range(3):
+            steps.append(f"{name}_{level} as materialized (select p.name, arg_max(t.node, (ln((('0x' || md5(p.name || '|' || t.node)[:13])::bigint + 1.0) / 4503599627370496.0) / t.weight, t.node)) as node "
+                         f"from ({at}) p join {name} t on t.parent = p.node group by p.name)")
+            at = f"select name, node from {name}_{level}"
+        return ", ".join(steps)
+
+    return f"""
+with recursive {CRC_TABLE}, {tree('old', False)}, {tree('new', True)}, d as materialized (
+  select doc_id, coalesce(doc_id::varchar, '') as name, octet_length(encode(coalesce(text, '')))::bigint + 16 as size, {crc_sql("coalesce(text, '')")} as text_crc32 from documents, crc
+), k as (select distinct name from d), {descend('old')}, {descend('new')}
+select doc_id, size, text_crc32, 'key' as law, split_part(o.node, '/', -1)::int as shard, split_part(g.node, '/', -1)::int as grown_shard,
+  row_number() over (partition by o.node order by ('0x' || md5(name || '|' || text_crc32 || '|' || size)[:8])::bigint % 512, doc_id nulls first, text_crc32, size) - 1 as slot
+from d join old_2 o using (name) join new_2 g using (name)
+"""
+
+
 def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a capture of a day of its own, against lists whose dated entries name hosts and paths of the pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -147,6 +185,26 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+OP12_SQL = f"""
+with recursive {CRC_TABLE}, r as materialized (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents) group by all
+), h as materialized (select run, n, {crc_sql("coalesce(doc_id::varchar, '') || ':' || run")} as h from r, crc
+), w as materialized (
+  select word, sum(n)::bigint as n from (
+    select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from h) where length(word) >= 5 group by word having sum(n) >= 3
+), k as materialized (select word, n, word[:i - 1] as x, word[i + 1:] as y from (select *, unnest(range(1, length(word) + 1)) as i from w)
+), p as materialized (
+  select a.word, b.word as near, b.n from k a join k b on a.x = b.x and a.y = b.y and a.word <> b.word
+  union select k.word, w.word, w.n from k join w on k.x || k.y = w.word union select w.word, k.word, k.n from k join w on k.x || k.y = w.word
+), g as materialized (select word, count(*) as n_near, first(near order by n desc, encode(near)) as best, max(n) as best_n from p group by word
+), f as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * w.n then best end as form, case when best_n >= 2 * w.n then best_n end as form_n from w left join g using (word)
+), t as (select word, word as root from f union all select t.word, f.form from t join f on f.word = t.root where f.form is not null
+), last as (select t.word, t.root from t join f on f.word = t.root where f.form is null)
+select f.word, f.form, last.root, f.n, f.n_near, f.form_n from f join last using (word)
+"""
+
+
 QUERIES = {"op1_temporal_url_filter": op1_temporal_url_filter, "op5_hash_tree_shards": op5_hash_tree_shards, "op7_jaccard_components": op7_jaccard_components,
            "op9_secret_ownership": op9_secret_ownership, "op12_spelling_variants": op12_spelling_variants}
-ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op7_jaccard_components": OP7_SQL, "op9_secret_ownership": _op9_sql()}
+ORACLES = {"op1_temporal_url_filter": OP1_SQL, "op5_hash_tree_shards": _op5_sql(), "op12_spelling_variants": OP12_SQL, "op7_jaccard_components": OP7_SQL, "op9_secret_ownership": _op9_sql()}

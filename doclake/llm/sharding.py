@@ -83,7 +83,9 @@ def shard_rows(rows: DataFrame, key: str, text: str, tree: Tree, more: Tree | No
     placed = rows.select(
         F.col(key), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), place(name, tree).alias("shard"),
         (place(name, more) if more else F.lit(None).cast("int")).alias("grown_shard"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(name, "text_crc32", "size"), F.lit(BUCKETS)).cast("int"))
+    # by md5, so that any SQL engine can repeat it; rows of one key with other texts go to other buckets
+    whole = F.md5(F.concat_ws("|", name, F.col("text_crc32").cast("string"), F.col("size").cast("string")).cast("binary"))
+    placed = placed.withColumn("bucket", F.pmod(F.conv(F.substring(whole, 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int"))
     placed = stored(placed, "shards")
     from pyspark.sql import Window
 
