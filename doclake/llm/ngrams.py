@@ -60,9 +60,9 @@ class Words:
     pair_splits: np.ndarray
     pair_counts: np.ndarray
 
-    def codes(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers from 1 on of frequent words, negative hashes of others."""
-        at, found = lookup(self.hashes, keys)
+    def codes(self, keys: np.ndarray, find=None) -> np.ndarray:
+        """Numbers from 1 on of frequent words, negative hashes of others; ``find`` is ``finder(hashes)`` where there are many to come."""
+        at, found = find(keys) if find else lookup(self.hashes, keys)
         return np.where(found, self.numbers[at].astype(np.int64) if len(self.numbers) else 0, rare_codes(keys))
 
     def part(self, one: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -84,6 +84,25 @@ def lookup(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, (values[at] == asked if len(values) else np.zeros(len(asked), bool))
 
 
+def finder(values: np.ndarray):
+    """``lookup`` in sorted hashes by a table of their leading bits: hashes are even, so a search ends after a few steps."""
+    if not len(values):
+        return lambda asked: lookup(values, asked)
+    shift, last = np.uint64(64 - len(values).bit_length()), len(values) - 1
+    starts = np.searchsorted(values, np.arange(1 << len(values).bit_length(), dtype=np.uint64) << shift)
+
+    def find(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(starts[(asked >> shift).astype(np.int64)], last)
+        low = np.flatnonzero(values[at] < asked)
+        while len(low):
+            low = low[at[low] < last]
+            at[low] += 1
+            low = low[values[at[low]] < asked[low]]
+        return at, values[at] == asked
+
+    return find
+
+
 def pair_key(one: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(mix(one.view(np.uint64) ^ np.uint64(0x50414952)) + w.view(np.uint64))
@@ -102,7 +121,7 @@ def packed(*columns: np.ndarray) -> bytes:
     for c in columns:
         big = c[c < 0]
         small = np.where(c < 0, 0xFFFFFFFF, c).astype("<u4")
-        out += [np.array([len(big)], "<i8").tobytes(), big.astype("<i8").tobytes(), small.view(np.uint8).reshape(-1, 4).T.tobytes()]
+        out += [np.array([len(big)], "<i8").tobytes(), big.astype("<i8").tobytes(), *((small >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4))]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
@@ -251,15 +270,16 @@ def counted_pairs(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[p
 
 
 def deal_types(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+    find = finder(words.hashes)
     for table, keys, rows in token_batches(batches, False):
         train = table.column("train").to_numpy(zero_copy_only=False)
-        for part, data in gram_packs(words.codes(keys), rows, train, words, False):
+        for part, data in gram_packs(words.codes(keys, find), rows, train, words, False):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["part", "pack"])
 
 
 def deal_scored(batches: Iterator[pa.RecordBatch], words: Words, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Packs with places, and one row for every batch with its texts and what the words alone say of them."""
-    task = TaskContext.get().partitionId()
+    task, find = TaskContext.get().partitionId(), finder(words.hashes)
 
     def row(**given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(1, f.type) if given.get(f.name) is None else given[f.name] if isinstance(given[f.name], pa.Array) else pa.array([given[f.name]], f.type) for f in schema], schema=schema)
@@ -267,7 +287,7 @@ def deal_scored(batches: Iterator[pa.RecordBatch], words: Words, schema: pa.Sche
     for number, (table, keys, rows) in enumerate(token_batches(batches, False)):
         batch, n = task << 32 | number, table.num_rows
         train = table.column("train").to_numpy(zero_copy_only=False)
-        code = words.codes(keys)
+        code = words.codes(keys, find)
         numbered = code > 0
         count = words.counts[code[numbered]]
         ids = table.column("id").combine_chunks()

@@ -141,6 +141,18 @@ def test_joint_order_is_that_of_the_columns(monkeypatch, bits):
     assert [rows[order[i]] for i in first.tolist()] == sorted(set(rows))
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 1000])
+def test_finder_finds_what_lookup_finds(size):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    for values in (rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2), np.arange(size, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(size, dtype=np.uint64)):
+        values = np.unique(values)
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << 63, 50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        (at, found), (want_at, want) = ngrams.finder(values)(asked), ngrams.lookup(values, asked)
+        assert found.tolist() == want.tolist() and at[found].tolist() == want_at[want].tolist()
+
+
 def test_packs_give_back_their_columns():
     import numpy as np
 
