@@ -34,7 +34,7 @@ ship_with_tasks(__name__)
 NUMBERED = 1 << 20
 #: Tokens that a part is made for. Words and pairs with more, or with this part of all tokens, are split; pairs are looked for in a
 #: sample of the texts. This decides where rows meet, not what they count.
-TOKENS_A_PART, HEAVY, SAMPLE = 2_500_000, 8, 0.02
+TOKENS_A_PART, HEAVY, SAMPLE = 1_500_000, 8, 0.02
 #: Different words that a task counts together.
 WORDS_TOGETHER = 1_000_000
 START = 0
