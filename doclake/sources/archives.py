@@ -27,7 +27,7 @@ ship_with_tasks(__name__)
 DIRECTORY = "path string, member_no int, member string, kind string, offset long, stored long, size long, method int, crc long, error string"
 STORED, DEFLATED = 0, 8
 #: Bytes of contents that a task hands on at a time, and that it asks a store for at least.
-BYTES_TOGETHER, BLOCK = 32 << 20, 1 << 16
+BYTES_TOGETHER, BLOCK = 4 << 20, 1 << 16
 
 
 class StoreFile(io.RawIOBase):

@@ -578,3 +578,33 @@ def test_conversion_reads_its_input_once(spark, tmp_path):
     assert seen.value == len(found)
     assert {(r["path"], r["section"], r["error"] is not None) for r in rows if r["path"] == "z.zip"} == {("z.zip", 0, False), ("z.zip", 1, False), ("z.zip", 2, False), ("z.zip", 3, False), ("z.zip", 4, True)}
     assert [r["text"] for r in rows if r["path"] == "e.zip"] == ["```file-tree\n```\n\n"]
+
+
+def test_packing_and_unpacking_hold_one_file_at_a_time():
+    """Python objects and batches handed on stay bounded however many rows an Arrow batch brings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from doclake.plans import fixtures as X
+
+    body = random.Random(3).randbytes(10_000)
+    entries = [[{"name": f"m{m}", "body": body} for m in range(2)]] * 3000
+    full = pa.RecordBatch.from_arrays([
+        pa.array([f"f{i}" for i in range(3000)]), pa.array(entries, pa.list_(pa.struct([("name", pa.string()), ("body", pa.binary())]))), pa.array(["tar", "zip", "zip"] * 1000)], ["path", "entries", "kind"])
+    tracemalloc.start()
+    try:
+        for step in (X.packed, C._explode(False), C._explode(True)):
+            kept = [] if step is X.packed else None
+            rows = 0
+            tracemalloc.reset_peak()
+            for b in step(iter([full])):
+                assert b.num_rows <= C.BATCH_ROWS and b.nbytes < 2 * C.BATCH_BYTES
+                rows += b.num_rows
+                if kept is not None:
+                    kept.append(b)
+            assert rows == (3000 if kept is not None else 6000)
+            assert tracemalloc.get_traced_memory()[1] < 4 * C.BATCH_BYTES
+            full = pa.Table.from_batches(kept).combine_chunks().to_batches()[0] if kept is not None else full
+    finally:
+        tracemalloc.stop()
