@@ -608,3 +608,18 @@ def test_packing_and_unpacking_hold_one_file_at_a_time():
             full = pa.Table.from_batches(kept).combine_chunks().to_batches()[0] if kept is not None else full
     finally:
         tracemalloc.stop()
+
+
+def test_files_of_any_size_are_read_in_blocks(spark, tmp_path):
+    bodies = {"a.bin": random.Random(4).randbytes(2500), "d/.b.bin": b"x" * 1000, "d/empty": b"", "d/small": b"1"}
+    (tmp_path / "d").mkdir()
+    for n, d in bodies.items():
+        (tmp_path / n).write_bytes(d)
+    with open(tmp_path / "huge.bin", "wb") as f:  # larger than a cell, a hole on the disk
+        f.truncate((1 << 31) + 5)
+    huge = files.scan_blocks(spark, str(tmp_path), max_depth=1).where("rel = 'huge.bin'").agg(F.sum(F.octet_length("content").cast("long")), F.max(F.octet_length("content"))).first()
+    assert tuple(huge) == ((1 << 31) + 5, files.BLOCK_BYTES)
+    (tmp_path / "huge.bin").write_bytes(b"")
+    blocks = files.scan_blocks(spark, str(tmp_path), hidden=True, block_bytes=1000).collect()
+    assert {n: b"".join(bytes(r["content"]) for r in sorted(blocks, key=lambda r: r["offset"]) if r["rel"] == n) for n in bodies} == bodies
+    assert sorted(r["offset"] for r in blocks if r["rel"] == "a.bin") == [0, 1000, 2000] and len(blocks) == 7
