@@ -635,3 +635,27 @@ def test_tables_that_are_folders_are_not_files(spark, tmp_path, name):
         (tmp_path / n).write_bytes(n.encode())
     want = oracle.duck_rows(oracle.duckdb.connect(), ORACLES[name].replace("/root/testdata/sf0.01/", f"{tmp_path}/"))
     assert oracle.difference(oracle.spark_rows(QUERIES[name](spark, str(tmp_path))), want) is None and len(want[1]) == 1
+
+
+def test_arriving_files_are_listed_by_tasks_and_ingested_once(spark, tmp_path, monkeypatch):
+    from doclake.streaming import ingest
+
+    folder, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    (folder / "k=1").mkdir(parents=True)
+    (folder / "deep").mkdir()
+    for n in [f"f{i}.md" for i in range(7)] + [".h.md", "other.txt", "k=1/p.md", "deep/q.md"]:
+        (folder / n).write_text(n)
+    batches = []
+    monkeypatch.setattr(ingest, "convert_all", lambda batch, inline: batches.append(batch.count()) or batch.select(
+        "path", F.lit("m").alias("format"), F.col("content").cast("string").alias("markdown"), F.lit(None).cast("string").alias("error")))
+    for _ in range(2):
+        ingest.stream_ingest(spark, str(folder), out, ckpt, "*.{md,rst}", files_at_once=3)
+    assert batches == [3, 3, 2]
+    (folder / "late.rst").write_text("late.rst")
+    ingest.stream_ingest(spark, str(folder), out, ckpt, "*.{md,rst}", files_at_once=3)
+    got = {r["path"]: (r["markdown"], r["length"]) for r in spark.read.parquet(out).collect()}
+    names = [f"f{i}.md" for i in range(7)] + ["k=1/p.md", "late.rst"]
+    assert got == {f"file:{folder}/{n}": (n, len(n)) for n in names} and batches == [3, 3, 2, 1]
+    # the stream's own log names files of the table, not the files that arrived
+    seen = "".join(p.read_text() for p in (tmp_path / "ckpt" / "sources" / "0").iterdir() if not p.name.startswith("."))
+    assert "/arrivals/" in seen and "f1.md" not in seen
