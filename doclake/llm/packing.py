@@ -26,9 +26,12 @@ ship_with_tasks(__name__)
 
 LENGTH = 2048
 OPEN = 1024
-SLICE = 2 << 20
+#: Code points that are cut into words at a time: arrays of several times that many numbers live meanwhile.
+SLICE = 1 << 19
 #: Tokens that one task packs; a partition wastes at most what its last open sequences have free.
 TOKENS_A_TASK = 8_000_000
+#: Tokens that a task hands on at a time.
+TOKENS_TOGETHER = 1 << 20
 #: Below it composition changes nothing and every letter but U+0130 has one lower-case letter.
 SIMPLE = 0x300
 
@@ -86,19 +89,33 @@ def ids_of(texts: pa.Array, content: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def cut_rows(batches: Iterator[pa.RecordBatch], content: bytes, length: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces, handed on whenever they hold ``TOKENS_TOGETHER``; ids stay arrays, never lists of objects."""
+    names, kinds = ["piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def rows(batch: pa.RecordBatch, out: list[list], parts: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [batch.column("id").take(pa.array(out[0], pa.int64())), *[pa.array(x, t) for x, t in zip(out[1:], kinds)]]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64))))
+        return pa.RecordBatch.from_arrays(columns, ["id", *names, *(["ids"] if with_ids else [])])
+
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
+        parts, held = [], 0
         for row, ids in ids_of(batch.column("text"), content):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, at in enumerate(range(0, len(ids), length)):
                 part = ids[at: at + length]
-                for column, value in zip(out, (row, k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64).tolist() if with_ids else None)):
+                for column, value in zip(out, (row, k, at, len(part), zlib.crc32(part.tobytes()))):
                     column.append(value)
-        names, kinds = ["piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        columns = [batch.column("id").take(pa.array(out[0], pa.int64())), *[pa.array(x, t) for x, t in zip(out[1:5], kinds)]]
-        if with_ids:
-            names, columns = [*names, "ids"], [*columns, pa.array(out[5], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", *names])
+                if with_ids:
+                    parts.append(part)
+                held += len(part)
+                if held >= TOKENS_TOGETHER:
+                    yield rows(batch, out, parts)
+                    out, parts, held = [[], [], [], [], []], [], 0
+        if held:
+            yield rows(batch, out, parts)
 
 
 class OpenBins:

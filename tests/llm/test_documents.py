@@ -269,3 +269,30 @@ def test_redaction(spark):
             text += t[at:]
         want[i, text, lang, s, "c", 1] += 1
     assert Counter(map(tuple, secrets.redact(frame, *args).collect())) == want
+
+
+def test_ids_of_pieces_stay_arrays_in_bounded_batches():
+    """A batch of texts is cut into rows without a Python object per id, and handed on bit by bit."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from doclake.llm import packing
+
+    content = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    texts = ["alpha beta gamma delta " * 1500] * 400 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    warm = [b.to_pylist() for b in packing.cut_rows(iter([batch.slice(0, 1)]), content, 2048, 0, True)][0]
+    tracemalloc.start()
+    try:
+        most, rows, first = 0, 0, []
+        for b in packing.cut_rows(iter([batch]), content, 2048, 0, True):
+            most, rows = max(most, sum(b.column("length").to_pylist())), rows + b.num_rows
+            first = first or b.slice(0, len(warm)).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first == warm and sum(len(r["ids"]) for r in warm) == warm[-1]["start"] + warm[-1]["length"]
+    assert rows == 400 * len(warm) + 2 and most < packing.TOKENS_TOGETHER + 2048
+    assert peak < 80 << 20, peak
