@@ -30,3 +30,10 @@ def test_query(spark, con, name):
     want = oracle.duck_rows(con, ORACLES[name].replace("/root/testdata/sf0.01/", SF + "/"))
     assert got[1], "no rows"
     assert oracle.difference(got, want) is None
+
+
+@pytest.mark.parametrize("name", ["md_headings", "html_inline"])
+def test_short_rows_are_dealt_out_before_they_become_documents(spark, name):
+    """One file of customers is one split; its documents are the work of all tasks."""
+    assert spark.read.parquet(f"{SF}/customer.parquet").rdd.getNumPartitions() == 1
+    assert "Exchange RoundRobinPartitioning(8), REPARTITION_BY_NUM" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
