@@ -35,6 +35,8 @@ NUMBERED = 1 << 20
 #: Tokens that a part is made for. Words and pairs with more, or with this part of all tokens, are split; pairs are looked for in a
 #: sample of the texts. This decides where rows meet, not what they count.
 TOKENS_A_PART, HEAVY, SAMPLE = 1_500_000, 8, 0.02
+#: N-grams of a part that are scored together; decides memory only.
+GRAMS_TOGETHER = 1 << 18
 #: Different words that a task counts together.
 WORDS_TOGETHER = 1_000_000
 START = 0
@@ -451,12 +453,13 @@ def score_part(key, asked: pa.Table, known: pa.Table, words: Words, d: Discounts
             at += 4 + size
         grams.append(parts[0])
         places.append(parts[1:])
-    del asked
+    del asked, lists
     if not grams:
         return pa.concat_tables(out) if out else schema.empty_table()
     one, x, w, n = columns_of(grams, 4)
-    value, rare = score_grams(one, x, w, n, known, words, d)
-    del one, x, n, grams
+    del grams
+    value, rare = score_slices(one, x, w, n, known, words, d)
+    del one, x, n
     first = 0
     for i, (inner, text) in zip(rows.tolist(), places):
         (size,), (place, times) = unpacked(inner, 1), unpacked(text, 2)
@@ -471,6 +474,26 @@ def score_part(key, asked: pa.Table, known: pa.Table, words: Words, d: Discounts
     return pa.concat_tables(out)
 
 
+def score_slices(one: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray, known: pa.Table, words: Words, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """``score_grams`` for some of a part's n-grams at a time: those of a word in the middle together, of a heavy one those of a pair.
+
+    What they need of each other is as in parts, and rows keep their order, so all values are the same.
+    """
+    count = -(-len(one) // GRAMS_TOGETHER)
+    if count < 2:
+        return score_grams(one, x, w, n, known, words, d)
+    place = mix(one.view(np.uint64))
+    heavy = lookup(words.heavy, one)[1]
+    with np.errstate(over="ignore"):
+        place[heavy] += mix(w[heavy].view(np.uint64))
+    place = ((mix(place) >> np.uint64(32)) % np.uint64(count)).astype(np.int32)
+    value, rare = np.empty(len(one)), np.empty(len(one), bool)
+    for k in range(count):
+        at = np.flatnonzero(place == k)
+        value[at], rare[at] = score_grams(one[at], x[at], w[at], n[at], known, words, d)
+    return value, rare
+
+
 def score_grams(one: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray, known: pa.Table, words: Words, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the share of every n-gram, by Katz's recursion; and whether the add-one share of its word is still to be added."""
     small = len(words.counts)

@@ -162,3 +162,36 @@ def test_packs_give_back_their_columns():
         given = np.where(given[0] == 0xFFFFFFFF, 0, given[0]), *given[1:]
         for a, b in zip(ngrams.unpacked(ngrams.packed(*given), 3), given):
             assert a.tolist() == b.tolist()
+
+
+def test_ngrams_of_a_part_are_scored_some_at_a_time(monkeypatch):
+    """Memory beyond the columns does not grow with a part, values are the same; words and pairs may be heavy."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows, small, none = 300_000, 2_000, np.zeros(0, np.int64)
+    code = lambda: np.where(rng.random(rows) < 0.2, -rng.integers(1, 1 << 40, rows), (small * rng.random(rows) ** 2).astype(np.int64) + 1)
+    one, x, w, n = code(), code(), code(), rng.integers(0, 4, rows)
+    one[: rows // 10], w[: rows // 20] = 7, 9  # a heavy word and a heavy pair
+    heavy, keys = np.array([7]), ngrams.pair_key(np.array([7]), np.array([9]))
+    words = ngrams.Words(none.view(np.uint64), none, rng.integers(1, 9, small + 2), heavy, np.array([4]), 40, 1e6, keys, np.array([2]), np.array([5_000]))
+    d = ngrams.Discounts(np.array([0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), np.array([0.0, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0]), np.array([9e4]), np.array([0.1]))
+    contexts = np.unique(x[one == 7])
+    known = pa.table({"one": np.full(len(contexts), 7), "x": contexts, "base": rng.uniform(5, 9, len(contexts)), "value": rng.uniform(-2, -1, len(contexts))})
+
+    def peak(score):
+        tracemalloc.start()
+        out = score(one, x, w, n, known, words, d)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    monkeypatch.setattr(ngrams, "GRAMS_TOGETHER", 30_000)
+    (whole, rare), at_once = peak(ngrams.score_grams)
+    (value, still), some = peak(ngrams.score_slices)
+    assert value.tolist() == whole.tolist() and still.tolist() == rare.tolist()
+    assert some < at_once / 2
+    assert some < 100 * rows
