@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from doclake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
+#: Bytes of text whose features are found together: arrays of about 80 times that many bytes live meanwhile.
+SLICE = 1 << 18
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -61,17 +65,22 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int,
 
 
 def featurize(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Distinct features and counts of every text."""
+    """Distinct features and counts of every text, as a compressed cell: one task gets all of the sample."""
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for a, b, data, offsets in text_slices(batch.column("text")):
+        for a, b, data, offsets in text_slices(batch.column("text"), SLICE):
             f, rows = features(data, offsets, s.bits, s.grams)
             keys, counts = np.unique((rows << s.bits) | f, return_counts=True)
-            ends = np.searchsorted(keys, np.arange(b - a + 1) << s.bits)
-            ids, counts = (keys & ((1 << s.bits) - 1)).astype(np.int32), counts.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("order").slice(a, b - a), batch.column("y").slice(a, b - a),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts))],
-                ["order", "y", "ids", "counts"])
+            ends = np.searchsorted(keys, np.arange(b - a + 1) << s.bits).tolist()
+            ids, counts = (keys & ((1 << s.bits) - 1)).astype("<i4"), counts.astype("<i4")
+            cells = [press.compress(np.diff(ids[i:j], prepend=np.int32(0)).tobytes() + counts[i:j].tobytes()) for i, j in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("order").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(cells, pa.binary())], ["order", "y", "cell"])
+
+
+def unfolded(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct features, their shares of the text's features) of a cell."""
+    steps, counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), "<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings, classes: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,13 +110,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings, classes: in
 def train(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """One task: it reads the bounded sample in hash order and returns one score weight for each hashed feature."""
     rows, taken = [], 0
-    found = [(o.as_py(), y.as_py(), i.values.to_numpy(), c.values.to_numpy()) for batch in batches
-             for o, y, i, c in zip(batch.column("order"), batch.column("y"), batch.column("ids"), batch.column("counts"))]
-    for _, y, ids, counts in sorted(found, key=lambda r: (r[0], r[1], len(r[2]))):
+    found = [(o.as_py(), y.as_py(), *unfolded(c.as_py())) for batch in batches for o, y, c in zip(batch.column("order"), batch.column("y"), batch.column("cell"))]
+    for _, y, ids, share in sorted(found, key=lambda r: (r[0], r[1], len(r[2]))):
         taken += len(ids)
         if taken > s.sample_features and rows:
             break
-        rows.append((int(y), ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        rows.append((int(y), ids, share))
+    del found
     table, weights, bias = fit(rows, s)
     # two classes: the difference of the logits is an average of one number a feature
     line = table.astype(np.float64) @ (weights[:, 1] - weights[:, 0]).astype(np.float64)
@@ -124,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, s:
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.min(label).cast("int").alias("y"))
     sample = known.withColumn("order", F.xxhash64("_id")).orderBy("order", "_id").limit(s.sample_rows)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("order", "y", "text")
-    model = rows.mapInArrow(lambda b: featurize(b, s), "order long, y int, ids array<int>, counts array<int>")
+    model = rows.mapInArrow(lambda b: featurize(b, s), "order long, y int, cell binary")
     got = model.repartition(1).mapInArrow(lambda b: train(b, s), "line binary, bias double").first()
     return np.frombuffer(got["line"]), got["bias"]
 
@@ -132,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, s:
 def score_batches(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], line: np.ndarray, bias: float, s: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.empty(batch.num_rows)
-        for a, b, data, offsets in text_slices(batch.column(text)):
+        for a, b, data, offsets in text_slices(batch.column(text), SLICE):
             f, rows = features(data, offsets, s.bits, s.grams)
             total = np.bincount(rows, line[f], b - a)
             number = np.bincount(rows, minlength=b - a)

@@ -46,6 +46,33 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), "text", model).collect() == []
 
 
+def test_quality_holds_some_texts_at_a_time():
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(200)) for _ in range(1200)]
+    n, s = len(texts), quality.Settings(epochs=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([i % 2 for i in range(n)], pa.int32()), pa.array(texts)], ["order", "y", "text"])
+    line = np.random.default_rng(3).normal(size=1 << s.bits)
+    tracemalloc.start()
+    try:
+        found = list(quality.featurize(iter([batch]), s))
+        scores = [x for b in quality.score_batches(iter([batch]), "text", ["order"], line, 0.5, s) for x in b.column("score").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
+    for i in (0, 700, n - 1):  # one text by itself
+        (_, _, data, offsets), = quality.text_slices(batch.column("text").slice(i, 1))
+        f = quality.features(data, offsets, s.bits, s.grams)[0]
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(line[f].mean() + 0.5))), abs=1e-12)
+    cells = [c.as_py() for b in found for c in b.column("cell")]
+    ids, share = quality.unfolded(cells[700])
+    (_, _, data, offsets), = quality.text_slices(batch.column("text").slice(700, 1))
+    want, counts = np.unique(quality.features(data, offsets, s.bits, s.grams)[0], return_counts=True)
+    assert ids.tolist() == want.tolist() and share == pytest.approx(counts / counts.sum(), rel=1e-6)
+
+
 def test_features_depend_on_the_text_alone():
     a = pa.array(["Ein Text | mit é und und", "noch einer"])
     (_, _, data, offsets), = quality.text_slices(a)
