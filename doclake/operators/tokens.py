@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from doclake.functions.text import NAMED_ENTITIES, XML_ENTITIES, decode_entities
 
 # One token is a tag (quote-aware), a text run, or a stray "<". Possessive, so it cannot backtrack.
-TOKEN = r"""<(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+TAG_BODY = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+TOKEN = rf"<{TAG_BODY}>|[^<]++|<"
 TAG_NAME = r"^</?([A-Za-z_][A-Za-z0-9:._-]*)"
 ATTRIBUTE = r"""([^\s=/>"'<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]

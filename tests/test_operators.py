@@ -3,6 +3,7 @@
 import gzip
 import io
 import random
+import re
 import tarfile
 import zipfile
 
@@ -17,6 +18,7 @@ from doclake.operators import html as H
 from doclake.operators import listing as L
 from doclake.operators import markdown as M
 from doclake.operators import media as ME
+from doclake.operators import office
 from doclake.operators import ordering as O
 from doclake.operators import tables as T
 from doclake.operators.convert import convert_all
@@ -659,3 +661,23 @@ def test_arriving_files_are_listed_by_tasks_and_ingested_once(spark, tmp_path, m
     # the stream's own log names files of the table, not the files that arrived
     seen = "".join(p.read_text() for p in (tmp_path / "ckpt" / "sources" / "0").iterdir() if not p.name.startswith("."))
     assert "/arrivals/" in seen and "f1.md" not in seen
+
+
+def test_office_tokens_pass_few_windows_and_idle_ones_none(spark):
+    """Depths and counters that need only the tokens are one step of windows; starts that nobody reads never become rows."""
+    def parts(*rows):
+        return spark.createDataFrame([("d", part, xml) for part, xml in rows], "doc_id string, part string, content string").withColumn(
+            "content", F.col("content").cast("binary"))
+
+    docx = parts(("word/document.xml", '<w:p><w:r w:a="x>/"><w:rPr><w:b/></w:rPr><w:t>a</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>b</w:t></w:r> </w:p><w:p><w:r><w:t>cut'))
+    pptx = parts(("ppt/slides/slide1.xml", '<p:txBody><a:p><a:r><a:rPr i="1"></a:rPr><a:t>x</a:t></a:r></a:p><a:p><a:r><a:t>y</a:t></a:r></a:p></p:txBody>'),
+                 ("ppt/slides/slide2.xml", "<a:p><a:r>"), ("ppt/notesSlides/notesSlide2.xml", '<p:sp><p:ph type="body"/><p:txBody>said</p:txBody></p:sp>'))
+    odt = parts(("content.xml", "<text:p>"))
+    want = {office.docx_to_markdown: (docx, "**a** \n\nb\n\n", 3), office.pptx_to_markdown: (pptx, "*x*\ny\n\n---\n\n> said", 3), office.odf_to_markdown: (odt, "", 4)}
+    for convert, (df, markdown, windows) in want.items():
+        out = convert(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"^\W*(?:\(\d+\) )?Window\b", plan, re.M)) <= windows, convert.__name__
+        assert [r["markdown"] for r in out.collect()] == [markdown], convert.__name__
+    raw = [r["raw"] for r in office._docx_tokens(office.docx_documents(docx)).orderBy("pos").collect()]
+    assert "<w:r>" not in raw and '<w:r w:a="x>/">' not in raw and raw.count("<w:p>") == 0 and raw.count("</w:p>") == 2
