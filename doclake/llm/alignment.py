@@ -30,6 +30,8 @@ ship_with_tasks(__name__)
 SLICE = 1 << 20
 #: Pairs of (document, ids) and texts that a task hands on together. This decides what meets where, not what it counts.
 PAIRS_TOGETHER, TEXTS_TOGETHER = 1_000_000, 30_000
+#: Bytes of packs that are written and read at once.
+GROUP_BYTES = 4 << 20
 #: Words that are longer, in code points, are aligned where they occur and not remembered.
 REMEMBERED, MOST_WORDS = 256, 1_000_000
 #: Words that the first tokenizer takes at once.
@@ -241,13 +243,26 @@ class Slice:
 
 
 def pack_schema(id: T.DataType, with_groups: bool) -> T.StructType:
-    """A pack: its texts, how many pairs each of them has (``sizes``), their places in ``pairs`` and links; and how many of its texts have each pair."""
+    """A pack: its texts, how many pairs each of them has (``sizes``), their places in ``pairs`` and links; and how many of its texts have each pair.
+
+    Places and links are numbers of as few bytes as the largest takes.
+    """
     kinds = [("pack", T.LongType()), ("ids", T.ArrayType(id)), *[(c, T.ArrayType(T.LongType())) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", T.ArrayType(T.StringType())),
-             ("groups", T.ArrayType(T.StringType())), ("sizes", T.ArrayType(T.LongType())), ("at", T.ArrayType(T.IntegerType())), ("times", T.ArrayType(T.LongType())),
-             ("pairs", T.ArrayType(T.LongType())), ("docs", T.ArrayType(T.LongType()))]
+             ("groups", T.ArrayType(T.StringType())), ("sizes", T.ArrayType(T.LongType())), ("at", T.BinaryType()), ("times", T.BinaryType()),
+             ("pairs", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("docs", T.LongType())])))]
     return T.StructType([T.StructField(n, k) for n, k in kinds if with_groups or n != "groups"])
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, each in as few bytes as the largest takes."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def widened(data: memoryview, n: int) -> np.ndarray:
+    """``n`` numbers that ``narrow`` wrote."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def packs(batches: Iterator[pa.RecordBatch], first: bytes, second: bytes, with_groups: bool) -> Iterator[pa.RecordBatch]:
     t = tokenizers_of(first, second)
     task, number = TaskContext.get().partitionId(), 0
@@ -261,9 +276,11 @@ def packs(batches: Iterator[pa.RecordBatch], first: bytes, second: bytes, with_g
         facts = np.concatenate([s.facts for _, s, *_ in waiting])
         ids = pa.concat_arrays([i for i, *_ in waiting])
         values = [pa.array([x], pa.list_(kind)) for x, kind in (
-            *[(facts[:, k], pa.int64()) for k in range(4)], ([d for w in waiting for d in w[2]], pa.string()), *([([g for w in waiting for g in w[3]], pa.string())] if with_groups else []), (sizes, pa.int64()),
-            (at.astype(np.int32), pa.int32()), (np.concatenate([s.times for _, s, *_ in waiting]), pa.int64()), (pairs, pa.int64()), (docs, pa.int64()))]
-        names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else []), "sizes", "at", "times", "pairs", "docs"]
+            *[(facts[:, k], pa.int64()) for k in range(4)], ([d for w in waiting for d in w[2]], pa.string()), *([([g for w in waiting for g in w[3]], pa.string())] if with_groups else []), (sizes, pa.int64()))]
+        values += [pa.array([narrow(at)], pa.binary()), pa.array([narrow(np.concatenate([s.times for _, s, *_ in waiting]))], pa.binary())]
+        counts = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(docs, pa.int64())], ["pair", "docs"])
+        values.append(pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts))
+        names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else []), "sizes", "at", "times", "pairs"]
         made = pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *values], ["pack", "ids", *names])
         number, waiting = number + 1, []
         return made
@@ -288,12 +305,12 @@ def packs(batches: Iterator[pa.RecordBatch], first: bytes, second: bytes, with_g
 
 def answered(key, pack: pa.Table, counts: pa.Table, schema: pa.Schema) -> pa.Table:
     """Rows of the texts of one pack from the counts of its pairs."""
-    flat = {c: pack.column(c).chunk(0).flatten() for c in pack.column_names if c != "pack"}
+    flat = {c: pack.column(c).chunk(0).flatten() for c in pack.column_names if c not in ("pack", "at", "times")}
     place = counts.column("place").to_numpy()
     n, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
     n[place], best[place] = counts.column("n").to_numpy(), counts.column("best").to_numpy(zero_copy_only=False)
-    sizes, at, times = (flat[c].to_numpy(zero_copy_only=False) for c in ("sizes", "at", "times"))
-    of = np.repeat(np.arange(len(sizes)), sizes)
+    sizes = flat["sizes"].to_numpy(zero_copy_only=False)
+    at, times = (widened(pack.column(c)[0].as_buffer(), int(sizes.sum())) for c in ("at", "times"))
     sums = []
     for weight in (times * best[at], times * n[at]):
         total = np.concatenate([[0], np.cumsum(weight)])
@@ -312,18 +329,18 @@ def align(docs: DataFrame, id: str, text: str, first: bytes, second: bytes, with
     by both tokenizers have no tokens: zeros, and an empty digest. Repeated rows count each; other columns are not read;
     no rows give none. Files of tokenizers travel with the tasks.
 
-    Packs are bounded by ``PAIRS_TOGETHER`` and the longest text. A common pair travels once a pack, so no key holds more
+    Packs are bounded by ``PAIRS_TOGETHER`` and the longest text, what tasks hold of their tables by ``GROUP_BYTES`` and a pack. A common pair travels once a pack, so no key holds more
     rows than there are packs.
     """
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType
-    made = stored(source.mapInArrow(lambda b: packs(b, first, second, with_groups), pack_schema(kind, with_groups)), "alignment-packs")
-    counted = made.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("n"))
+    made = stored(source.mapInArrow(lambda b: packs(b, first, second, with_groups), pack_schema(kind, with_groups)), "alignment-packs", GROUP_BYTES)
+    counted = made.select(F.inline("pairs")).groupBy("pair").agg(F.sum("docs").alias("n"))
     counted = stored(counted, "alignment-pairs")
     a = F.shiftright("pair", 31)
     most = counted.groupBy(a.alias("a")).agg(F.max("n").alias("most"))  # one row for an entry of the first vocabulary
     marked = counted.withColumn("a", a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    asked = made.select(F.col("pack").alias("of"), F.posexplode("pairs").alias("place", "pair")).join(marked, "pair").select("of", "place", "n", "best")
+    asked = made.select(F.col("pack").alias("of"), F.posexplode("pairs.pair").alias("place", "pair")).join(marked, "pair").select("of", "place", "n", "best")
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
     longs = {"n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"}
     out = T.StructType([T.StructField(n, kind if n == "id" else T.LongType() if n in longs else T.StringType()) for n in names])
@@ -332,4 +349,4 @@ def align(docs: DataFrame, id: str, text: str, first: bytes, second: bytes, with
         schema = pa.schema([(n, pack.schema.field("ids").type.value_type if n == "id" else pa.int64() if n in longs else pa.string()) for n in names])
         return answered(key, pack, counts, schema)
 
-    return made.drop("pairs", "docs").groupBy("pack").cogroup(asked.groupBy("of")).applyInArrow(answer, out)
+    return made.drop("pairs").groupBy("pack").cogroup(asked.groupBy("of")).applyInArrow(answer, out)

@@ -17,10 +17,15 @@ ship_with_tasks(__name__)
 SLICE_BYTES = 1 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared folder and read it back: a lost executor never changes or repeats it."""
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to the cluster's shared folder and read it back: a lost executor never changes or repeats it.
+
+    Writers and readers hold a row group of a file at once, which by itself ends at no fewer than 100 rows. Rows with large cells are
+    written with ``group_bytes``: a row group ends there, after any row, however many of them a task makes.
+    """
     folder = work_dir(df.sparkSession, name)
-    df.write.parquet(folder)
+    after_any_row = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    (df.write.options(**after_any_row) if group_bytes else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

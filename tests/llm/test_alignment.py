@@ -1,15 +1,17 @@
 """Alignment of two tokenizers against its definition on whole texts."""
 
+import glob
 import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from doclake.llm import alignment
+from doclake.llm import alignment, common
 from doclake.llm.queries import QUERIES
 from doclake.llm.queries_models import vocabulary
 
@@ -112,6 +114,26 @@ def test_where_things_meet_changes_nothing(spark, monkeypatch, pairs, texts, wor
     assert rows_of(spark, rows, with_groups=True) == definition(rows)
 
 
+def test_rows_held_at_once_do_not_grow_with_the_packs_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "TEXTS_TOGETHER", 2)
+    monkeypatch.setattr(alignment, "SLICE", 10)
+    monkeypatch.setattr(alignment, "GROUP_BYTES", 1000, raising=False)
+    folders, work_dir = [], common.work_dir
+    monkeypatch.setattr(common, "work_dir", lambda *a: folders.append(work_dir(*a)) or folders[-1])
+    rows = [(i, f"some words of text {i}") for i in range(60)]
+    frame = spark.createDataFrame([(i, t, 1, 2, "p", "i", 3) for i, t in rows], DOCS).coalesce(1)
+    got = alignment.align(frame, "doc_id", "text", vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [r[:8] for r in definition(rows)]
+    [file] = glob.glob(next(f for f in folders if "packs" in f) + "/*.parquet")
+    written = pq.ParquetFile(file).metadata
+    assert written.num_rows == 30 and max(written.row_group(i).num_rows for i in range(written.num_row_groups)) <= 3
+
+
+def test_narrow_numbers():
+    for x in ([], [0], [255, 0], [256], [1 << 16, 3], [10**10, 1], [0] * 5):
+        assert alignment.widened(memoryview(alignment.narrow(np.array(x, np.int64))), len(x)).tolist() == x
+
+
 def test_of_nothing(spark):
     assert rows_of(spark, []) == []
     assert rows_of(spark, [(1, None), (2, "")]) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
