@@ -2,9 +2,11 @@
 
 import gzip
 import io
+import os
 import random
 import re
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -681,3 +683,42 @@ def test_office_tokens_pass_few_windows_and_idle_ones_none(spark):
         assert [r["markdown"] for r in out.collect()] == [markdown], convert.__name__
     raw = [r["raw"] for r in office._docx_tokens(office.docx_documents(docx)).orderBy("pos").collect()]
     assert "<w:r>" not in raw and '<w:r w:a="x>/">' not in raw and raw.count("<w:p>") == 0 and raw.count("</w:p>") == 2
+
+
+def kept_bytes(spark):
+    """Bytes of tables and checkpoints in the shared folder, and the shuffle files of this session."""
+    from doclake.session import shared_folder
+
+    size = 0
+    for top in {shared_folder(spark), (spark.sparkContext.getCheckpointDir() or shared_folder(spark)).removeprefix("file:")}:
+        size += sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(top) for n in names)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return size, {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_")}
+
+
+def test_conversion_keeps_only_what_its_result_is_made_of(spark):
+    from doclake.operators.convert import convert_all, convert_sections
+
+    noise = random.Random(5)
+    docx = [make_zip([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", b"<w:document><w:body><w:p><w:r><w:t>%d</w:t></w:r></w:p></w:body></w:document>" % i),
+                      ("word/media/a.png", b"\x89PNG\r\n\x1a\n" + noise.randbytes(100_000))]) for i in range(3)]
+    rows = [(f"d{i}.docx", bytearray(d)) for i, d in enumerate(docx)] + [("n.md", bytearray(b"# n")), ("bad.docx", bytearray(b"PK\x03\x04junk"))]
+    rows += [("z.zip", bytearray(make_zip([("in.docx", docx[0]), ("x.bin", b"\xff\xfe\x00" + noise.randbytes(100_000))]))), ("e.zip", bytearray(make_zip([]))), ("bad.zip", bytearray(make_zip([("c.csv", b"a,b\n1\n")])))]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before, shuffles = kept_bytes(spark)
+    out = convert_all(df)
+    for _ in range(50):  # Spark removes them a little later
+        after, now = kept_bytes(spark)
+        if not now - shuffles:
+            break
+        time.sleep(0.2)
+    assert after - before < 100_000 and not now - shuffles  # 900 KB of images and members came in
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    for _ in range(2):  # what is left serves any number of runs
+        got = {r["path"]: (r["markdown"], r["error"] is not None) for r in out.collect()}
+        assert got.pop("bad.docx") == (None, True) and got.pop("bad.zip") == (None, True)
+        assert {p: m.split("\n")[0] for p, (m, failed) in got.items() if not failed} == {"d0.docx": "0", "d1.docx": "1", "d2.docx": "2", "n.md": "# n", "z.zip": "```file-tree", "e.zip": "```file-tree"}
+    assert "# File: in.docx\n\n0\n" in got["z.zip"][0] and "[bin file]" in got["z.zip"][0]
+    twice = convert_sections(df.union(df.where("path = 'e.zip'"))).where("path = 'e.zip'").collect()
+    assert [r["text"] for r in twice] == ["```file-tree\n```\n\n"] * 2
