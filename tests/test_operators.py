@@ -722,3 +722,43 @@ def test_conversion_keeps_only_what_its_result_is_made_of(spark):
     assert "# File: in.docx\n\n0\n" in got["z.zip"][0] and "[bin file]" in got["z.zip"][0]
     twice = convert_sections(df.union(df.where("path = 'e.zip'"))).where("path = 'e.zip'").collect()
     assert [r["text"] for r in twice] == ["```file-tree\n```\n\n"] * 2
+
+
+def test_a_batch_of_a_stream_leaves_nothing_but_its_rows(spark, tmp_path):
+    from doclake.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    noise = random.Random(6)
+    for i in range(3):
+        (tmp_path / "in" / f"z{i}.zip").write_bytes(make_zip([("x.bin", b"\xff\xfe\x00" + noise.randbytes(100_000))]))
+    before, shuffles = kept_bytes(spark)
+    ingest.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    for _ in range(50):
+        after, now = kept_bytes(spark)
+        if after <= before:
+            break
+        time.sleep(0.2)
+    assert after - before < 1_000
+    assert sorted((r["path"].split("/")[-1], r["format"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(f"z{i}.zip", "zip", None) for i in range(3)]
+
+
+@pytest.mark.parametrize("together, most", [(50_000, 500), (100, 150), (1, 150)])
+def test_many_files_arrive_in_parts(spark, monkeypatch, together, most):
+    from doclake.plans import source_queries as Q
+
+    made = spark.range(500).selectExpr("concat('f', id % 490, '.md') AS path", "cast(concat('t', id % 490) AS binary) AS content")
+    there, runs = [], []
+
+    def taken(spark, folder, out, ckpt, files_at_once):
+        names = sorted(os.listdir(folder.removeprefix("file://")))
+        if there[-1:] != [names]:
+            there.append(names)
+            spark.createDataFrame([(f"{folder}/{n}", "markdown", n, None) for n in names if not n.startswith(".")], "path string, format string, markdown string, error string").write.parquet(f"{out}/batch={len(there)}")
+        runs.append(files_at_once)
+
+    monkeypatch.setattr(Q, "mixed_files", lambda spark, sf: made)
+    monkeypatch.setattr(Q.ingest, "stream_ingest", taken)
+    monkeypatch.setattr(Q, "FILES_TOGETHER", together)
+    assert sorted(r["name"] for r in Q.stream_ingest(spark, "").collect()) == sorted(f"f{i}.md" for i in range(490))
+    parts = min(Q.MOST_PARTS, -(-500 // together))
+    assert len(there) == parts and len(runs) == parts + 1 and max(map(len, there)) <= most and runs[-1] == (245 if parts == 1 else None)
