@@ -762,3 +762,13 @@ def test_many_files_arrive_in_parts(spark, monkeypatch, together, most):
     assert sorted(r["name"] for r in Q.stream_ingest(spark, "").collect()) == sorted(f"f{i}.md" for i in range(490))
     parts = min(Q.MOST_PARTS, -(-500 // together))
     assert len(there) == parts and len(runs) == parts + 1 and max(map(len, there)) <= most and runs[-1] == (245 if parts == 1 else None)
+
+
+def test_conversion_says_when_its_input_was_read(spark, tmp_path):
+    import shutil
+
+    from doclake.operators.convert import convert_all
+
+    spark.createDataFrame([("n.md", bytearray(b"# n")), ("z.zip", bytearray(make_zip([("a.md", b"a")])))], "path string, content binary").write.parquet(str(tmp_path / "in"))
+    out = convert_all(spark.read.parquet(str(tmp_path / "in")), read=lambda: shutil.rmtree(tmp_path / "in"))
+    assert not (tmp_path / "in").exists() and {r["path"] for r in out.collect()} == {"n.md", "z.zip"}
